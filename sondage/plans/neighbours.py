@@ -12,15 +12,20 @@ just more blocks.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sondage.plans.durable import materialise
 
+# Functions travel to the executors by value: the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 512
 _SLACK = 1e-7
@@ -45,14 +50,15 @@ def nearest(
     key: str,
     vector: str,
     group: str | None = None,
+    same_group: bool = False,
     exclude_self: bool = False,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``(query, neighbour, distance, rank)`` for the ``k`` nearest base rows of each query.
 
     Both inputs hold ``key`` and an array<double> ``vector``.  With ``group`` a
-    query only sees base rows of *other* groups (cross-validation folds);
-    ``exclude_self`` drops the base row with the query's own key.  Order:
+    query only sees base rows of *other* groups (cross-validation folds), or
+    with ``same_group`` only those of its own; ``exclude_self`` drops the base row with the query's own key.  Order:
     distance rounded to ``TIE_DIGITS``, then key.
     """
     side = [F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec")]
@@ -107,7 +113,7 @@ def nearest(
         own = own.fillna(-2).to_numpy()
         for f in np.unique(own):
             rows = own == f
-            allowed = near_fold != f
+            allowed = (near_fold == f) if same_group else (near_fold != f)
             if allowed.sum() >= need:
                 upper = d[rows][:, near_cell[allowed]] + near_reach[allowed]
                 bound[rows] = np.partition(upper, need - 1, axis=1)[:, need - 1]
@@ -146,7 +152,8 @@ def nearest(
         ids = b["id"].to_numpy()
         d = _distances(_matrix(q["vec"]), _matrix(b["vec"]))
         if group:
-            d[q["fold"].to_numpy()[:, None] == b["fold"].to_numpy()[None, :]] = np.inf
+            equal = q["fold"].to_numpy()[:, None] == b["fold"].to_numpy()[None, :]
+            d[~equal if same_group else equal] = np.inf
         if exclude_self:
             d[q["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
         best = np.argsort(np.round(d, TIE_DIGITS), axis=1, kind="stable")[:, :k]

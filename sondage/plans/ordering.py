@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sondage.plans.durable import materialise
 
+SMALL_ROWS = 1_000_000
 _LOW_BITS = (1 << 33) - 1
 
 
@@ -50,14 +51,15 @@ def running(
     within: Sequence[str] = (),
     sums: Mapping[str, str] | None = None,
     row_name: str = "rn",
+    maxima: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Add ``row_name`` (1-based, per ``within`` group) and inclusive running sums.
+    """Add ``row_name`` (1-based, per ``within`` group), inclusive running sums and maxima.
 
-    ``order`` must be total inside a group.  ``sums`` maps output name to input
-    column.  The per-(group, partition) totals have at most one row per sorted
+    ``order`` must be total inside a group.  ``sums`` and ``maxima`` map output
+    name to input column.  The per-(group, partition) totals have at most one row per sorted
     partition and group boundary, so their own window stays small.
     """
-    sums = dict(sums or {})
+    sums, maxima = dict(sums or {}), dict(maxima or {})
     within = list(within)
     ordered = sorted_positions(df, [*within, *order])
     keys = ["_part", *within]
@@ -65,6 +67,7 @@ def running(
         F.min("_pos").alias("_first"),
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(c).alias(f"_sum_{o}") for o, c in sums.items()],
+        *[F.max(c).alias(f"_max_{o}") for o, c in maxima.items()],
     )
     before = (W.partitionBy(*within) if within else W.partitionBy(F.lit(0))).orderBy("_part").rowsBetween(
         W.unboundedPreceding, -1
@@ -74,19 +77,47 @@ def running(
         "_first",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n"),
         *[F.coalesce(F.sum(f"_sum_{o}").over(before), F.lit(0)).alias(f"_off_{o}") for o in sums],
+        *[F.max(f"_max_{o}").over(before).alias(f"_off_{o}") for o in maxima],
     )
     names = [c for c in ordered.columns if c not in ("_part", "_pos")]
     joined = ordered.alias("o").join(offsets.alias("t"), _same(ordered, offsets, keys)).select(
         *[F.col(f"o.{c}") for c in ordered.columns],
         "_first",
         "_off_n",
-        *[f"_off_{o}" for o in sums],
+        *[f"_off_{o}" for o in [*sums, *maxima]],
     )
     local = W.partitionBy(*keys).orderBy("_pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     return joined.select(
         *names,
         (F.col("_off_n") + F.col("_pos") - F.col("_first") + 1).alias(row_name),
         *[(F.col(f"_off_{o}") + F.sum(c).over(local)).alias(o) for o, c in sums.items()],
+        *[F.greatest(F.col(f"_off_{o}"), F.max(c).over(local)).alias(o) for o, c in maxima.items()],
+    )
+
+
+def cumulative(
+    df: DataFrame,
+    order,
+    within: Sequence[str] = (),
+    sums: Mapping[str, str] | None = None,
+    maxima: Mapping[str, str] | None = None,
+    small_rows: int = SMALL_ROWS,
+) -> DataFrame:
+    """Running sums and maxima of an already collapsed table.
+
+    The table is written once and counted: up to ``small_rows`` a plain window
+    is used, beyond that the distributed :func:`running`.
+    """
+    sums, maxima = dict(sums or {}), dict(maxima or {})
+    written = materialise(df, "collapsed")
+    if written.count() > small_rows:
+        return running(written, order, within, sums, "_rn", maxima).drop("_rn")
+    group = W.partitionBy(*within) if within else W.partitionBy(F.lit(0))
+    scan = group.orderBy(*_as_columns(order)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return written.select(
+        "*",
+        *[F.sum(c).over(scan).alias(o) for o, c in sums.items()],
+        *[F.max(c).over(scan).alias(o) for o, c in maxima.items()],
     )
 
 
