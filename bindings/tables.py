@@ -72,6 +72,18 @@ class Tables:
             score.alias("score"),
         )
 
+    def pred5(self) -> DataFrame:
+        """Five-class predictions with probabilities in ``proba``."""
+        raw = F.array(*[F.lit(1) + (F.col("event_id") * (c + 3)) % 97 for c in range(5)])
+        total = F.aggregate("raw", F.lit(0).cast("long"), lambda a, x: a + x)
+        types = F.array(*[F.lit(e) for e in EVENT_TYPES])
+        return self.events.withColumn("raw", raw).select(
+            F.col("event_id").alias("row_id"),
+            (F.array_position(types, F.col("event_type")) - 1).cast("int").alias("y"),
+            (F.array_position("raw", F.array_max("raw")) - 1).cast("int").alias("y_hat"),
+            F.transform("raw", lambda x: x.cast("double") / total.cast("double")).alias("proba"),
+        )
+
     def reg(self) -> DataFrame:
         return self.part.select(
             F.col("p_partkey").alias("row_id"),
@@ -160,3 +172,12 @@ KB = """kb_rows AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey
    round(avg((o_orderstatus = 'F')::INT::DOUBLE), 6) AS f1_score, round(avg((o_orderstatus = 'O')::INT::DOUBLE), 6) AS accuracy,
    round(avg((o_orderstatus = 'F')::INT::DOUBLE), 6) AS precision_score, round(avg((o_orderstatus = 'F')::INT::DOUBLE), 6) AS recall_score,
    5 AS cv_folds FROM kb_rows GROUP BY ALL)"""
+
+# The event types in label order.
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+PRED5 = f"""raw5 AS (SELECT event_id AS row_id, list_position({EVENT_TYPES}, event_type) - 1 AS y,
+   [{', '.join(f"1 + (event_id * {c + 3}) % 97" for c in range(5))}] AS raw FROM events),
+ pred5 AS (SELECT row_id, y::INT AS y, (list_position(raw, list_max(raw)) - 1)::INT AS y_hat,
+   list_transform(raw, lambda x: x::DOUBLE / list_sum(raw)::DOUBLE) AS proba FROM raw5),
+ ovr AS (SELECT c AS class, (y = c)::INT AS y, proba[c + 1] AS score FROM pred5, (SELECT unnest(range(5))::INT AS c))"""
