@@ -12,4 +12,4 @@ def load_all() -> None:
         import_module(f"bindings.{area}")
 
 
-AREAS: list[str] = ["selecting", "profiling", "preparing", "measuring", "advising", "knowledge"]
+AREAS: list[str] = ["selecting", "profiling", "preparing", "measuring", "advising", "knowledge", "logging"]

@@ -206,9 +206,9 @@ def _renewed(t):
 
 
 @query("kb_upsert", f"""WITH {KB} SELECT dataset_name, domain, strftime(created_at, '%Y-%m-%d') AS created, strftime(updated_at + to_days((domain = 'ASIA')::INT), '%Y-%m-%d') AS updated,
-   round(sum(feature_value) * (1 + (domain = 'ASIA')::INT) / 1000000, 2) AS total,
-   any_value((SELECT round(max(f1_score) + 0.01 * (domain = 'ASIA')::INT, 5) FROM results r WHERE r.experiment_id = e.experiment_id)) AS best
-  FROM experiments e JOIN features USING (experiment_id) GROUP BY ALL
+   round(total * (1 + (domain = 'ASIA')::INT) / 1000000, 2) AS total, round(best + 0.01::DOUBLE * (domain = 'ASIA')::INT, 5) AS best
+  FROM experiments JOIN (SELECT experiment_id, sum(feature_value) AS total FROM features GROUP BY 1) USING (experiment_id)
+  JOIN (SELECT experiment_id, max(f1_score) AS best FROM results GROUP BY 1) USING (experiment_id)
   UNION ALL SELECT c_mktsegment, 'segment', '2000-01-01', '2000-01-01', NULL, NULL FROM customer GROUP BY 1""")
 def _(t):
     kb, new = _renewed(t)

@@ -83,7 +83,7 @@ class KnowledgeBase:
         replaced = ids.select("experiment_id")
 
         def merged(old, fresh):
-            rows = fresh.join(ids, "dataset_hash").select(*old.columns)
+            rows = fresh.drop("experiment_id").join(ids, "dataset_hash").select(*old.columns)
             return old.join(replaced, "experiment_id", "left_anti").unionByName(rows)
 
         return KnowledgeBase(
