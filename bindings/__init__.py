@@ -12,4 +12,6 @@ def load_all() -> None:
         import_module(f"bindings.{area}")
 
 
-AREAS: list[str] = ["selecting", "profiling", "preparing", "measuring", "advising", "knowledge", "logging"]
+AREAS: list[str] = [
+    "selecting", "profiling", "preparing", "measuring", "advising", "knowledge", "training", "logging",
+]

@@ -129,6 +129,17 @@ class Tables:
         )
         return KnowledgeBase(experiments, features, results)
 
+    def kb_of_nations(self) -> "KnowledgeBase":
+        """The same experiments with the standard meta-features of each nation's orders."""
+        from sondage.operators import metafeatures
+        from sondage.sources.knowledge import KnowledgeBase
+
+        kb = self.kb()
+        rows = self.orders.join(self.customer, F.col("o_custkey") == F.col("c_custkey")).select(
+            F.col("c_nationkey").cast("long").alias("experiment_id"), "o_totalprice", "c_acctbal", "o_orderstatus")
+        grouped = metafeatures.extract_grouped(rows, "experiment_id", ["o_totalprice", "c_acctbal"], "o_orderstatus")
+        return KnowledgeBase(kb.experiments, metafeatures.grouped_long(grouped, "experiment_id"), kb.results)
+
 
 KB_FEATURES = ["n_orders", "mean_price", "var_price", "skew_price", "mean_acctbal"]
 

@@ -84,3 +84,17 @@ def extract_grouped(df: DataFrame, dataset: str, features: Sequence[str], target
         dataset, "n_instances", "n_classes", "imbalance_ratio", "class_entropy",
         mean("s").alias("mean_skewness"), mean("k").alias("mean_kurtosis"), mean("v").alias("mean_variance"),
     )
+
+
+# Grouped statistics and the meta-feature each one is.
+GROUPED_NAMES = {
+    "n_instances": "l1_n_instances", "n_classes": "l1_n_classes", "imbalance_ratio": "l1_imbalance_ratio",
+    "mean_skewness": "l2_mean_skewness", "mean_kurtosis": "l2_mean_kurtosis", "mean_variance": "l2_mean_variance",
+    "class_entropy": "l3_class_entropy",
+}
+
+
+def grouped_long(grouped: DataFrame, dataset: str) -> DataFrame:
+    """(dataset, feature_name, feature_value) of :func:`extract_grouped`."""
+    wide = grouped.select(dataset, *[F.col(a).cast("double").alias(b) for a, b in GROUPED_NAMES.items()])
+    return to_long(wide, [dataset])

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sondage.operators import advise, metafeatures
 from sondage.operators.profile import union_all
 from sondage.plans.neighbours import TIE_DIGITS, nearest, unit_vectors
 from sondage.sources.knowledge import KnowledgeBase
@@ -203,6 +204,34 @@ def leave_one_out(examples: DataFrame, k: int = 3) -> DataFrame:
     )
 
 
+# -- the whole path --------------------------------------------------------------------------
+
+
+def recommend(df: DataFrame, target: str, kb: KnowledgeBase, k: int = 5) -> dict[str, DataFrame]:
+    """Characterise a table and rank algorithms for it.
+
+    Returns ``meta`` (long features), ``similar`` experiments, the blended
+    ``ranking``, the quality ``issues`` and their ``health`` summary.
+    """
+    wide = metafeatures.extract(df, target).withColumn("dataset", F.lit("this"))
+    facts = wide.first().asDict()
+    vector = {n: float(v or 0.0) for n, v in facts.items() if n != "dataset"}
+    row = df.sparkSession.createDataFrame([("this", *vector.values())], ["dataset", *vector])
+    names = [n for n in kb.feature_names() if n in vector]
+    model = meta_train(training_set(kb, names)) if names else None
+    predicted = meta_predict(model, row, "dataset")
+    similar = similar_experiments(kb, vector, k)
+    votes = similarity_vote(similar, kb.results).select(F.col("algorithm_name").alias("algorithm"), "avg_f1")
+    issues = advise.advise(df, target)
+    return {
+        "meta": metafeatures.to_long(row, ["dataset"]).drop("dataset"),
+        "similar": similar,
+        "ranking": combine_rankings(predicted.drop("dataset"), votes),
+        "issues": issues,
+        "health": advise.health_summary(issues),
+    }
+
+
 # -- ranking quality -------------------------------------------------------------------------
 
 

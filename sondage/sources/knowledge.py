@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 
 TABLES = ["experiments", "features", "results"]
 
+SCHEMAS = {
+    "experiments": "experiment_id long, dataset_hash string, dataset_name string, domain string, n_instances int, "
+    "n_features int, created_at timestamp, updated_at timestamp",
+    "features": "experiment_id long, feature_name string, feature_value double",
+    "results": "experiment_id long, algorithm_name string, f1_score double, accuracy double, precision_score double, "
+    "recall_score double, cv_folds int",
+}
+
 
 def experiment_key(dataset_hash: str) -> Column:
     """A positive id that follows from the hash, so writers need no shared counter."""
@@ -28,6 +36,10 @@ class KnowledgeBase:
     def load(cls, spark: SparkSession, folder: str) -> "KnowledgeBase":
         return cls(*[spark.read.parquet(f"{folder}/{t}") for t in TABLES])
 
+    @classmethod
+    def empty(cls, spark: SparkSession) -> "KnowledgeBase":
+        return cls(*[spark.createDataFrame([], SCHEMAS[t]) for t in TABLES])
+
     def save(self, folder: str) -> None:
         """Write to a new folder; readers of the old one are not disturbed."""
         for name in TABLES:
