@@ -13,5 +13,5 @@ def load_all() -> None:
 
 
 AREAS: list[str] = [
-    "selecting", "profiling", "preparing", "measuring", "advising", "knowledge", "training", "logging",
+    "sources", "selecting", "preparing", "profiling", "advising", "knowledge", "training", "measuring", "imaging", "logging",
 ]

@@ -41,8 +41,9 @@ def _(t):
 
 @query("landmark_nb", f"""WITH {EVENT}, e AS (SELECT *, ({fold_sql('event', 'event_id', 'event_type', 3)} FROM event),
   v AS (SELECT greatest(var_pop(value), var_pop(hour), var_pop(k)) * 1e-9 AS eps FROM event), g AS (SELECT unnest(range(3)) AS g),
-  p AS (SELECT g.g, event_type AS c, count(*) / sum(count(*)) OVER (PARTITION BY g.g) AS prior, avg(value) AS m1, var_pop(value) + any_value(eps) AS s1,
-    avg(hour) AS m2, var_pop(hour) + any_value(eps) AS s2, avg(k) AS m3, var_pop(k) + any_value(eps) AS s3 FROM e, g, v WHERE fold <> g.g GROUP BY ALL),
+  tot AS (SELECT g.g, count(*) AS n FROM e, g WHERE fold <> g.g GROUP BY 1),
+  p AS (SELECT g.g, event_type AS c, count(*) / any_value(tot.n)::DOUBLE AS prior, avg(value) AS m1, var_pop(value) + any_value(eps) AS s1,
+    avg(hour) AS m2, var_pop(hour) + any_value(eps) AS s2, avg(k) AS m3, var_pop(k) + any_value(eps) AS s3 FROM e, g, v, tot WHERE fold <> g.g AND tot.g = g.g GROUP BY g.g, event_type),
   l AS (SELECT event_id, fold, event_type AS y, c, ln(prior) - 0.5 * ln(2 * pi() * s1) - pow(value - m1, 2) / (2 * s1) - 0.5 * ln(2 * pi() * s2) - pow(hour - m2, 2) / (2 * s2)
     - 0.5 * ln(2 * pi() * s3) - pow(k - m3, 2) / (2 * s3) AS ll FROM e JOIN p ON e.fold = p.g),
   pr AS (SELECT fold, any_value(y) AS y, max_by(c, ll) AS y_hat FROM l GROUP BY event_id, fold), {WEIGHTED_F1}

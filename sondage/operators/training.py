@@ -405,17 +405,19 @@ def permutation_importance(model, test: DataFrame, key: str, names: Sequence[str
     donor = ranked.select((F.col("rn") % F.col("group_size") + 1).alias("rn"), F.col("v").alias("w"))
     both = materialise(ranked.select(key, "label", "rn", "v").join(donor, "rn"), "permuted")
 
-    def scored(view, name):
-        rows = _predictions(model.transform(view), n_classes, []).select("y", "y_hat")
-        return metrics.summary(rows).select(F.lit(name).alias("feature"), F.col("f1_weighted").alias("f1"))
-
-    base = scored(both.select("label", array_to_vector("v").alias("features")), "*")
-    parts = []
-    for i, name in enumerate(names):
-        swapped = F.transform("v", lambda x, j, i=i: F.when(j == i, F.col("w")[i]).otherwise(x))
-        parts.append(scored(both.select("label", array_to_vector(swapped).alias("features")), name))
-    baseline = base.select("f1").scalar()
-    return union_all(parts).select("feature", (baseline - F.col("f1")).alias("importance"))
+    # Place -1 is the untouched row; one scoring pass serves the baseline and every feature.
+    places = F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1)))
+    copies = both.select("label", "v", "w", places.alias("place"))
+    mixed = F.zip_with(
+        F.transform("v", lambda x, j: F.struct(x.alias("x"), j.alias("j"))), F.col("w"),
+        lambda a, b: F.when(a["j"] == F.col("place"), b).otherwise(a["x"]))
+    scored = _predictions(
+        model.transform(copies.select("label", "place", array_to_vector(mixed).alias("features"))), n_classes, ["place"])
+    f1 = materialise(metrics.summary(scored, ["place"]).select("place", F.col("f1_weighted").alias("f1")), "f1")
+    baseline = f1.where(F.col("place") == -1).select("f1").scalar()
+    labels = F.array(*[F.lit(n) for n in names])
+    return f1.where(F.col("place") >= 0).select(
+        labels[F.col("place")].alias("feature"), (baseline - F.col("f1")).alias("importance"))
 
 
 def local_attribution(
