@@ -101,19 +101,25 @@ def _by_brackets(rows, by, value, probs, discrete, accuracy):
         .join(sketch.select(*by, wanted.alias("_ws")), by)
         .select(*by, "_v", F.explode("_ws").alias("_w"))
         .select(*by, "_v", "_w._i", "_w._from", "_w._to")
-        .where(F.col("_v") <= F.col("_to"))
     )
-    below = F.col("_v") < F.col("_from")
-    # Everything below a bracket collapses into one row in the map-side combine.
-    counted = paired.groupBy(*by, "_i", F.when(~below, F.col("_v")).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n")
+    zone = F.when(F.col("_v") < F.col("_from"), -1).when(F.col("_v") > F.col("_to"), 1).otherwise(0)
+    # All rows below a bracket, and all above, collapse into one row each in the
+    # map-side combine; they keep the value next to the bracket.
+    counted = paired.groupBy(*by, "_i", zone.alias("_z"), F.when(zone == 0, F.col("_v")).alias("_in")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most")
     )
-    scan = W.partitionBy(*by, "_i").orderBy(F.col("_v").asc_nulls_first())
-    upto = F.sum("_n").over(scan.rowsBetween(W.unboundedPreceding, W.currentRow))
-    placed = counted.withColumn("_upto", upto).where(F.col("_v").isNotNull()).join(brackets, [*by, "_i"])
+    next_to = F.when(F.col("_z") < 0, F.col("_most")).otherwise(F.col("_least"))
+    scan = W.partitionBy(*by, "_i").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = counted.withColumn("_v", next_to).withColumn("_upto", F.sum("_n").over(scan)).join(brackets, [*by, "_i"])
+    # The one row kept per side is right only for the rank next to the bracket.
+    missed = (
+        (F.col("_z") < 0) & (F.col("_lo") < F.col("_upto") - 1)
+        | (F.col("_z") > 0) & (F.col("_hi") > F.col("_upto") - F.col("_n"))
+    )
+    checked = F.when(missed, F.raise_error(F.lit("quantile bracket missed its rank; raise the accuracy"))).otherwise(F.col("_v"))
     found = placed.groupBy(*by, "_i").agg(
-        F.min(F.when(F.col("_upto") > F.col("_lo"), F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_upto") > F.col("_hi"), F.col("_v"))).alias("_b"),
+        F.min(F.when(F.col("_upto") > F.col("_lo"), checked)).alias("_a"),
+        F.min(F.when(F.col("_upto") > F.col("_hi"), checked)).alias("_b"),
         F.first(F.col("_at") - F.col("_lo")).alias("_part"),
     )
     answer = F.col("_a") if discrete else F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")
