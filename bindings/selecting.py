@@ -6,7 +6,8 @@ from bindings.registry import query
 from bindings.tables import EVENT, KB, LINE, LINE_FEATURES, LINE_LONG, NULLS, PRED
 from sondage.functions.scalars import confidence_label, minmax_position
 from sondage.operators import select
-from sondage.plans.quantiles import exact_quantiles, melt
+from sondage.operators.profile import column_aggregates
+from sondage.plans.quantiles import column_quantiles
 
 
 @query("split_xy", f"WITH {LINE} SELECT * EXCLUDE (l_returnflag) FROM line")
@@ -136,14 +137,17 @@ def _(t):
    round((q2 - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END * 100, 3) AS median_at,
    round((q3 - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END * 100, 3) AS q3_at FROM s""")
 def _(t):
-    long = melt(t.line(), LINE_FEATURES)
-    q = exact_quantiles(long, ["feature"], "value", [0.25, 0.5, 0.75])
-    ends = long.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    place = [
-        F.round(minmax_position(F.col("q")[i], F.col("lo"), F.col("hi")), 3).alias(n)
-        for i, n in enumerate(["q1_at", "median_at", "q3_at"])
-    ]
-    return q.join(ends, "feature").select("feature", *place)
+    line = t.line()
+    q = column_quantiles(line, LINE_FEATURES, [0.25, 0.5, 0.75])
+
+    def stats(f):
+        c, (q1, q2, q3) = F.col(f), q[f]
+        low, high = F.min(c), F.max(c)
+        return {
+            "q1_at": F.round(minmax_position(F.lit(q1), low, high), 3), "median_at": F.round(minmax_position(F.lit(q2), low, high), 3),
+            "q3_at": F.round(minmax_position(F.lit(q3), low, high), 3)}
+
+    return column_aggregates(line, LINE_FEATURES, stats)
 
 
 @query("missing_map", f"""WITH {NULLS}, f AS (SELECT * FROM nulls ORDER BY o_orderkey LIMIT 200)

@@ -15,33 +15,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sondage.functions.schema import categorical_columns, numeric_columns
-from sondage.operators.profile import clean, column_quantiles
+from sondage.operators.profile import clean, column_quantiles, union_all
 
 BINS = 10
 
 
-def decile_bin(feature: str, cuts: Sequence[float]) -> Column:
+def bin_number(feature: str, cuts: Sequence[float]) -> Column:
     """Number of cuts strictly below the value; null for a missing value."""
-    value = clean(feature)
+    value = F.col(feature)
     place = F.lit(0)
     for c in cuts:
         place = place + (value > c).cast("int")
     return F.when(value.isNotNull(), place)
 
 
-def binned(df: DataFrame, features: Sequence[str], bins: int = BINS) -> dict[str, Column]:
-    """Bin expression (as text) per feature; categories are their own bins."""
+def binned(df: DataFrame, features: Sequence[str], bins: int = BINS) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with its numeric features as clean doubles, and a bin expression per feature.
+
+    Numbers get an integer bin, categories are their own bins.
+    """
     numeric = set(numeric_columns(df))
-    wanted = [f for f in features if f in numeric]
+    wanted = [f for f in dict.fromkeys(features) if f in numeric]
     probs = [i / bins for i in range(1, bins)]
     cuts = column_quantiles(df, wanted, probs, discrete=True) if wanted else {}
-    out = {}
-    for f in features:
-        if f in numeric:
-            out[f] = decile_bin(f, cuts.get(f, [])).cast("string")
-        else:
-            out[f] = F.coalesce(F.col(f).cast("string"), F.lit("missing"))
-    return out
+    cleaned = df.select(*[clean(c).alias(c) if c in wanted else F.col(c) for c in df.columns])
+    out = {
+        f: bin_number(f, cuts.get(f, [])) if f in numeric else F.coalesce(F.col(f).cast("string"), F.lit("missing"))
+        for f in features
+    }
+    return cleaned, out
+
+
+def contingency(df: DataFrame, bins: dict[str, Column], y: Column) -> DataFrame:
+    """Counts (feature, x, y, n), from one scan for numeric bins and one for categories.
+
+    The scan groups by small integers; names and texts are attached to the counts.
+    """
+    numeric = set(numeric_columns(df))
+    frames = []
+    for chosen in ([f for f in bins if f in numeric], [f for f in bins if f not in numeric]):
+        if not chosen:
+            continue
+        items = F.array(*[F.struct(F.lit(i).alias("i"), bins[f].alias("x")) for i, f in enumerate(chosen)])
+        names = F.array(*[F.lit(f) for f in chosen])
+        counts = df.select(y.alias("y"), F.inline(items)).where(F.col("x").isNotNull()).groupBy("i", "x", "y").agg(
+            F.count(F.lit(1)).alias("n"))
+        frames.append(counts.select(
+            names[F.col("i")].alias("feature"), F.col("x").cast("string").alias("x"), F.col("y").cast("string").alias("y"), "n"))
+    return union_all(frames)
 
 
 def _information(cells: DataFrame, name: str, a: str, b: str) -> DataFrame:
@@ -68,26 +89,21 @@ def mutual_information(
     ``bias`` is the first-order upward bias of the plug-in estimate, reported
     beside it.  A regression target is cut into deciles as well.
     """
-    expressions = binned(df, features, bins)
-    y = binned(df, [target], bins)[target] if regression else F.col(target).cast("string")
-    items = F.array(*[F.struct(F.lit(f).alias("feature"), e.alias("x")) for f, e in expressions.items()])
-    cells = (
-        df.where(F.col(target).isNotNull()).select(y.alias("y"), F.explode(items).alias("i"))
-        .select("y", "i.*").where(F.col("x").isNotNull())
-        .groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-    )
-    return _information(cells, "feature", "x", "y")
+    kept = df.where(F.col(target).isNotNull())
+    names = list(features) + ([target] if regression else [])
+    cleaned, bins_of = binned(kept, names, bins)
+    y = bins_of.pop(target) if regression else F.col(target)
+    return _information(contingency(cleaned, bins_of, y), "feature", "x", "y")
 
 
 def joint_information(df: DataFrame, features: Sequence[str], bins: int = BINS) -> DataFrame:
     """(pair, mi, bias, n) between the binned features of every pair."""
-    e = binned(df, features, bins)
+    cleaned, e = binned(df, features, bins)
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    items = F.array(
-        *[F.struct(F.lit(f"{a}~{b}").alias("pair"), e[a].alias("x"), e[b].alias("z")) for a, b in pairs]
-    )
+    items = F.array(*[
+        F.struct(F.lit(f"{a}~{b}").alias("pair"), e[a].cast("string").alias("x"), e[b].cast("string").alias("z")) for a, b in pairs])
     cells = (
-        df.select(F.explode(items).alias("i")).select("i.*")
+        cleaned.select(F.inline(items))
         .where(F.col("x").isNotNull() & F.col("z").isNotNull())
         .groupBy("pair", "x", "z").agg(F.count(F.lit(1)).alias("n"))
     )
@@ -103,16 +119,10 @@ def feature_signal(df: DataFrame, features: Sequence[str], target: str, regressi
     """Information per encoded feature (numbers as they are, one 0/1 column per category), ranked."""
     numeric = [f for f in features if f in set(numeric_columns(df))]
     categorical = [f for f in features if f in set(categorical_columns(df))]
-    expressions = binned(df, numeric)
-    y = binned(df, [target])[target] if regression else F.col(target).cast("string")
     kept = df.where(F.col(target).isNotNull())
-    items = [F.struct(F.lit(f).alias("feature"), e.alias("x")) for f, e in expressions.items()]
-    cells = None
-    if items:
-        cells = (
-            kept.select(y.alias("y"), F.explode(F.array(*items)).alias("i")).select("y", "i.*")
-            .where(F.col("x").isNotNull()).groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-        )
+    kept, bins_of = binned(kept, numeric + ([target] if regression else []))
+    y = (bins_of.pop(target) if regression else F.col(target)).cast("string")
+    cells = contingency(kept, bins_of, y) if bins_of else None
     if categorical:
         # Counts for x=1 come from the category; x=0 is the class total minus them.
         value = [

@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 from sondage.functions.scalars import adjusted_kurtosis, adjusted_skewness, equal_width_bin, pearson, ratio
 from sondage.functions.schema import categorical_columns, numeric_columns
 from sondage.plans.ordering import hash_order
-from sondage.plans.quantiles import BUFFER_ROWS, exact_quantiles, melt
+from sondage.plans.quantiles import as_double as clean
+from sondage.plans.quantiles import column_quantiles, exact_quantiles
 
 CHUNK = 40
+# Aggregate expressions per scan that still compile into one generated function.
+EXPRESSIONS_PER_SCAN = 50
 CAP_IMBALANCE = 1000.0
 
 
@@ -29,16 +32,13 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def clean(column: str) -> Column:
-    """The column as double with NaN as null."""
-    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
-
-
 def column_aggregates(
-    df: DataFrame, features: Sequence[str], make: Callable[[str], dict[str, Column]], chunk: int = CHUNK
+    df: DataFrame, features: Sequence[str], make: Callable[[str], dict[str, Column]], chunk: int | None = None
 ) -> DataFrame:
-    """One row per feature with the aggregates ``make(feature)`` returns."""
+    """One row per feature with the aggregates ``make(feature)`` returns, ``chunk`` features per scan."""
     frames = []
+    if chunk is None:
+        chunk = max(2, EXPRESSIONS_PER_SCAN // max(1, len(make(features[0]))))
     for start in range(0, len(features), chunk):
         rows = [
             F.struct(F.lit(f).alias("feature"), *[e.alias(n) for n, e in make(f).items()])
@@ -48,15 +48,6 @@ def column_aggregates(
     return union_all(frames)
 
 
-def column_quantiles(
-    df: DataFrame, features: Sequence[str], probs: Sequence[float], discrete: bool = False,
-    buffer_rows: int = BUFFER_ROWS,
-) -> dict[str, list[float]]:
-    """Exact quantiles per column as plain numbers: len(features) x len(probs)."""
-    found = exact_quantiles(melt(df, features), ["feature"], "value", probs, discrete, buffer_rows)
-    return {r["feature"]: list(r["q"]) for r in found.collect()}
-
-
 # -- whole table -----------------------------------------------------------------------------
 
 
@@ -236,7 +227,7 @@ def box_stats(df: DataFrame, features: Sequence[str], key: str, shown: int = 50)
     features = [f for f in features if f in q]
     five = column_aggregates(
         df, features,
-        lambda f: {"n": F.count(clean(f)), **{n: F.first(F.lit(q[f][i])) for i, n in
+        lambda f: {"n": F.count(clean(f)), **{n: F.lit(q[f][i]) for i, n in
                                               enumerate(["low", "q1", "median", "q3", "high"])}},
     ).where(F.col("n") >= 4)
     beyond = []
@@ -338,7 +329,7 @@ def stats_table(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def profile_columns(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Everything per numeric column in two passes: exact quartiles, then one aggregate."""
+    """Everything per numeric column: exact quartiles, then one aggregate."""
     q = column_quantiles(df, features, [0.25, 0.5, 0.75])
     features = [f for f in features if f in q]
 
@@ -346,9 +337,9 @@ def profile_columns(df: DataFrame, features: Sequence[str]) -> DataFrame:
         c = clean(f)
         low, high = fences(q[f][0], q[f][2])
         return {
-            "n": F.count(c), "missing": F.count_if(c.isNull()), "mean": F.avg(c), "median": F.first(F.lit(q[f][1])),
+            "n": F.count(c), "missing": F.count_if(c.isNull()), "mean": F.avg(c), "median": F.lit(q[f][1]),
             "std": F.stddev_samp(c), "skew": adjusted_skewness(c), "kurt": adjusted_kurtosis(c),
-            "low": F.min(c), "q1": F.first(F.lit(q[f][0])), "q3": F.first(F.lit(q[f][2])), "high": F.max(c),
+            "low": F.min(c), "q1": F.lit(q[f][0]), "q3": F.lit(q[f][2]), "high": F.max(c),
             "outliers": F.count_if((c < low) | (c > high)),
         }
 

@@ -1,28 +1,165 @@
 """Exact quantiles that stay exact and distributed on large tables.
 
-The built-in ``percentile`` keeps every distinct value of a group in one
-buffer.  It is used while a checked row count keeps that buffer small.  Beyond
-that, a sketch brackets each wanted rank, one pass counts what lies below the
-bracket, and only the rows inside it (a few parts per million) are ordered.
+Of whole columns: repeated histograms close in on the wanted ranks.  Each pass
+is one scan with map-side combine and returns a few numbers per column; only the
+rows of the last, narrow intervals are ever ordered.
+
+Of groups: the built-in ``percentile`` keeps every distinct value of a group in
+one buffer.  It is used while a checked row count keeps that buffer small.
+Beyond that, a sketch brackets each wanted rank, one pass counts what lies below
+the bracket, and only the rows inside it (a few parts per million) are ordered.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUFFER_ROWS = 5_000_000
 SKETCH_ACCURACY = 100_000
+HISTOGRAM_BINS = 2048
+ORDERED_ROWS = 200_000
+
+
+def as_double(column: str) -> Column:
+    """The column as double with NaN as null."""
+    return F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
+
+
+def _wanted_ranks(n: int, p: float, discrete: bool) -> list[int]:
+    """0-based ranks that decide quantile ``p`` of ``n`` values."""
+    if discrete:
+        return [max(math.ceil(Fraction(p).limit_denominator(1_000_000) * n), 1) - 1]
+    at = (n - 1) * p
+    return [math.floor(at), math.ceil(at)]
+
+
+def order_statistics(
+    df: DataFrame, ranks: dict[str, set[int]], facts: dict[str, dict], bins: int = HISTOGRAM_BINS,
+    ordered_rows: int = ORDERED_ROWS,
+) -> dict[str, dict[int, float]]:
+    """The values at the given 0-based ranks of each double column's sorted non-null values.
+
+    ``facts`` holds each column's finite ``low`` and ``high``, its count of
+    finite values ``n`` and of negative infinities ``neg``.
+    """
+    found: dict[str, dict[int, float]] = {f: {} for f in ranks}
+    # An interval is (column, low, high, values below it, values inside, its ranks).
+    slots = []
+    for f, wanted in ranks.items():
+        a = facts[f]
+        inside = {r for r in wanted if a["neg"] <= r < a["neg"] + a["n"]}
+        found[f].update({r: -math.inf if r < a["neg"] else math.inf for r in wanted - inside})
+        if inside:
+            slots.append((f, a["low"], a["high"], a["neg"], a["n"], inside))
+    while slots:
+        done = [s for s in slots if s[1] == s[2]]
+        for f, low, _, _, _, wanted in done:
+            found[f].update(dict.fromkeys(wanted, low))
+        slots = [s for s in slots if s[1] < s[2]]
+        if not slots:
+            break
+        if sum(s[4] for s in slots) <= ordered_rows:
+            _order_slots(df, slots, found)
+            break
+        slots = _narrow_slots(df, slots, bins)
+    return found
+
+
+def _slot_rows(df: DataFrame, slots, bins: int | None) -> DataFrame:
+    """(slot, bin, v) of the cells inside an interval.  Intervals of a column are disjoint."""
+    items = []
+    for f in dict.fromkeys(s[0] for s in slots):
+        v = F.col(f)
+        slot, place = None, None
+        for i, (g, low, high, *_) in enumerate(slots):
+            if g != f:
+                continue
+            hit = (v >= low) & (v <= high)
+            slot = F.when(hit, i) if slot is None else slot.when(hit, i)
+            if bins:
+                # Halved ends keep the widest ranges finite; the expression never decreases in v.
+                span = high / 2 - low / 2
+                at = F.least(F.floor((v / 2 - low / 2) / F.lit(span) * bins), F.lit(bins - 1))
+                place = F.when(hit, at) if place is None else place.when(hit, at)
+        items.append(F.struct(slot.alias("slot"), (place if bins else F.lit(0)).cast("long").alias("bin"), v.alias("v")))
+    return df.select(F.inline(F.array(*items))).where(F.col("slot").isNotNull())
+
+
+def _narrow_slots(df: DataFrame, slots, bins: int):
+    counts = _slot_rows(df, slots, bins).groupBy("slot", "bin").agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    # At most ``bins`` rows per interval.
+    upto = F.sum("n").over(W.partitionBy("slot").orderBy("bin").rowsBetween(W.unboundedPreceding, W.currentRow))
+    tests = []
+    for i, (_, _, _, below, _, wanted) in enumerate(slots):
+        for r in sorted(wanted):
+            tests.append(F.struct(F.lit(i).alias("s"), F.lit(r - below).cast("long").alias("r")))
+    asked = F.array(*tests)
+    hit = F.exists(asked, lambda t: (t["s"] == F.col("slot")) & (t["r"] < F.col("upto")) & (t["r"] >= F.col("upto") - F.col("n")))
+    kept = counts.withColumn("upto", upto).where(hit).collect()
+    out = []
+    for row in kept:
+        f, _, _, below, _, wanted = slots[row["slot"]]
+        start = below + row["upto"] - row["n"]
+        inside = {r for r in wanted if start <= r < start + row["n"]}
+        out.append((f, row["low"], row["high"], start, row["n"], inside))
+    return out
+
+
+def _order_slots(df: DataFrame, slots, found) -> None:
+    values = _slot_rows(df, slots, None).groupBy("slot", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(W.partitionBy("slot").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    asked = F.array(*[
+        F.struct(F.lit(i).alias("s"), F.lit(r - s[3]).cast("long").alias("r")) for i, s in enumerate(slots) for r in sorted(s[5])])
+    hits = F.filter(asked, lambda t: (t["s"] == F.col("slot")) & (t["r"] < F.col("upto")) & (t["r"] >= F.col("upto") - F.col("n")))
+    for row in values.withColumn("upto", upto).select("slot", "v", F.explode(hits).alias("t")).collect():
+        f, _, _, below, *_ = slots[row["slot"]]
+        found[f][row["t"]["r"] + below] = row["v"]
+
+
+def column_quantiles(
+    df: DataFrame, features: Sequence[str], probs: Sequence[float], discrete: bool = False,
+    bins: int = HISTOGRAM_BINS, ordered_rows: int = ORDERED_ROWS, chunk: int = 40,
+) -> dict[str, list[float]]:
+    """Exact quantiles per column as plain numbers: len(features) x len(probs).  All-null columns are left out."""
+    out: dict[str, list[float]] = {}
+    for start in range(0, len(features), chunk):
+        part = list(features)[start:start + chunk]
+        columns = df.select(*[as_double(f).alias(f) for f in part])
+        facts = _column_facts(columns, part)
+        ranks = {
+            f: {r for p in probs for r in _wanted_ranks(a["all"], p, discrete)} for f, a in facts.items() if a["all"]}
+        values = order_statistics(columns, ranks, facts, bins, ordered_rows)
+        for f, got in values.items():
+            out[f] = []
+            for p in probs:
+                r = _wanted_ranks(facts[f]["all"], p, discrete)
+                low, high = got[r[0]], got[r[-1]]
+                between = (facts[f]["all"] - 1) * p - r[0]
+                out[f].append(low if discrete or low == high else low + (high - low) * between)
+    return out
+
+
+def _column_facts(df: DataFrame, features: Sequence[str]) -> dict[str, dict]:
+    exprs = []
+    for i, f in enumerate(features):
+        v = F.col(f)
+        finite = F.when(F.abs(v) < F.lit(math.inf), v)
+        exprs += [F.min(finite).alias(f"low{i}"), F.max(finite).alias(f"high{i}"), F.count(finite).alias(f"n{i}"),
+                  F.count(v).alias(f"all{i}"), F.count_if(v == F.lit(-math.inf)).alias(f"neg{i}")]
+    row = df.agg(*exprs).first()
+    return {f: {k: row[f"{k}{i}"] for k in ("low", "high", "n", "all", "neg")} for i, f in enumerate(features)}
 
 
 def melt(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Long form ``(keep..., feature, value)`` with double values; NaN becomes null."""
-    wide = df.select(
-        *keep, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in features]
-    )
+    wide = df.select(*keep, *[as_double(c).alias(c) for c in features])
     return wide.unpivot(list(keep), list(features), "feature", "value")
 
 

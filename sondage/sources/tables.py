@@ -61,7 +61,7 @@ def preview_schema(df: DataFrame) -> DataFrame:
 
     def stats(c):
         role = "numeric" if c in numeric else "categorical" if c in categorical else "other"
-        return {"dtype": F.first(F.lit(types[c])), "role": F.first(F.lit(role)), "missing": F.count_if(F.isnull(c)),
+        return {"dtype": F.lit(types[c]), "role": F.lit(role), "missing": F.count_if(F.isnull(c)),
                 "n_rows": F.count(F.lit(1))}
 
     return column_aggregates(df, df.columns, stats).withColumnRenamed("feature", "column")

@@ -140,3 +140,24 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 def test_materialise_reads_back_what_was_written(spark):
     kept = durable.materialise(spark.range(10).withColumn("a", F.array(F.col("id"))), "probe")
     assert kept.count() == 10 and kept.schema["a"].dataType.simpleString() == "array<bigint>"
+
+
+@pytest.mark.parametrize("discrete", [False, True])
+@pytest.mark.parametrize("limits", [(2048, 200_000), (8, 20), (2, 0)])
+def test_column_quantiles_close_in_exactly(spark, discrete, limits):
+    rng = np.random.default_rng(5)
+    n = 4000
+    frame = pd.DataFrame({
+        "heavy": np.where(rng.random(n) < 0.4, 0.0, rng.lognormal(3, 4, n)), "ints": rng.integers(-5, 5, n).astype(float),
+        "wide": rng.choice([-1.7e308, 1e-300, 3.0, 1.7e308], n), "constant": 2.5, "holes": np.where(rng.random(n) < 0.3, np.nan, rng.normal(size=n)),
+        "infinite": np.where(rng.random(n) < 0.1, np.inf, np.where(rng.random(n) < 0.1, -np.inf, rng.normal(size=n))),
+    })
+    frame["nothing"] = np.nan
+    df = spark.createDataFrame(frame).repartition(4)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.7, 0.9995, 1.0]
+    got = quantiles.column_quantiles(df, list(frame.columns), probs, discrete, *limits)
+    assert "nothing" not in got
+    method = "inverted_cdf" if discrete else "linear"
+    for c in ("heavy", "ints", "constant", "holes") + (("wide", "infinite") if discrete else ()):
+        want = np.quantile(frame[c].dropna(), probs, method=method)
+        assert np.allclose(got[c], want, rtol=1e-12), c
