@@ -206,7 +206,7 @@ def _renewed(t):
 
 
 @query("kb_upsert", f"""WITH {KB} SELECT dataset_name, domain, strftime(created_at, '%Y-%m-%d') AS created, strftime(updated_at + to_days((domain = 'ASIA')::INT), '%Y-%m-%d') AS updated,
-   round(total * (1 + (domain = 'ASIA')::INT) / 1000000, 2) AS total, round(best + 0.01::DOUBLE * (domain = 'ASIA')::INT, 5) AS best
+   round(total * (1 + (domain = 'ASIA')::INT) / 1000000, 2) AS total, round(best + 0.01::DOUBLE * (domain = 'ASIA')::INT, 6) AS best
   FROM experiments JOIN (SELECT experiment_id, sum(feature_value) AS total FROM features GROUP BY 1) USING (experiment_id)
   JOIN (SELECT experiment_id, max(f1_score) AS best FROM results GROUP BY 1) USING (experiment_id)
   UNION ALL SELECT c_mktsegment, 'segment', '2000-01-01', '2000-01-01', NULL, NULL FROM customer GROUP BY 1""")
@@ -214,7 +214,7 @@ def _(t):
     kb, new = _renewed(t)
     out = kb.upsert(new)
     totals = out.features.groupBy("experiment_id").agg(F.round(F.sum("feature_value") / 1000000, 2).alias("total"))
-    best = out.results.groupBy("experiment_id").agg(F.round(F.max("f1_score"), 5).alias("best"))
+    best = out.results.groupBy("experiment_id").agg(F.round(F.max("f1_score"), 6).alias("best"))
     return out.experiments.join(totals, "experiment_id", "left").join(best, "experiment_id", "left").select(
         "dataset_name", "domain", F.date_format("created_at", "yyyy-MM-dd").alias("created"),
         F.date_format("updated_at", "yyyy-MM-dd").alias("updated"), "total", "best")

@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sondage.functions.scalars import hash_fraction, hash_number, ratio
@@ -16,9 +15,8 @@ from sondage.functions.schema import categorical_columns, numeric_columns
 from sondage.operators import profile
 from sondage.plans.durable import materialise
 from sondage.plans.neighbours import nearest
-from sondage.plans.ordering import hash_ranks, number_rows
+from sondage.plans.ordering import dictionary, hash_ranks
 
-SMALL_DICTIONARY = 1_000_000
 MAX_ONE_HOT = 10_000
 
 
@@ -28,10 +26,7 @@ MAX_ONE_HOT = 10_000
 def label_dictionary(df: DataFrame, column: str, missing: str = "missing") -> DataFrame:
     """(label, idx) with idx counting from 0 in label order; a null is a class of its own."""
     label = F.coalesce(F.col(column).cast("string"), F.lit(missing))
-    labels = materialise(df.select(label.alias("label")).distinct(), "labels")
-    if labels.count() <= SMALL_DICTIONARY:
-        return labels.withColumn("idx", (F.row_number().over(W.orderBy("label")) - 1).cast("long"))
-    return number_rows(labels, ["label"], name="idx").withColumn("idx", F.col("idx") - 1)
+    return dictionary(df.select(label.alias("label")), "label")
 
 
 def label_encode(df: DataFrame, column: str, out: str | None = None, missing: str = "missing") -> DataFrame:
@@ -93,12 +88,13 @@ def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     """Most frequent value per column, the smallest on ties; 'Unknown' when all are null."""
-    out = {}
-    for c in columns:
-        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-        best = counts.agg(F.min_by(c, F.struct(-F.col("n"), F.col(c)))).first()[0]
-        out[c] = "Unknown" if best is None else best
-    return out
+    columns = list(columns)
+    if not columns:
+        return {}
+    items = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)])
+    counts = df.select(F.inline(items)).where(F.col("v").isNotNull()).groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    best = {r["i"]: r["v"] for r in counts.groupBy("i").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v")).collect()}
+    return {c: best.get(i, "Unknown") for i, c in enumerate(columns)}
 
 
 def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -110,7 +106,9 @@ def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def impute_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     fill = modes(df, columns)
-    return df.select(*[F.coalesce(F.col(c), F.lit(fill[c])).alias(c) if c in fill else F.col(c) for c in df.columns])
+    types = {f.name: f.dataType for f in df.schema}
+    return df.select(*[
+        F.coalesce(F.col(c), F.lit(fill[c]).try_cast(types[c])).alias(c) if c in fill else F.col(c) for c in df.columns])
 
 
 def standard_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:

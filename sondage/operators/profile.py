@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sondage.functions.scalars import adjusted_kurtosis, adjusted_skewness, equal_width_bin, pearson, ratio
 from sondage.functions.schema import categorical_columns, numeric_columns
-from sondage.plans.ordering import hash_order
+from sondage.plans.ordering import dictionary, hash_order
 from sondage.plans.quantiles import as_double as clean
 from sondage.plans.quantiles import column_quantiles, exact_quantiles
 
@@ -395,8 +395,7 @@ def flow_links(df: DataFrame, a: str, b: str, c: str) -> DataFrame:
     ]
     links = union_all(two)
     names = links.select(F.col("source").alias("name")).union(links.select("sink")).distinct()
-    # Nodes are distinct category names of three columns; links carry the counts.
-    nodes = names.withColumn("node", F.row_number().over(W.orderBy("name")) - 1)
+    nodes = dictionary(names, "name", "node")
     return links.join(nodes.select(F.col("name").alias("source"), F.col("node").alias("source_node")), "source").join(
         nodes.select(F.col("name").alias("sink"), F.col("node").alias("sink_node")), "sink"
     )

@@ -126,6 +126,18 @@ def number_rows(df: DataFrame, order, within: Sequence[str] = (), name: str = "r
     return running(df, order, within, None, name)
 
 
+def dictionary(df: DataFrame, column: str, name: str = "idx", small_rows: int = SMALL_ROWS) -> DataFrame:
+    """The distinct values of a column, numbered from 0 in their order.
+
+    Written once and counted: a small dictionary is numbered by a plain window,
+    a large one by the distributed :func:`number_rows`.
+    """
+    values = materialise(df.select(column).distinct(), "dictionary")
+    if values.count() <= small_rows:
+        return values.withColumn(name, (F.row_number().over(W.orderBy(column)) - 1).cast("long"))
+    return number_rows(values, [column], name=name).withColumn(name, F.col(name) - 1)
+
+
 def hash_order(key: str, seed: int | str) -> Column:
     """A repeatable pseudo-random sort key, the same in any SQL engine with md5."""
     return F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string")))
@@ -138,7 +150,7 @@ def hash_ranks(
     within: Sequence[str] = (),
     name: str = "rn",
     size_name: str | None = "group_size",
-    digits: int = 3,
+    digits: int = 4,
 ) -> DataFrame:
     """Row number in :func:`hash_order`, per group, plus the group's size.
 

@@ -40,10 +40,10 @@ class KnowledgeBase:
     def empty(cls, spark: SparkSession) -> "KnowledgeBase":
         return cls(*[spark.createDataFrame([], SCHEMAS[t]) for t in TABLES])
 
-    def save(self, folder: str) -> None:
+    def save(self, folder: str, mode: str = "error") -> None:
         """Write to a new folder; readers of the old one are not disturbed."""
         for name in TABLES:
-            getattr(self, name).write.parquet(f"{folder}/{name}")
+            getattr(self, name).write.mode(mode).parquet(f"{folder}/{name}")
 
     def export_csv(self, folder: str) -> None:
         for name in TABLES:
@@ -76,7 +76,8 @@ class KnowledgeBase:
         """Insert experiments or replace those with the same hash, features and results included.
 
         ``new`` tables carry ``dataset_hash``; when a hash comes more than once
-        the one with the latest ``updated_at`` counts.
+        the one with the latest ``updated_at`` counts.  Features and results may
+        carry ``updated_at`` too and then follow that version.
         """
         columns = [c for c in new.experiments.columns if c not in ("dataset_hash", "experiment_id", "created_at")]
         # max_by keeps one row per hash map-side, however often the hash repeats.
@@ -91,18 +92,21 @@ class KnowledgeBase:
             F.coalesce("_old_id", experiment_key("dataset_hash")).alias("experiment_id"), "dataset_hash", *columns,
             F.coalesce("_old_created", "_first_seen").alias("created_at"),
         )
-        ids = incoming.select("dataset_hash", "experiment_id")
+        ids = incoming.select("dataset_hash", "experiment_id", "updated_at")
         replaced = ids.select("experiment_id")
 
-        def merged(old, fresh):
-            rows = fresh.drop("experiment_id").join(ids, "dataset_hash").select(*old.columns)
+        def merged(old, fresh, name):
+            version = ["dataset_hash", "updated_at"] if "updated_at" in fresh.columns else ["dataset_hash"]
+            # One row per (experiment, name): copies collapse before the join.
+            single = fresh.drop("experiment_id").dropDuplicates([*version, name])
+            rows = single.join(ids.select("experiment_id", *version), version).select(*old.columns)
             return old.join(replaced, "experiment_id", "left_anti").unionByName(rows)
 
         return KnowledgeBase(
             self.experiments.join(replaced, "experiment_id", "left_anti").unionByName(
                 incoming.select(*self.experiments.columns)),
-            merged(self.features, new.features),
-            merged(self.results, new.results),
+            merged(self.features, new.features, "feature_name"),
+            merged(self.results, new.results, "algorithm_name"),
         )
 
     def feedback(self, observed: DataFrame) -> tuple["KnowledgeBase", DataFrame]:

@@ -43,23 +43,27 @@ def event_time(df: DataFrame, column: str, delay: str) -> DataFrame:
     return df.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
 
 
-def drain(
-    stream: DataFrame, label: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None
-) -> tuple[DataFrame | None, StreamingQuery]:
-    """Run over everything available, then stop.  Returns the written table and the query."""
-    spark = stream.sparkSession
-    path = scratch_path(spark, label)
+def start(
+    stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", **trigger
+) -> StreamingQuery:
+    """Start a query that hands every batch to ``each``; restart with the same ``checkpoint`` to go on."""
+    writer = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
 
+
+def folder_sink(path: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(each or write)
-        .option("checkpointLocation", scratch_path(spark, f"{label}-state")).trigger(availableNow=True).start()
-    )
+    return write
+
+
+def drain(stream: DataFrame, label: str, mode: str = "append") -> tuple[DataFrame, StreamingQuery]:
+    """Run over everything available, then stop.  Returns the written table and the query."""
+    spark = stream.sparkSession
+    path = scratch_path(spark, label)
+    query = start(stream, folder_sink(path), scratch_path(spark, f"{label}-state"), mode)
     query.awaitTermination()
-    if each is not None:
-        return None, query
     return spark.read.schema(stream.schema).option("basePath", path).parquet(f"{path}/batch=*").drop("batch"), query
 
 
@@ -126,28 +130,28 @@ def last_n_merge(buffers: DataFrame, key: str, n: int = LATENCIES_KEPT) -> DataF
     return rows.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= n)
 
 
-def feedback_into(kb: KnowledgeBase, feedback: DataFrame, delay_keys: list[str]) -> KnowledgeBase:
+def feedback_into(
+    kb: KnowledgeBase, feedback: DataFrame, keys: list[str], root: str | None = None
+) -> KnowledgeBase:
     """Stream feedback events into the base, each event once.
 
-    Repeats within the watermark are dropped; every batch upserts into the
-    version the previous one wrote and publishes a new folder.
+    Repeats within the watermark are dropped.  Batch n reads the version batch
+    n - 1 wrote below ``root`` and publishes its own, so a batch that is run
+    again after a failure starts from the same version and overwrites its result.
     """
     spark = feedback.sparkSession
-    root = scratch_path(spark, "kb-stream")
-    kb.save(f"{root}/start")
-    current = {"folder": f"{root}/start"}
+    root = root or scratch_path(spark, "kb-stream")
+    kb.save(f"{root}/v-1")
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        base = KnowledgeBase.load(spark, current["folder"])
-        updated, rejected = base.feedback(batch)
-        target = f"{root}/v{batch_id}"
-        for name in ("experiments", "features", "results"):
-            getattr(updated, name).write.mode("overwrite").parquet(f"{target}/{name}")
+        updated, rejected = KnowledgeBase.load(spark, f"{root}/v{batch_id - 1}").feedback(batch)
+        updated.save(f"{root}/v{batch_id}", mode="overwrite")
         rejected.write.mode("overwrite").parquet(f"{root}/rejects/batch={batch_id}")
-        current["folder"] = target
 
-    drain(feedback.dropDuplicatesWithinWatermark(delay_keys), "kb-feedback", each=upsert)
-    return KnowledgeBase.load(spark, current["folder"])
+    query = start(feedback.dropDuplicatesWithinWatermark(keys), upsert, f"{root}/state")
+    query.awaitTermination()
+    last = max((p.batchId for p in query.recentProgress), default=-1)
+    return KnowledgeBase.load(spark, f"{root}/v{last}")
 
 
 def late_rows(stream: DataFrame, keys: list[str], label: str = "late") -> DataFrame:
