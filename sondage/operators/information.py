@@ -29,15 +29,21 @@ def bin_number(feature: str, cuts: Sequence[float]) -> Column:
     return F.when(value.isNotNull(), place)
 
 
-def binned(df: DataFrame, features: Sequence[str], bins: int = BINS) -> tuple[DataFrame, dict[str, Column]]:
+def cut_points(bins: int = BINS) -> list[float]:
+    return [i / bins for i in range(1, bins)]
+
+
+def binned(
+    df: DataFrame, features: Sequence[str], bins: int = BINS, cuts: dict[str, list[float]] | None = None
+) -> tuple[DataFrame, dict[str, Column]]:
     """``df`` with its numeric features as clean doubles, and a bin expression per feature.
 
     Numbers get an integer bin, categories are their own bins.
     """
     numeric = set(numeric_columns(df))
     wanted = [f for f in dict.fromkeys(features) if f in numeric]
-    probs = [i / bins for i in range(1, bins)]
-    cuts = column_quantiles(df, wanted, probs, discrete=True) if wanted else {}
+    if cuts is None:
+        cuts = column_quantiles(df, wanted, cut_points(bins), discrete=True) if wanted else {}
     cleaned = df.select(*[clean(c).alias(c) if c in wanted else F.col(c) for c in df.columns])
     out = {
         f: bin_number(f, cuts.get(f, [])) if f in numeric else F.coalesce(F.col(f).cast("string"), F.lit("missing"))
@@ -82,16 +88,18 @@ def _information(cells: DataFrame, name: str, a: str, b: str) -> DataFrame:
 
 
 def mutual_information(
-    df: DataFrame, features: Sequence[str], target: str, regression: bool = False, bins: int = BINS
+    df: DataFrame, features: Sequence[str], target: str, regression: bool = False, bins: int = BINS,
+    cuts: dict[str, list[float]] | None = None,
 ) -> DataFrame:
     """(feature, mi, bias, n): information of each feature about the target.
 
     ``bias`` is the first-order upward bias of the plug-in estimate, reported
-    beside it.  A regression target is cut into deciles as well.
+    beside it.  A regression target is cut into deciles as well.  ``cuts`` are the
+    columns' bin limits over the rows with a target, if known already.
     """
     kept = df.where(F.col(target).isNotNull())
     names = list(features) + ([target] if regression else [])
-    cleaned, bins_of = binned(kept, names, bins)
+    cleaned, bins_of = binned(kept, names, bins, cuts)
     y = bins_of.pop(target) if regression else F.col(target)
     return _information(contingency(cleaned, bins_of, y), "feature", "x", "y")
 

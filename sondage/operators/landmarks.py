@@ -83,8 +83,8 @@ def stump(df: DataFrame, features: Sequence[str], target: str, k: int) -> DataFr
     sums = {f"u{n[1:]}": n for n in names.values()}
     steps = materialise(cumulative(cells, ["value"], ["feature"], sums), "stump")
     totals = steps.groupBy("feature").agg(*[F.sum(n).alias(f"t{n[1:]}") for n in names.values()])
-    # One row per feature.
-    full = steps.join(totals, "feature")
+    # One row per feature, that is per column of the table.
+    full = steps.join(F.broadcast(totals), "feature")
 
     def inside(g, c, prefix):
         return _add([F.col(f"{prefix}{names[h, c][1:]}") for h in range(k) if h != g]).cast("double")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sondage.functions.scalars import ratio
 from sondage.functions.schema import categorical_columns, numeric_columns
 from sondage.operators import information, profile
+from sondage.plans.quantiles import column_quantile_sets
 
 
 def extract(df: DataFrame, target: str) -> DataFrame:
@@ -35,15 +36,19 @@ def extract(df: DataFrame, target: str) -> DataFrame:
         profile.missing_pct(df, target).scalar().alias("l1_missing_pct"),
     )
     if numeric:
+        # Rows without a target are left out; quartiles and bin limits come from the same passes.
+        complete = df.where(F.col(target).isNotNull())
+        quartiles, cuts = column_quantile_sets(
+            complete, numeric, [([0.25, 0.75], False), (information.cut_points(), True)])
         mean = profile.moments(df, numeric, 3).agg(
             F.struct(F.avg("skewness").alias("s"), F.avg("kurtosis").alias("k"), F.avg("var_pop").alias("v"))
         ).scalar()
-        info = information.mutual_information(df, numeric, target).agg(
+        info = information.mutual_information(df, numeric, target, cuts=cuts).agg(
             F.struct(F.avg("mi").alias("mean"), F.max("mi").alias("high"))
         ).scalar()
         facts = facts.select(
             "*", mean.alias("_m"), info.alias("_i"),
-            profile.outlier_ratio(df, numeric).scalar().alias("l2_outlier_ratio"),
+            profile.outlier_ratio(complete, numeric, quartiles).scalar().alias("l2_outlier_ratio"),
             (profile.mean_abs_correlation(df, numeric).scalar() if len(numeric) > 1 else F.lit(0.0)).alias("l2_mean_correlation"),
         ).select(
             "*", F.col("_m.s").alias("l2_mean_skewness"), F.col("_m.k").alias("l2_mean_kurtosis"),

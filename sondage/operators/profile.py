@@ -216,8 +216,10 @@ def outliers_by_column(
     return column_aggregates(df, features, stats).where(F.col("n") >= min_rows)
 
 
-def outlier_ratio(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    rows = outliers_by_column(df, features)
+def outlier_ratio(
+    df: DataFrame, features: Sequence[str], quartiles: dict[str, list[float]] | None = None
+) -> DataFrame:
+    rows = outliers_by_column(df, features, quartiles=quartiles)
     return rows.agg(ratio(F.sum("outliers"), F.sum("n")).alias("outlier_ratio"))
 
 

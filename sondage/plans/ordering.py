@@ -80,6 +80,10 @@ def running(
         *[F.max(f"_max_{o}").over(before).alias(f"_off_{o}") for o in maxima],
     )
     names = [c for c in ordered.columns if c not in ("_part", "_pos")]
+    offsets = materialise(offsets, "offsets")
+    if offsets.count() <= SMALL_ROWS:
+        # Normally one row per sorted partition and group: checked, then broadcast.
+        offsets = F.broadcast(offsets)
     joined = ordered.alias("o").join(offsets.alias("t"), _same(ordered, offsets, keys)).select(
         *[F.col(f"o.{c}") for c in ordered.columns],
         "_first",

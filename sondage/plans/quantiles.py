@@ -20,10 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sondage.plans.durable import materialise
+
 BUFFER_ROWS = 5_000_000
 SKETCH_ACCURACY = 100_000
 HISTOGRAM_BINS = 2048
-ORDERED_ROWS = 200_000
+ORDERED_ROWS = 1_000_000
+SMALL_GROUPS = 10_000
 
 
 def as_double(column: str) -> Column:
@@ -123,29 +126,42 @@ def _order_slots(df: DataFrame, slots, found) -> None:
         found[f][row["t"]["r"] + below] = row["v"]
 
 
-def column_quantiles(
-    df: DataFrame, features: Sequence[str], probs: Sequence[float], discrete: bool = False,
+def column_quantile_sets(
+    df: DataFrame, features: Sequence[str], requests: Sequence[tuple[Sequence[float], bool]],
     bins: int = HISTOGRAM_BINS, ordered_rows: int = ORDERED_ROWS, chunk: int = 40,
-) -> dict[str, list[float]]:
-    """Exact quantiles per column as plain numbers: len(features) x len(probs).  All-null columns are left out."""
-    out: dict[str, list[float]] = {}
+) -> list[dict[str, list[float]]]:
+    """Exact quantiles for several (probs, discrete) requests in the same passes.
+
+    Each answer has plain numbers per column; all-null columns are left out.
+    """
+    out: list[dict[str, list[float]]] = [{} for _ in requests]
     for start in range(0, len(features), chunk):
         part = list(features)[start:start + chunk]
         columns = df.select(*[as_double(f).alias(f) for f in part])
         facts = _column_facts(columns, part)
         ranks = {
-            f: {r for p in probs for r in _wanted_ranks(a["all"], p, discrete)} for f, a in facts.items() if a["all"]}
+            f: {r for probs, discrete in requests for p in probs for r in _wanted_ranks(a["all"], p, discrete)}
+            for f, a in facts.items() if a["all"]}
         values = order_statistics(columns, ranks, facts, bins, ordered_rows)
-        for f, got in values.items():
-            out[f] = []
-            for p in probs:
-                r = _wanted_ranks(facts[f]["all"], p, discrete)
-                low, high = got[r[0]], got[r[-1]]
-                between = (facts[f]["all"] - 1) * p - r[0]
-                out[f].append(low if discrete or low == high else low + (high - low) * between)
+        for answer, (probs, discrete) in zip(out, requests):
+            for f, got in values.items():
+                n = facts[f]["all"]
+                answer[f] = []
+                for p in probs:
+                    r = _wanted_ranks(n, p, discrete)
+                    low, high = got[r[0]], got[r[-1]]
+                    answer[f].append(low if discrete or low == high else low + (high - low) * ((n - 1) * p - r[0]))
     return out
 
 
+def column_quantiles(
+    df: DataFrame, features: Sequence[str], probs: Sequence[float], discrete: bool = False,
+    bins: int = HISTOGRAM_BINS, ordered_rows: int = ORDERED_ROWS,
+) -> dict[str, list[float]]:
+    """Exact quantiles per column as plain numbers: len(features) x len(probs)."""
+    return column_quantile_sets(df, features, [(probs, discrete)], bins, ordered_rows)[0]
+
+
 def _column_facts(df: DataFrame, features: Sequence[str]) -> dict[str, dict]:
     exprs = []
     for i, f in enumerate(features):
@@ -232,6 +248,10 @@ def _by_brackets(rows, by, value, probs, discrete, accuracy):
             for i, p in enumerate(probs)
         ]
     )
+    sketch = materialise(sketch, "sketch")
+    if sketch.count() <= SMALL_GROUPS:
+        # One row per group, checked: the rows need no shuffle to meet it.
+        sketch = F.broadcast(sketch)
     brackets = sketch.select(*by, F.explode(wanted).alias("_w")).select(*by, "_w.*")
     paired = (
         rows.select(*by, F.col(value).alias("_v"))
