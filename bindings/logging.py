@@ -120,7 +120,7 @@ def _(t):
   UNION ALL SELECT h, a, f1 FROM fb JOIN experiments ON h = dataset_hash WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.experiment_id = experiments.experiment_id AND r.algorithm_name = a)""")
 def _(t):
     rows = streams.event_time(streams.file_stream(t.spark, t.folder, t.events.schema, "events.parquet"), "ts", "1 hour")
-    seen = rows.join(F.broadcast(t.nation), F.col("user_id") % 25 == F.col("n_nationkey")).select(
+    seen = rows.join(t.nation, F.col("user_id") % 25 == F.col("n_nationkey")).select(
         "event_id", "ts", F.md5("n_name").alias("dataset_hash"), F.lit("1-URGENT").alias("algorithm_name"),
         F.round(F.col("value") / 1000, 6).alias("f1_score"))
     kb = streams.feedback_into(t.kb(), seen.unionAll(seen), ["event_id"])

@@ -170,7 +170,8 @@ def _(t):
     return t.lineitem.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("batch_prep")
+@query("batch_prep", f"""WITH {DOC} SELECT doc_id, (1 + (SELECT count(DISTINCT lang) + count(DISTINCT source) FROM doc))::INT AS width,
+  round((n_chars - avg(n_chars) OVER ()) / stddev_samp(n_chars) OVER (), 4) AS n_chars_scaled FROM doc""")
 def _(t):
     df = prepare.as_doubles(t.doc(), ["n_chars"])
     fitted = prepare.preparation(["n_chars"], ["lang", "source"]).fit(df)

@@ -107,7 +107,8 @@ def _(t):
     return training.train_models(rows, "p_partkey", ["p_size", "p_brand", "p_type"], "p_retailprice", "regression").board
 
 
-@query("model_catalog")
+@query("model_catalog", f"""WITH {DOC} SELECT n_rows, task, model FROM (SELECT count(*) AS n_rows FROM doc),
+  (VALUES ('classification', 'LogisticRegression'), ('classification', 'RandomForest'), ('classification', 'GradientBoosting'), ('classification', 'LinearSVM'), ('classification', 'DecisionTree'), ('classification', 'NaiveBayes'), ('classification', 'NeuralNetwork'), ('regression', 'LinearRegression'), ('regression', 'RandomForest'), ('regression', 'GradientBoosting'), ('regression', 'DecisionTree'), ('regression', 'GeneralizedLinear')) v(task, model)""")
 def _(t):
     counts = t.doc().agg(F.count_distinct("quality").alias("k"), F.count(F.lit(1)).alias("n_rows"))
     k, _ = counts.first()
@@ -173,14 +174,20 @@ def _(t):
     return training.local_attribution(run.models["RandomForest"], row, [1.0] * len(row), run.names, t.spark)
 
 
-@query("model_save_load")
+@query("model_save_load", f"WITH {DOC} SELECT count(*) AS n, 0::BIGINT AS differing FROM doc")
 def _(t):
+    """Every row scored by the model before saving and after loading."""
     run = _fitted(t)
     folder = scratch_path(t.spark, "model")
-    training.save_model(run.pipeline("LogisticRegression"), folder)
-    again = training.load_model(folder)
+    model = run.pipeline("LogisticRegression")
+    training.save_model(model, folder)
     rows = t.doc().withColumn("n_chars", F.col("n_chars").cast("double"))
-    return training.batch_score(again, rows, "doc_id")
+    return _differing(training.batch_score(model, rows, "doc_id"), training.batch_score(training.load_model(folder), rows, "doc_id"))
+
+
+def _differing(a, b):
+    both = a.withColumnRenamed("prediction", "p").join(b, "doc_id", "full")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("p").eqNullSafe(F.col("prediction"))).alias("differing"))
 
 
 @query("batch_score")
@@ -190,15 +197,18 @@ def _(t):
     return training.batch_score(run.pipeline("RandomForest"), rows, "doc_id").groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_score")
+@query("stream_score", "SELECT count(*) AS n, 0::BIGINT AS differing FROM documents")
 def _(t):
+    """Every document scored by the stream and by the batch."""
     from sondage.streaming import streams
 
     rows = streams.file_stream(t.spark, t.folder, t.documents.schema, "documents.parquet")
-    run = _fitted(t)
-    scored = training.batch_score(
-        run.pipeline("LogisticRegression"), rows.withColumn("n_chars", F.col("n_chars").cast("double")), "doc_id")
-    return streams.drain(scored, "scored")[0]
+    model = _fitted(t).pipeline("LogisticRegression")
+
+    def score(df):
+        return training.batch_score(model, df.select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), "lang", "source"), "doc_id")
+
+    return _differing(score(t.documents), streams.drain(score(rows), "scored")[0])
 
 
 # -- meta-model and whole paths ------------------------------------------------------------------

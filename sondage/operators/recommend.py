@@ -68,17 +68,20 @@ def system_stats(kb: KnowledgeBase, model_trained: bool) -> DataFrame:
 
 
 def similar_experiments(kb: KnowledgeBase, query: dict[str, float], k: int = 5) -> DataFrame:
-    """Cosine top-k of one query vector.  Missing features are 0; a zero vector has similarity 0.
+    """Cosine top-k of one query vector over the base's features.
 
-    The query is a handful of literals, so one pass over the long features with
+    A missing feature is 0 on either side; a zero vector has similarity 0.  The
+    query is a handful of literals, so one pass over the long features with
     map-side combine is enough.
     """
-    weights = F.create_map(*[x for f, v in query.items() for x in (F.lit(f), F.lit(float(v)))])
+    names = kb.feature_names()
+    known = {f: float(query.get(f) or 0.0) for f in names}
+    weights = F.create_map(*[x for f, v in known.items() for x in (F.lit(f), F.lit(v))]) if known else F.create_map(
+        F.lit(""), F.lit(0.0))
     q = F.coalesce(F.try_element_at(weights, F.col("feature_name")), F.lit(0.0))
     v = F.coalesce("feature_value", F.lit(0.0))
-    norm = sum(float(x) ** 2 for f, x in query.items()) ** 0.5
-    known = F.col("feature_name").isin(list(query))
-    sums = kb.features.where(known).groupBy("experiment_id").agg(F.sum(q * v).alias("dot"), F.sum(v * v).alias("vv"))
+    norm = sum(x * x for x in known.values()) ** 0.5
+    sums = kb.features.groupBy("experiment_id").agg(F.sum(q * v).alias("dot"), F.sum(v * v).alias("vv"))
     score = F.coalesce(F.try_divide(F.col("dot"), F.sqrt("vv") * F.lit(norm)), F.lit(0.0))
     scored = kb.experiments.select("experiment_id").join(sums, "experiment_id", "left").select(
         "experiment_id", score.alias("similarity"))

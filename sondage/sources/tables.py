@@ -16,12 +16,12 @@ CORRUPT = "_corrupt"
 
 def scan_csv(
     spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None, header: bool = True,
-    keep_corrupt: bool = False, sampling: float = 0.1,
+    keep_corrupt: bool = False, sampling: float = 1.0,
 ) -> DataFrame:
     """Read CSV.  With a schema nothing is inferred and, if asked, malformed lines are kept in ``_corrupt``.
 
-    Without one the types are inferred from a sample of the lines: a first pass
-    over the files that a schema avoids.
+    Without one the types are inferred in a first pass over the files, which a
+    schema avoids; a ``sampling`` below 1 shortens it but may miss rare values.
     """
     reader = spark.read.option("header", header)
     if schema is None:
