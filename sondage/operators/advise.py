@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sondage.functions.schema import categorical_columns, numeric_columns
 from sondage.operators import information, profile
 from sondage.operators.prepare import medians
+from sondage.plans.durable import materialise
 
 # Thresholds of the issue rules.
 LOW_VARIANCE = 0.01
@@ -29,6 +30,38 @@ TIPS = {
     "class_imbalance": "Use SMOTE, class weighting, or adjust decision threshold",
 }
 
+# Wording of the suggested actions.
+ACTIONS = {
+    "near_zero_variance": 'Remove feature "%s" - near-zero variance (%.6f) indicates no discriminative power',
+    "low_information": 'Consider removing or transforming "%s" - very low mutual information (%.4f) with target',
+    "redundant": 'Features "%s" and "%s" are highly correlated (%.2f%%). Keep "%s" (MI=%.4f), remove "%s"',
+    "skewed_log": 'Apply log1p transformation to "%s" - highly skewed (skewness=%.2f)',
+    "skewed_power": 'Apply Box-Cox or Yeo-Johnson transformation to "%s" - highly skewed (skewness=%.2f)',
+    "missing_high": 'Consider removing column "%s" - %.1f%% missing values exceeds 30%% threshold',
+    "missing_some": 'Impute "%s" using %s imputation - %.1f%% missing values',
+    "imbalance_high": "Class imbalance detected (ratio=%.1f). Consider SMOTE oversampling, class weighting, or threshold adjustment",
+    "imbalance_moderate": 'Moderate class imbalance (ratio=%.1f). Consider class_weight="balanced" in your model',
+    "healthy": "No significant feature issues detected.",
+    "summary": "Found %d high, %d medium, and %d low severity issues.",
+}
+
+# Wording of the improvement suggestions.
+SUGGESTIONS = {
+    "missing": "Clean missing values in: %s. Use median/mode imputation or model-aware imputation.",
+    "skewed": "Apply log/Yeo-Johnson transforms to skewed features: %s.",
+    "imbalance": "Class imbalance detected. Try class weights, SMOTE, or threshold tuning.",
+    "f1_low": "F1 is below 0.75. Add domain features, remove leakage/noise, tune hyperparameters, and check labeling quality.",
+    "f1_good": "Performance is strong. Run repeated cross-validation and calibration before deployment.",
+    "r2_low": "R2 is modest. Add interaction features, transform the target, inspect outliers, and tune tree depth/learning rate.",
+    "r2_good": "Regression fit is promising. Validate residual assumptions and test on a holdout dataset.",
+    "closing": "Export the best model only after checking learning curves, feature importance, and data drift across versions.",
+}
+
+# Limits of the suggestions and gains of the what-if scenarios.
+GOOD_F1, GOOD_R2, SUGGEST_IMBALANCE, LISTED = 0.75, 0.6, 3.0, 5
+MORE_ROWS = 0.2
+GAIN_F1_ROWS, GAIN_F1_CLEANING, GAIN_R2_ROWS = (0.08, 0.25), (0.06, 0.2), (0.10, 0.25)
+
 ISSUE_COLUMNS = ["feature", "issue_type", "severity", "metric_value", "threshold", "action", "recommended_transform"]
 
 
@@ -46,15 +79,13 @@ def _issues(rows: DataFrame, feature, kind, severity, metric: Column, threshold,
 def near_zero_variance(stats: DataFrame) -> DataFrame:
     """``stats``: rows of ``profile.moments``."""
     f, v = F.col("feature"), F.col("var_pop")
-    text = F.format_string(
-        'Remove feature "%s" - near-zero variance (%.6f) indicates no discriminative power', f, v)
+    text = F.format_string(ACTIONS["near_zero_variance"], f, v)
     return _issues(stats.where(v < LOW_VARIANCE), f, "weak_near_zero_variance", "high", F.round(v, 6), LOW_VARIANCE, text)
 
 
 def low_information(info: DataFrame) -> DataFrame:
     f, v = F.col("feature"), F.col("mi")
-    text = F.format_string(
-        'Consider removing or transforming "%s" - very low mutual information (%.4f) with target', f, v)
+    text = F.format_string(ACTIONS["low_information"], f, v)
     return _issues(info.where(v < LOW_INFORMATION), f, "weak_low_mutual_info", "medium", F.round(v, 4), LOW_INFORMATION, text)
 
 
@@ -67,8 +98,7 @@ def redundant_pairs(correlations: DataFrame, info: DataFrame) -> DataFrame:
     keep = F.when(first, F.col("a")).otherwise(F.col("b"))
     drop = F.when(first, F.col("b")).otherwise(F.col("a"))
     text = F.format_string(
-        'Features "%s" and "%s" are highly correlated (%.2f%%). Keep "%s" (MI=%.4f), remove "%s"',
-        F.col("a"), F.col("b"), F.col("r") * 100, keep, F.greatest("mi_a", "mi_b"), drop)
+        ACTIONS["redundant"], F.col("a"), F.col("b"), F.col("r") * 100, keep, F.greatest("mi_a", "mi_b"), drop)
     return _issues(both, F.concat_ws("/", keep, drop), "redundant_high_correlation", "high", F.round("r", 4),
                    HIGH_CORRELATION, text)
 
@@ -77,10 +107,8 @@ def skewed_features(stats: DataFrame) -> DataFrame:
     f, v = F.col("feature"), F.col("skewness")
     hit = stats.where((F.col("n") > 3) & (F.abs(v) > HIGH_SKEW))
     log = F.col("low") >= 0
-    text = F.when(
-        log, F.format_string('Apply log1p transformation to "%s" - highly skewed (skewness=%.2f)', f, v)
-    ).otherwise(
-        F.format_string('Apply Box-Cox or Yeo-Johnson transformation to "%s" - highly skewed (skewness=%.2f)', f, v))
+    text = F.when(log, F.format_string(ACTIONS["skewed_log"], f, v)).otherwise(
+        F.format_string(ACTIONS["skewed_power"], f, v))
     return _issues(hit, f, "highly_skewed", "medium", F.round(v, 4), HIGH_SKEW, text,
                    F.when(log, "log1p").otherwise("Box-Cox"))
 
@@ -91,9 +119,8 @@ def missing_issues(missing: DataFrame, numeric: Sequence[str]) -> DataFrame:
     f = F.col("feature")
     high = pct > HIGH_MISSING_PCT
     strategy = F.when(f.isin(list(numeric)), "median").otherwise("mode")
-    text = F.when(
-        high, F.format_string('Consider removing column "%s" - %.1f%% missing values exceeds 30%% threshold', f, pct)
-    ).otherwise(F.format_string('Impute "%s" using %s imputation - %.1f%% missing values', f, strategy, pct))
+    text = F.when(high, F.format_string(ACTIONS["missing_high"], f, pct)).otherwise(
+        F.format_string(ACTIONS["missing_some"], f, strategy, pct))
     return _issues(
         missing.where(pct > 0), f, F.when(high, "high_missing").otherwise("moderate_missing"),
         F.when(high, "high").otherwise("low"), F.round(pct, 2), HIGH_MISSING_PCT, text)
@@ -103,10 +130,8 @@ def imbalance_issue(df: DataFrame, target: str) -> DataFrame:
     r = F.col("imbalance_ratio")
     rows = profile.imbalance_ratio(df, target, cap=None).where(r > MODERATE_IMBALANCE)
     high = r > HIGH_IMBALANCE
-    text = F.when(
-        high, F.format_string("Class imbalance detected (ratio=%.1f). Consider SMOTE oversampling, class weighting, "
-                              "or threshold adjustment", r)
-    ).otherwise(F.format_string('Moderate class imbalance (ratio=%.1f). Consider class_weight="balanced" in your model', r))
+    text = F.when(high, F.format_string(ACTIONS["imbalance_high"], r)).otherwise(
+        F.format_string(ACTIONS["imbalance_moderate"], r))
     return _issues(rows, "target", F.when(high, "class_imbalance").otherwise("moderate_imbalance"),
                    F.when(high, "high").otherwise("medium"), F.round(r, 2),
                    F.when(high, HIGH_IMBALANCE).otherwise(MODERATE_IMBALANCE), text)
@@ -145,7 +170,11 @@ def advise(df: DataFrame, target: str) -> DataFrame:
 
 
 def health_summary(issues: DataFrame) -> DataFrame:
-    """One row even without issues: status, counts by severity and by type, a sentence."""
+    """One row even without issues: status, counts by severity and by type, a sentence.
+
+    The issues are read twice, so they are written first: a few rows per column.
+    """
+    issues = materialise(issues, "issues")
     high, medium, low = [F.count_if(F.col("severity") == s) for s in ("high", "medium", "low")]
     by_type = issues.groupBy("issue_type").agg(F.count(F.lit(1)).alias("n")).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("issue_type", "n"))))
@@ -158,9 +187,8 @@ def health_summary(issues: DataFrame) -> DataFrame:
         F.when(F.col("high_severity") > 0, "critical").when(F.col("medium_severity") > 0, "warning")
         .when(F.col("total_issues") > 0, "minor").otherwise("healthy")
     )
-    text = F.when(F.col("total_issues") == 0, "No significant feature issues detected.").otherwise(
-        F.format_string("Found %d high, %d medium, and %d low severity issues.", "high_severity", "medium_severity",
-                        "low_severity"))
+    text = F.when(F.col("total_issues") == 0, ACTIONS["healthy"]).otherwise(
+        F.format_string(ACTIONS["summary"], "high_severity", "medium_severity", "low_severity"))
     return counts.select(status.alias("status"), "*", by_type.alias("issue_types"), text.alias("summary"))
 
 
@@ -175,47 +203,41 @@ def preprocessing_tips(issues: DataFrame) -> DataFrame:
 def improvement_suggestions(df: DataFrame, target: str, task: str, best_score: Column | float) -> DataFrame:
     """(position, suggestion) rows; ``best_score`` is the best F1 or R2."""
     spark = df.sparkSession
-    missing = profile.missing_by_column(df).where(F.col("missing") > 0).orderBy(
-        F.col("share").desc(), "feature").limit(5)
-    holes = missing.agg(F.concat_ws(", ", F.transform(F.array_sort(F.collect_list(F.struct(
-        (-F.col("share")).alias("s"), "feature"))), lambda s: s["feature"])).alias("t")).where(F.col("t") != "")
-    rows = [holes.select(F.lit(1).alias("position"), F.format_string(
-        "Clean missing values in: %s. Use median/mode imputation or model-aware imputation.", "t").alias("suggestion"))]
 
+    def one(position, rows, text):
+        return rows.select(F.lit(position).alias("position"), text.alias("suggestion"))
+
+    always = spark.range(1)
+    missing = profile.missing_by_column(df).where(F.col("missing") > 0).orderBy(F.col("share").desc(), "feature").limit(LISTED)
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("s"), "feature")))
+    holes = missing.agg(F.concat_ws(", ", F.transform(ordered, lambda x: x["feature"])).alias("t")).where(F.col("t") != "")
+    rows = [one(1, holes, F.format_string(SUGGESTIONS["missing"], "t"))]
     numeric = numeric_columns(df, [target])
     if numeric:
         skewed = [r["feature"] for r in profile.moments(df, numeric).collect() if abs(r["skewness"] or 0.0) > HIGH_SKEW]
         distinct = profile.capped_distinct(df, skewed, 4) if skewed else {}
-        names = [c for c in numeric if c in distinct and distinct[c][2] > 3][:5]
+        names = [c for c in numeric if c in distinct and distinct[c][2] > 3][:LISTED]
         if names:
-            rows.append(spark.range(1).select(F.lit(2).alias("position"), F.lit(
-                f"Apply log/Yeo-Johnson transforms to skewed features: {', '.join(names)}.").alias("suggestion")))
-    score = best_score if isinstance(best_score, Column) else F.lit(best_score)
-    one = spark.range(1).select(score.alias("s"))
+            rows.append(one(2, always, F.lit(SUGGESTIONS["skewed"] % ", ".join(names))))
+    best = best_score if isinstance(best_score, Column) else F.lit(best_score)
     if task == "classification":
-        rows.append(profile.imbalance_ratio(df, target, cap=None).where(F.col("imbalance_ratio") > 3).select(
-            F.lit(3).alias("position"),
-            F.lit("Class imbalance detected. Try class weights, SMOTE, or threshold tuning.").alias("suggestion")))
-        verdict = F.when(F.col("s") < 0.75, "F1 is below 0.75. Add domain features, remove leakage/noise, tune "
-                         "hyperparameters, and check labeling quality.").otherwise(
-            "Performance is strong. Run repeated cross-validation and calibration before deployment.")
+        uneven = profile.imbalance_ratio(df, target, cap=None).where(F.col("imbalance_ratio") > SUGGEST_IMBALANCE)
+        rows.append(one(3, uneven, F.lit(SUGGESTIONS["imbalance"])))
+        verdict = F.when(best < GOOD_F1, SUGGESTIONS["f1_low"]).otherwise(SUGGESTIONS["f1_good"])
     else:
-        verdict = F.when(F.col("s") < 0.6, "R2 is modest. Add interaction features, transform the target, inspect "
-                         "outliers, and tune tree depth/learning rate.").otherwise(
-            "Regression fit is promising. Validate residual assumptions and test on a holdout dataset.")
-    rows.append(one.select(F.lit(4).alias("position"), verdict.alias("suggestion")))
-    rows.append(one.select(F.lit(5).alias("position"), F.lit(
-        "Export the best model only after checking learning curves, feature importance, and data drift across "
-        "versions.").alias("suggestion")))
-    return profile.union_all(rows)
+        verdict = F.when(best < GOOD_R2, SUGGESTIONS["r2_low"]).otherwise(SUGGESTIONS["r2_good"])
+    return profile.union_all([*rows, one(4, always, verdict), one(5, always, F.lit(SUGGESTIONS["closing"]))])
 
 
 def what_if(best: DataFrame, task: str, score: str, rows: str = "n_rows") -> DataFrame:
     """Expected gains from more rows and from cleaning, from the best score's headroom."""
     headroom = F.greatest(F.lit(0.0), F.lit(1.0) - F.col(score))
-    extra = F.floor(F.col(rows) * F.lit(0.2)).alias("extra_rows")
+
+    def gain(limits):
+        most, share = limits
+        return F.least(F.lit(most), headroom * share)
+
+    extra = F.floor(F.col(rows) * F.lit(MORE_ROWS)).alias("extra_rows")
     if task == "classification":
-        return best.select(
-            extra, F.least(F.lit(0.08), headroom * 0.25).alias("gain_more_rows"),
-            F.least(F.lit(0.06), headroom * 0.2).alias("gain_cleaning"))
-    return best.select(extra, F.least(F.lit(0.10), headroom * 0.25).alias("gain_more_rows"))
+        return best.select(extra, gain(GAIN_F1_ROWS).alias("gain_more_rows"), gain(GAIN_F1_CLEANING).alias("gain_cleaning"))
+    return best.select(extra, gain(GAIN_R2_ROWS).alias("gain_more_rows"))

@@ -151,11 +151,9 @@ def gaussian_nb(
     if k < 2:
         return _unavailable(df, "fewer than two folds")
     classes = class_list(df, target)
-    centre = {r["feature"]: r["m"] or 0.0 for r in column_aggregates(
-        df, features, lambda f: {"m": F.avg(clean(f))}).collect()}
-    spread = {r["feature"]: r["v"] or 0.0 for r in column_aggregates(
-        df, features, lambda f: {"v": F.var_pop(clean(f))}).collect()}
-    floor = smoothing * max(spread.values(), default=0.0)
+    facts = column_aggregates(df, features, lambda f: {"m": F.avg(clean(f)), "v": F.var_pop(clean(f))}).collect()
+    centre = {r["feature"]: r["m"] or 0.0 for r in facts}
+    floor = smoothing * max((r["v"] or 0.0 for r in facts), default=0.0)
     x = [F.coalesce(clean(f), F.lit(centre[f])) - F.lit(centre[f]) for f in features]
     rows = df.where(F.col(target).isNotNull()).select(
         "fold", F.col(target).alias("y"), *[e.alias(f"x{i}") for i, e in enumerate(x)])

@@ -19,6 +19,17 @@ from sondage.plans.ordering import dictionary, hash_ranks
 
 MAX_ONE_HOT = 10_000
 
+# Wording of the change log, and the limits of the log transform.
+CHANGES = {
+    "median": "Filled %s (numeric) missing values with median.",
+    "mode": "Filled %s (categorical) missing values with mode.",
+    "duplicates": "Removed %d duplicate rows.",
+    "log": "Applied log transform to skewed feature: %s.",
+    "clip": "Clipped %d outliers in %s to IQR bounds.",
+    "imbalance": "Class imbalance detected (ratio: %.1f). Consider SMOTE or class weights in model training.",
+}
+LOG_SKEW, LOG_DISTINCT, WARN_IMBALANCE = 1.5, 10, 3.0
+
 
 # -- encoding --------------------------------------------------------------------------------
 
@@ -135,10 +146,10 @@ def log_candidates(df: DataFrame, columns: Sequence[str]) -> list[str]:
     facts = {r["feature"]: r for r in profile.moments(df, columns).collect()}
     skewed = [
         c for c in columns
-        if facts[c]["low"] is not None and facts[c]["low"] > 0 and abs(facts[c]["skewness"] or 0.0) > 1.5
+        if facts[c]["low"] is not None and facts[c]["low"] > 0 and abs(facts[c]["skewness"] or 0.0) > LOG_SKEW
     ]
-    distinct = profile.capped_distinct(df, skewed, 11) if skewed else {}
-    return [c for c in skewed if distinct[c][2] > 10]
+    distinct = profile.capped_distinct(df, skewed, LOG_DISTINCT + 1) if skewed else {}
+    return [c for c in skewed if distinct[c][2] > LOG_DISTINCT]
 
 
 def log1p_skewed(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -179,26 +190,25 @@ def auto_fix(df: DataFrame, target: str, task: str = "classification", aggressiv
     log: list[tuple[int, str, str]] = []
     holes = [c for c in numeric if missing[c]]
     clean = impute_median(df, holes) if holes else df
-    log += [(1, c, f"Filled {c} (numeric) missing values with median.") for c in holes]
+    log += [(1, c, CHANGES["median"] % c) for c in holes]
     gaps = [c for c in categorical if missing[c]]
     clean = impute_mode(clean, gaps) if gaps else clean
-    log += [(2, c, f"Filled {c} (categorical) missing values with mode.") for c in gaps]
+    log += [(2, c, CHANGES["mode"] % c) for c in gaps]
 
     single = materialise(clean.dropDuplicates(), "deduplicated")
     extra = df.count() - single.count()
     if extra:
-        log.append((3, "*", f"Removed {extra} duplicate rows."))
+        log.append((3, "*", CHANGES["duplicates"] % extra))
     clean = single
     if aggressive:
         clean, logged = log1p_skewed(clean, numeric)
-        log += [(4, c, f"Applied log transform to skewed feature: {c}.") for c in logged]
+        log += [(4, c, CHANGES["log"] % c) for c in logged]
         clean, clipped = clip_iqr(clean, numeric)
-        log += [(5, c, f"Clipped {clipped[c]} outliers in {c} to IQR bounds.") for c in numeric if c in clipped]
+        log += [(5, c, CHANGES["clip"] % (clipped[c], c)) for c in numeric if c in clipped]
         if task == "classification":
             r = profile.imbalance_ratio(clean, target, cap=None).first()[0]
-            if r and r > 3:
-                log.append((6, target, f"Class imbalance detected (ratio: {r:.1f}). "
-                                       "Consider SMOTE or class weights in model training."))
+            if r and r > WARN_IMBALANCE:
+                log.append((6, target, CHANGES["imbalance"] % r))
     changes = df.sparkSession.createDataFrame(log, "step int, feature string, change string")
     return clean, changes
 

@@ -13,6 +13,34 @@ from sondage.functions.schema import categorical_columns, numeric_columns
 # Names that mark a target column, best first.
 TARGET_NAMES = ["target", "label", "class", "y", "outcome"]
 
+# Wording of the validation issues.
+VALIDATION = {
+    "empty": "Dataset is empty",
+    "no_target": "Target column '%s' not found in dataset",
+    "few_classes": "Target column must have at least 2 unique classes",
+    "few_rows": "Dataset too small for reliable analysis (minimum %d samples)",
+}
+
+# Task, confidence and reason of the task rules, and their limits.
+TASK_RULES = {
+    "categorical": ("classification", 0.95, "Target is categorical."),
+    "few_integers": ("classification", 0.8, "Integer target has few unique values."),
+    "continuous": ("regression", 0.85, "Numeric target has many continuous values."),
+    "unclear": ("classification", 0.55, "Task is ambiguous; review the target manually."),
+}
+FEW_VALUES, FEW_SHARE = 20, 0.1
+
+# Wording and limits of the explanations.
+EXPLANATIONS = {
+    "small": "Small dataset (%d samples) - simpler models may generalize better",
+    "large": "Large dataset (%d samples) - complex ensemble methods can leverage the data",
+    "imbalance": "Class imbalance detected (ratio: %.1f) - ensemble methods recommended",
+    "bayes_wins": "Naive Bayes outperforms Decision Stump - suggests simpler decision boundaries",
+    "stump_wins": "Decision Tree outperforms Naive Bayes - suggests non-linear relationships",
+    "similar": "Based on analysis of %d similar historical datasets",
+}
+SMALL_ROWS, LARGE_ROWS, IMBALANCED = 500, 10000, 5
+
 
 def split_xy(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
     return df.drop(target), df.select(target)
@@ -54,12 +82,12 @@ def validate_dataset(df: DataFrame, target: str, min_rows: int = 10) -> DataFram
     empty, few_classes = F.col("n") == 0, ~F.coalesce(F.col("a") < F.col("b"), F.lit(False))
     if found:
         rest = F.array(
-            F.when(few_classes, "Target column must have at least 2 unique classes"),
-            F.when(F.col("n") < min_rows, f"Dataset too small for reliable analysis (minimum {min_rows} samples)"),
+            F.when(few_classes, VALIDATION["few_classes"]),
+            F.when(F.col("n") < min_rows, VALIDATION["few_rows"] % min_rows),
         )
     else:
-        rest = F.array(F.lit(f"Target column '{target}' not found in dataset"))
-    issues = F.when(empty, F.array(F.lit("Dataset is empty"))).otherwise(F.array_compact(rest))
+        rest = F.array(F.lit(VALIDATION["no_target"] % target))
+    issues = F.when(empty, F.array(F.lit(VALIDATION["empty"]))).otherwise(F.array_compact(rest))
     return facts.select((F.size(issues) == 0).alias("valid"), issues.alias("issues"))
 
 
@@ -81,19 +109,16 @@ def infer_task(df: DataFrame, target: str) -> DataFrame:
     ).withColumn("share", F.col("k") / F.greatest(F.col("n"), F.lit(1)))
     categorical = F.lit(not isinstance(kind, T.NumericType))
     integral = F.lit(isinstance(kind, T.IntegralType))
-    few = (F.col("k") <= 20) | (F.col("share") <= 0.1)
-    many = (F.col("k") > 20) & (F.col("share") > 0.1)
+    few = (F.col("k") <= FEW_VALUES) | (F.col("share") <= FEW_SHARE)
 
-    def verdict(task: str, confidence: float, reason: str) -> Column:
+    def verdict(name: str) -> Column:
+        task, confidence, reason = TASK_RULES[name]
         return F.struct(
-            F.lit(task).alias("task"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason")
-        )
+            F.lit(task).alias("task"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"))
 
     rule = (
-        F.when(categorical, verdict("classification", 0.95, "Target is categorical."))
-        .when(integral & few, verdict("classification", 0.8, "Integer target has few unique values."))
-        .when(many, verdict("regression", 0.85, "Numeric target has many continuous values."))
-        .otherwise(verdict("classification", 0.55, "Task is ambiguous; review the target manually."))
+        F.when(categorical, verdict("categorical")).when(integral & few, verdict("few_integers"))
+        .when(~few, verdict("continuous")).otherwise(verdict("unclear"))
     )
     return facts.select(rule.alias("r"), F.col("n").alias("n_rows"), F.col("k").alias("n_distinct")).select(
         "r.*", "n_rows", "n_distinct"
@@ -108,32 +133,16 @@ def explanation(
     instances: Column, imbalance: Column, stump: Column, bayes: Column, similar: Column
 ) -> Column:
     """Why an algorithm is recommended, as an array of sentences."""
-    return F.array_compact(
-        F.array(
-            F.when(
-                instances < 500,
-                F.format_string("Small dataset (%d samples) - simpler models may generalize better", instances.cast("long")),
-            ).when(
-                instances > 10000,
-                F.format_string(
-                    "Large dataset (%d samples) - complex ensemble methods can leverage the data", instances.cast("long")
-                ),
-            ),
-            F.when(
-                imbalance > 5,
-                F.format_string(
-                    "Class imbalance detected (ratio: %.1f) - ensemble methods recommended", imbalance.cast("double")
-                ),
-            ),
-            F.when(bayes > stump, "Naive Bayes outperforms Decision Stump - suggests simpler decision boundaries").otherwise(
-                "Decision Tree outperforms Naive Bayes - suggests non-linear relationships"
-            ),
-            F.when(
-                similar > 0,
-                F.format_string("Based on analysis of %d similar historical datasets", similar.cast("long")),
-            ),
-        )
-    )
+    def said(name, *values):
+        return F.format_string(EXPLANATIONS[name], *values)
+
+    rows = instances.cast("long")
+    return F.array_compact(F.array(
+        F.when(instances < SMALL_ROWS, said("small", rows)).when(instances > LARGE_ROWS, said("large", rows)),
+        F.when(imbalance > IMBALANCED, said("imbalance", imbalance.cast("double"))),
+        F.when(bayes > stump, EXPLANATIONS["bayes_wins"]).otherwise(EXPLANATIONS["stump_wins"]),
+        F.when(similar > 0, said("similar", similar.cast("long"))),
+    ))
 
 
 def missing_map(df: DataFrame, key: str, columns: Sequence[str], rows: int = 200) -> DataFrame:
