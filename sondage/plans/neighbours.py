@@ -7,6 +7,10 @@ cannot hold one (the pivot-based kNN join of Lu, Shen, Chen and Ooi, VLDB 2012).
 Surviving cells are compared in fixed-size blocks with NumPy; a block emits at
 most k rows per query, so no pair list is ever materialised and a hot cell is
 just more blocks.
+
+Copies are collapsed first.  Of equal base vectors only the k smallest keys can
+be an answer, and equal queries have one answer, so a vector that fills a third
+of the table costs no more than any other.
 """
 
 from __future__ import annotations
@@ -63,8 +67,12 @@ def nearest(
     """
     side = [F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec")]
     fold = (F.col(group) if group else F.lit(None)).cast("long").alias("fold")
-    points = materialise(base.select(*side, fold), "knn-base")
-    asked = queries.select(*side, fold)
+    need = k + (1 if exclude_self else 0)
+    copy = F.row_number().over(W.partitionBy("vec", "fold").orderBy("id"))
+    points = materialise(
+        base.select(*side, fold).withColumn("_copy", copy).where(F.col("_copy") <= need).drop("_copy"), "knn-base")
+    every = materialise(queries.select(*side, fold), "knn-asked")
+    asked = materialise(every.groupBy("vec", "fold").agg(F.min("id").alias("id")).select("id", "vec", "fold"), "knn-distinct")
     key_type = points.schema["id"].dataType.simpleString()
 
     # Bounded: at most MAX_PIVOTS vectors reach the driver.
@@ -72,8 +80,8 @@ def nearest(
     pivot_count = max(1, min(MAX_PIVOTS, int(math.sqrt(max(total, 1)) / 4)))
     chosen = points.orderBy(F.xxhash64("id"), "id").limit(pivot_count).collect()
     if not chosen:
-        return asked.select(F.col("id").alias("query"), F.col("id").alias("neighbour")).limit(0).select(
-            "query", "neighbour", F.lit(0.0).alias("distance"), F.lit(1).alias("rank")
+        return every.limit(0).select(
+            F.col("id").alias("query"), F.col("id").alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(1).alias("rank")
         )
     pivots = _matrix([r["vec"] for r in chosen])
 
@@ -86,7 +94,6 @@ def nearest(
     placed = materialise(points.select("*", nearest_pivot("vec").alias("p")).select("id", "vec", "fold", "p.*"), "knn-cells")
 
     # Per (cell, fold): size, extent and the smallest reaches; cells x folds x k numbers.
-    need = k + (1 if exclude_self else 0)
     small = W.partitionBy("cell", "fold", "_salt").orderBy("reach", "id")
     smallest = (
         placed.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(64)))
@@ -154,9 +161,7 @@ def nearest(
         if group:
             equal = q["fold"].to_numpy()[:, None] == b["fold"].to_numpy()[None, :]
             d[~equal if same_group else equal] = np.inf
-        if exclude_self:
-            d[q["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-        best = np.argsort(np.round(d, TIE_DIGITS), axis=1, kind="stable")[:, :k]
+        best = np.argsort(np.round(d, TIE_DIGITS), axis=1, kind="stable")[:, :need]
         out = pd.DataFrame(
             {
                 "query": np.repeat(q["id"].to_numpy(), best.shape[1]),
@@ -171,7 +176,15 @@ def nearest(
         compare, f"query {key_type}, neighbour {key_type}, distance double"
     )
     order = W.partitionBy("query").orderBy(F.round("distance", TIE_DIGITS), "neighbour")
-    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    answers = local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= need)
+    # Hand the answer of each distinct query to all its copies.
+    same = (every["vec"] == asked["vec"]) & every["fold"].eqNullSafe(asked["fold"])
+    members = every.join(asked, same).select(every["id"].alias("member"), asked["id"].alias("query"))
+    out = members.join(answers, "query").select(F.col("member").alias("query"), "neighbour", "distance", "rank")
+    if not exclude_self:
+        return out
+    again = F.row_number().over(W.partitionBy("query").orderBy("rank"))
+    return out.where(F.col("neighbour") != F.col("query")).withColumn("rank", again).where(F.col("rank") <= k)
 
 
 def unit_vectors(df: DataFrame, vector: str, query_side: bool) -> DataFrame:

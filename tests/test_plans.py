@@ -100,6 +100,7 @@ def test_nearest_equals_brute_force(spark, mode):
     n = 400
     points = np.round(rng.normal(size=(n, 3)), 2)
     points[: n // 3] = np.round(points[: n // 3] * 0.01, 3)  # a dense third around the origin
+    points[n // 3: 2 * n // 3] = points[n - 1]  # a third of the rows are copies of one vector
     fold = rng.integers(0, 3, n)
     df = spark.createDataFrame([(i, points[i].tolist(), int(fold[i])) for i in range(n)], "id long, vec array<double>, fold long")
     options = {
