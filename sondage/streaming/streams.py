@@ -138,10 +138,11 @@ def feedback_into(
     Repeats within the watermark are dropped.  Batch n reads the version batch
     n - 1 wrote below ``root`` and publishes its own, so a batch that is run
     again after a failure starts from the same version and overwrites its result.
+    Calling again with the same ``root`` goes on where the last call stopped.
     """
     spark = feedback.sparkSession
     root = root or scratch_path(spark, "kb-stream")
-    kb.save(f"{root}/v-1")
+    kb.save(f"{root}/v-1", mode="ignore")
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         updated, rejected = KnowledgeBase.load(spark, f"{root}/v{batch_id - 1}").feedback(batch)
@@ -150,7 +151,8 @@ def feedback_into(
 
     query = start(feedback.dropDuplicatesWithinWatermark(keys), upsert, f"{root}/state")
     query.awaitTermination()
-    last = max((p.batchId for p in query.recentProgress), default=-1)
+    version = F.regexp_extract("_metadata.file_path", r"/v(-?[0-9]+)/experiments/", 1).cast("int")
+    last = spark.read.parquet(f"{root}/v*/experiments").select(version.alias("v")).agg(F.max("v")).first()[0]
     return KnowledgeBase.load(spark, f"{root}/v{last}")
 
 
