@@ -103,6 +103,8 @@ def pictures(t):
     """
     folder = scratch_path(t.spark, "pictures")
     plain = folder.removeprefix("file:")
+    if "://" in plain:
+        raise ValueError("the picture files need a shared folder that is mounted as a file system")
 
     def paint(frames):
         Path(plain).mkdir(parents=True, exist_ok=True)

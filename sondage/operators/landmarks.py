@@ -8,6 +8,7 @@ rows (fold, f1) or, when it cannot run, one row with a reason.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -25,6 +26,7 @@ from sondage.plans.ordering import cumulative
 
 MAX_CLASSES = 200
 SCORE_DIGITS = 6
+TINY = 1e-300  # variance of a feature that never varies
 
 
 def _add(columns: Sequence[Column]) -> Column:
@@ -32,9 +34,9 @@ def _add(columns: Sequence[Column]) -> Column:
 
 
 def with_folds(df: DataFrame, key: str, target: str, folds: int = 5, seed: int = 42) -> tuple[DataFrame, int]:
-    """Rows with a stratified ``fold``, and least(folds, rows, smallest class)."""
+    """Rows with a stratified ``fold``, written once, and least(folds, rows, smallest class)."""
     k = safe_folds(df, target, folds)
-    return kfold_assign(df, key, target, max(k, 1), seed), k
+    return materialise(kfold_assign(df, key, target, max(k, 1), seed), "folds"), k
 
 
 def class_list(df: DataFrame, target: str) -> list:
@@ -173,19 +175,18 @@ def gaussian_nb(
             if not n:
                 continue
             mean = [sum(r[f"s{j}"] for r in part) / n for j in d]
-            var = [max(sum(r[f"q{j}"] for r in part) / n - mean[j] ** 2, 0.0) + floor for j in d]
-            per_class.append((i, n / total, mean, var))
+            var = [max(sum(r[f"q{j}"] for r in part) / n - mean[j] ** 2, 0.0) + floor or TINY for j in d]
+            level = math.log(n / total) - 0.5 * sum(math.log(2.0 * math.pi * v) for v in var)
+            per_class.append((i, level, mean, [0.5 / v for v in var]))
         parameters.append((g, per_class))
     model = df.sparkSession.createDataFrame(
-        parameters, "fold int, classes array<struct<i:int,prior:double,mean:array<double>,var:array<double>>>")
+        parameters, "fold int, classes array<struct<i:int,level:double,mean:array<double>,half:array<double>>>")
     scored = rows.join(F.broadcast(model), "fold")
     xs = F.array(*[F.col(f"x{j}") for j in d])
 
     def score(c):
-        terms = F.zip_with(
-            F.zip_with(xs, c["mean"], lambda v, m: (v - m) * (v - m)), c["var"],
-            lambda sq, s: F.lit(-0.5) * F.ln(F.lit(6.283185307179586) * s) - sq / (F.lit(2.0) * s))
-        return F.ln(c["prior"]) + F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
+        squares = F.zip_with(xs, c["mean"], lambda v, m: (v - m) * (v - m))
+        return c["level"] - F.aggregate(F.zip_with(squares, c["half"], lambda q, h: q * h), F.lit(0.0), lambda a, t: a + t)
 
     best = F.array_max(F.transform("classes", lambda c: F.struct(score(c), -c["i"])))
     names = F.array(*[F.lit(c) for c in classes])

@@ -155,7 +155,6 @@ def fold_tables(df: DataFrame, key: str, features: Sequence[str], target: str, f
     """Per fold the written (train, test) tables of vectors, preprocessing fitted inside the fold."""
     rows, classes = labelled(df, target)
     assigned, k = landmarks.with_folds(rows.select(key, "label", *features), key, "label", folds)
-    assigned = materialise(assigned, "folds")
     out = []
     for g in range(k):
         train, test = assigned.where(F.col("fold") != g), assigned.where(F.col("fold") == g)

@@ -297,3 +297,11 @@ def test_pixel_features_against_numpy():
     assert mean == grey.mean() and std == grey.std() and contrast == grey.max() and 0 < entropy <= np.log2(30) and edges == 0.0
     bgr = np.dstack([np.full((2, 2), v, dtype=np.uint8) for v in (10, 20, 30)])
     assert (_grey(bgr.tobytes(), 2, 2, 3) == round(10 * 0.114 + 20 * 0.587 + 30 * 0.299)).all()
+
+
+def test_naive_bayes_with_a_constant_feature(spark):
+    df = spark.createDataFrame([(i, 1.0, float(i % 2) + i / 1000, i % 2) for i in range(60)], "id int, c double, x double, y int")
+    rows, k = landmarks.with_folds(df, "id", "y", 3)
+    assert landmarks.summarise(landmarks.gaussian_nb(rows, ["c", "x"], "y", k)).first()["f1"] == 1.0
+    only = landmarks.summarise(landmarks.gaussian_nb(rows, ["c"], "y", k)).first()["f1"]
+    assert 0.0 < only < 0.6
