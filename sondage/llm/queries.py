@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sondage.llm import bpe, linededup, mixing
+from sondage.llm import bpe, jaccard, linededup, mixing
 from sondage.llm.registry import query, table
 from sondage.plans.durable import materialise
 
@@ -82,3 +82,12 @@ def op10_bpe(spark, sf_dir):
 
     vocabulary = bpe.load(public_tokenizers.path(VOCABULARY))
     return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+
+
+@query("op3_ngram_jaccard")
+def op3_ngram_jaccard(spark, sf_dir):
+    """Shingles and component of every document: 4 words, 85 %."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    last = F.lit((1 << 63) - 1)
+    return jaccard.classes(documents, width=4, percent=85).select(
+        F.nullif("owner", last).alias("doc_id"), "n_shingles", F.nullif("smallest", last).alias("component_id"))
