@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sondage.llm import bpe, jaccard, linededup, mixing
+from sondage.llm import bpe, jaccard, linededup, mixing, toxicity
 from sondage.llm.registry import query, table
 from sondage.plans.durable import materialise
 
@@ -91,3 +91,15 @@ def op3_ngram_jaccard(spark, sf_dir):
     last = F.lit((1 << 63) - 1)
     return jaccard.classes(documents, width=4, percent=85).select(
         F.nullif("owner", last).alias("doc_id"), "n_shingles", F.nullif("smallest", last).alias("component_id"))
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark, sf_dir):
+    """Score of every document; labels of a quarter of the ids are held out."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out)
+    model = toxicity.fit(documents, labels)
+    return toxicity.scores(documents, model).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
