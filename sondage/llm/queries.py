@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sondage.llm import bpe, jaccard, linededup, mixing, toxicity
+from sondage.llm import bpe, jaccard, linededup, mixing, pii, toxicity
 from sondage.llm.registry import query, table
 from sondage.plans.durable import materialise
 
@@ -103,3 +103,13 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.scores(documents, model).select(
         "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op8_pii")
+def op8_pii(spark, sf_dir):
+    """Counts of base spans, their hash, and all spans of every document."""
+    found = pii.spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", lambda x, k=k: x.startswith(f"{k}:"))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(F.encode(F.array_join("base", ","), "UTF-8"), 256).alias("base_sha256"),
+        F.array_join("all", ",").alias("spans"))
