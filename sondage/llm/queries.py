@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sondage.llm import bpe, jaccard, linededup, mixing, pii, toxicity
+from sondage.llm import bpe, hamming, jaccard, linededup, mixing, permutations, pii, toxicity
 from sondage.llm.registry import query, table
 from sondage.plans.durable import materialise
 
@@ -113,3 +113,32 @@ def op8_pii(spark, sf_dir):
     return found.select(
         "doc_id", *counts, F.sha2(F.encode(F.array_join("base", ","), "UTF-8"), 256).alias("base_sha256"),
         F.array_join("all", ",").alias("spans"))
+
+
+@query("op4_permutation_index")
+def op4_permutation_index(spark, sf_dir):
+    """The 20 nearest embeddings found of every 20th one."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return permutations.search(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+HAMMING_K = 10
+_HALF = "list_sum(list_transform(range(32), lambda i: CASE WHEN embedding[{0} + i + 1] > 0 THEN 1::BIGINT << i ELSE 0::BIGINT END))::BIGINT"
+
+
+@query("op2_hamming_topk", f"""
+WITH codes AS (
+  SELECT vec_id, {_HALF.format(0)} AS a, {_HALF.format(32)} AS b FROM embeddings
+  WHERE len(embedding) = 64 AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, (bit_count(xor(q.a, c.a)) + bit_count(xor(q.b, c.b)))::INTEGER AS distance
+  FROM codes q JOIN codes c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank FROM pairs)
+SELECT query_id, rank, vec_id, distance FROM ranked WHERE rank <= {HAMMING_K}
+""")
+def op2_hamming_topk(spark, sf_dir):
+    """The nearest sign codes of every 50th embedding, exactly."""
+    codes = table(spark, sf_dir, "embeddings").select("vec_id", hamming.sign_code("embedding", 8).alias("code"))
+    found = hamming.search(codes, codes.where("vec_id % 50 = 0"), HAMMING_K, "vec_id", "code", 8)
+    return found.withColumnRenamed("score", "distance")
