@@ -24,6 +24,7 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -307,7 +308,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFra
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(shared.value)
         for column in batches:
-            rows = [[int(i) for i in ids.split()] for group in _groups(column) for ids, _ in encoder.encode(group)]
+            rows = [np.array(ids.split(), dtype=np.int32) for group in _groups(column) for ids, _ in encoder.encode(group)]
             yield pa.array(rows, pa.list_(pa.int32()))
 
     return df.withColumn("ids", run(F.col(text)))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sondage.llm import bpe, hamming, jaccard, linededup, mixing, permutations, pii, toxicity
+from sondage.llm import bpe, hamming, jaccard, linededup, mixing, permutations, pii, shards, tokencount, toxicity
 from sondage.llm.registry import query, table
-from sondage.plans.durable import materialise
+from sondage.plans.durable import materialise, scratch_path
+from sondage.plans.ordering import number_rows
 
 _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -142,3 +143,53 @@ def op2_hamming_topk(spark, sf_dir):
     codes = table(spark, sf_dir, "embeddings").select("vec_id", hamming.sign_code("embedding", 8).alias("code"))
     found = hamming.search(codes, codes.where("vec_id % 50 = 0"), HAMMING_K, "vec_id", "code", 8)
     return found.withColumnRenamed("score", "distance")
+
+
+_WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT"
+
+
+@query("op5_separator_scan", f"SELECT doc_id, {_WORDS} AS n_tokens FROM documents")
+def op5_separator_scan(spark, sf_dir):
+    """Tokens of every document, counted in flat files that hold nothing but ids and separators."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = scratch_path(spark, "flat")
+    tokencount.write_flat(documents, folder)
+    last = F.lit((1 << 63) - 1)
+    owners = number_rows(documents.select(F.coalesce("doc_id", last).alias("owner")), ["owner"], name="place")
+    return tokencount.count(spark, folder).join(owners, F.col("ordinal") == F.col("place") - 1).select(
+        F.nullif("owner", last).alias("doc_id"), "n_tokens")
+
+
+ORDER_KEY, SEQUENCE, PER_SHARD = "epoch-1", 256, 1 << 14
+
+
+def _feistel_sql(inner: str) -> str:
+    """One pass of the permutation in SQL, over ``(i, x, n, w)``."""
+    step = f"SELECT i, n, w, x >> w AS l, x & ((1::BIGINT << w) - 1) AS r FROM ({inner})"
+    for xor, factor in shards.round_keys(ORDER_KEY):
+        step = (f"SELECT i, n, w, r AS l, xor(l, ((xor(r, {xor}::BIGINT) * {factor}::BIGINT) >> 15) & ((1::BIGINT << w) - 1)) AS r "
+                f"FROM ({step})")
+    return f"SELECT i, (l << w) | r AS x, n, w FROM ({step})"
+
+
+@query("op9_training_order", f"""
+WITH RECURSIVE sized AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+cut AS (
+  SELECT doc_id, unnest(range((words + {SEQUENCE - 1}) // {SEQUENCE})) AS chunk, words FROM sized),
+numbered AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id, chunk) - 1 AS i, count(*) OVER () AS n FROM cut),
+walk AS (
+  {_feistel_sql("SELECT i, i AS x, n, greatest(1, (length(bin(n - 1)) + 1) // 2) AS w FROM numbered")}
+  UNION ALL
+  {_feistel_sql("SELECT * FROM walk WHERE x >= n")})
+SELECT x AS slot, (x // {PER_SHARD})::BIGINT AS shard, doc_id, chunk::INTEGER AS chunk,
+  least({SEQUENCE}, words - {SEQUENCE} * chunk)::INTEGER AS n_tokens
+FROM walk JOIN numbered USING (i) WHERE x < walk.n
+""")
+def op9_training_order(spark, sf_dir):
+    """All sequences as the shard files hold them."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    layout = shards.write(documents, scratch_path(spark, "shards"), ORDER_KEY, SEQUENCE, PER_SHARD)
+    last = F.lit((1 << 63) - 1)
+    return shards.read(spark, layout).select(
+        "slot", "shard", F.nullif("owner", last).alias("doc_id"), F.col("place").alias("chunk"), "n_tokens")
