@@ -173,6 +173,19 @@ class Tables:
             tags[place], values[place] = got["tag"].to_numpy() + 1, got["value"].to_numpy()
             self.held.append((bits, tags, values))
 
+    def __getstate__(self):
+        """Only the places in use travel."""
+        used = [np.flatnonzero(tags) for _, tags, _ in self.held]
+        return [(bits, at.astype(np.int32), (tags[at] - 1).astype(np.uint16), values[at])
+                for at, (bits, tags, values) in zip(used, self.held)]
+
+    def __setstate__(self, state):
+        self.held = []
+        for bits, at, found, known in state:
+            tags, values = np.zeros(1 << bits, dtype=np.int32), np.zeros(1 << bits, dtype=np.float32)
+            tags[at], values[at] = found.astype(np.int32) + 1, known
+            self.held.append((bits, tags, values))
+
     def _look(self, which: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bits, tags, values = self.held[which]
         spread = _scatter(key)
