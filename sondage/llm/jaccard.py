@@ -15,7 +15,8 @@ the groups, sets that share a signature but no component, is compared pair by
 pair in blocks of bounded size on parity bitmaps: bit h counts, modulo 2, the shingles
 that hash to it, so two bitmaps differ in no more bits than the sets in
 shingles.  Only pairs that this bound lets through leave their task, and
-are verified on the shingles themselves.
+are verified on the shingles themselves: at first the closest pair of any two
+components, which joins most that belong together, and then all that are left.
 
 Sets are identified by 64-bit hashes (of shingles and of whole sets): among a
 billion sets the chance that any two different ones are taken for one is about 3 %.
@@ -30,6 +31,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -142,8 +144,11 @@ def _fold(bitmaps: list[bytes], size: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _near(sets, sizes, parts, bitmaps, sides, percent):
-    """The pairs of one block whose bitmaps do not rule out a link: (smaller set, larger set)."""
+def _near(sets, sizes, parts, bitmaps, sides, percent, closest):
+    """The pairs of one block whose bitmaps do not rule out a link: (smaller set, larger set).
+
+    With ``closest``, only the closest such pair of each two components.
+    """
     words = _fold(bitmaps, min(map(len, bitmaps)))
     within = sides.min() == sides.max()
     left = np.flatnonzero(sides == sides.min())
@@ -157,8 +162,18 @@ def _near(sets, sizes, parts, bitmaps, sides, percent):
         both = sizes[others] + sizes[i]
         low = np.minimum(sizes[others], sizes[i])
         close = (apart * (100 + percent) <= both * (100 - percent)) & (low * 100 >= (both - low) * percent)
-        found.append(np.stack([np.minimum(sets[i], sets[others[close]]), np.maximum(sets[i], sets[others[close]])]))
-    return np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+        others, apart, both = others[close], apart[close], both[close]
+        found.append(np.stack([np.full(len(others), i), others, apart * 1000000 // both]))
+    if not found:
+        return np.zeros((2, 0), dtype=np.int64)
+    i, j, apart = np.concatenate(found, axis=1)
+    if closest and len(i):
+        low, high = np.minimum(parts[i], parts[j]), np.maximum(parts[i], parts[j])
+        order = np.lexsort((apart, high, low))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+        i, j = i[order[new]], j[order[new]]
+    return np.stack([np.minimum(sets[i], sets[j]), np.maximum(sets[i], sets[j])])
 
 
 def _identity(text: str, key: str):
@@ -261,8 +276,20 @@ def _shingles(df: DataFrame, wanted: DataFrame, text: str, key: str, width: int)
     return joined.mapInArrow(run, "`set` long, shingles array<long>, bitmap binary").dropDuplicates(["set"])
 
 
-def _links(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` that are as similar as wanted, by their shingles."""
+def _links(pairs: DataFrame, shingles: DataFrame, percent: int, passed: bool = False) -> DataFrame:
+    """The pairs ``(a, b)`` that are as similar as wanted, by their shingles; before, by the bitmaps unless they ``passed``."""
+    if not passed:
+        bits = shingles.select("set", "bitmap", F.size("shingles").alias("n"))
+
+        @F.pandas_udf("boolean")
+        def close(x: pd.Series, y: pd.Series, both: pd.Series) -> pd.Series:
+            apart = [int(np.bitwise_count(np.bitwise_xor(*_fold([u, v], min(len(u), len(v))))).sum()) for u, v in zip(x, y)]
+            return pd.Series(np.array(apart, dtype=np.int64) * (100 + percent) <= both.to_numpy() * (100 - percent), dtype=bool)
+
+        left = bits.select(F.col("set").alias("a"), F.col("bitmap").alias("x"), F.col("n").alias("nx"))
+        right = bits.select(F.col("set").alias("b"), F.col("bitmap").alias("y"), F.col("n").alias("ny"))
+        both = F.col("nx") + F.col("ny")
+        pairs = pairs.join(left, "a").join(right, "b").where(close("x", "y", both)).select("a", "b")
     left = shingles.select(F.col("set").alias("a"), F.col("shingles").alias("x"))
     right = shingles.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
@@ -290,7 +317,7 @@ def _undecided(groups: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(rows.join(many.where("low != high").select("signature"), "signature"), "open")
 
 
-def _block_pairs(rows: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+def _block_pairs(rows: DataFrame, shingles: DataFrame, percent: int, closest: bool) -> DataFrame:
     """``(a, b)``: pairs of one signature and two components that the bitmaps let through."""
     sizes = rows.groupBy("signature").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     # Every row goes to the pairs of blocks that hold its own.
@@ -308,7 +335,7 @@ def _block_pairs(rows: DataFrame, shingles: DataFrame, percent: int) -> DataFram
 
         def decided():
             columns = list(zip(*held))
-            pairs = _near(*(np.array(c) for c in columns[:3]), columns[3], np.array(columns[4]), percent)
+            pairs = _near(*(np.array(c) for c in columns[:3]), columns[3], np.array(columns[4]), percent, closest)
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
 
         for batch in batches:
@@ -358,10 +385,12 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5,
         groups = rows.select("signature", "set").join(leaders.select("signature", "set"), ["signature", "set"], "left_anti")
         if joined <= WORTH * at_hand:
             break
-    rows = _undecided(groups, labels)
-    links = materialise(_links(_block_pairs(rows, shingles, percent), shingles, percent), "links")
-    if links.take(1):
-        labels = _merge(labels, links)
+    # First the closest pair of any two components; then, of those still apart, every pair.
+    for closest in (True, False):
+        rows = _undecided(groups, labels)
+        links = materialise(_links(_block_pairs(rows, shingles, percent, closest), shingles, percent, True), "links")
+        if links.take(1):
+            labels = _merge(labels, links)
     named = members.join(labels.select("set", "component"), "set", "left")
     alone = F.when(F.col("n_shingles") > 0, F.coalesce("component", "set"))
     return named.select("owner", "body", "n_shingles", alone.alias("component"))
