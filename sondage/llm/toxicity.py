@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sondage.llm.sieve import sieve
-from sondage.llm.words import BLOCK, text_bytes
+from sondage.llm.words import text_bytes
 from sondage.plans.durable import materialise
 
 ORDER = 5
@@ -41,6 +41,8 @@ GRAM_BITS = 22
 CONTEXT_BITS = 21
 FIT_ROWS = 8192
 RIDGE = 1.0
+#: Bytes of text that are taken together: some fifteen arrays of eight bytes a symbol.
+BLOCK = 1 << 18
 _A, _B = 0x9E3779B1, 0x85EBCA77
 
 #: Bytes of words, in lower case; 0x20 stands for what is between words.
@@ -153,7 +155,7 @@ def _differences(counts: DataFrame, zero: str, one: str) -> tuple[DataFrame, Dat
     def placed(rows, bits):
         spread = _scatter(F.col("gram"))
         rows = rows.select(F.shiftright(spread, 12).bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("place"),
-                           F.shiftright(spread, 36).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("tag"), "n", "value", "gram")
+                           (F.pmod(F.shiftright(spread, 36), F.lit(0xFFFF)) + 1).cast("int").alias("tag"), "n", "value", "gram")
         best = F.max(F.struct("n", "gram", "tag", "value")).alias("best")
         return rows.groupBy("place").agg(best).select("place", "best.tag", F.col("best.value").cast("float").alias("value"))
 
@@ -168,29 +170,28 @@ class Tables:
         for rows, bits in zip(parts, (GRAM_BITS, CONTEXT_BITS)):
             # At most 2**bits rows.
             got = rows.toArrow()
-            tags, values = np.zeros(1 << bits, dtype=np.int32), np.zeros(1 << bits, dtype=np.float32)
+            tags, values = np.zeros(1 << bits, dtype=np.uint16), np.zeros(1 << bits, dtype=np.float32)
             place = got["place"].to_numpy()
-            tags[place], values[place] = got["tag"].to_numpy() + 1, got["value"].to_numpy()
+            tags[place], values[place] = got["tag"].to_numpy(), got["value"].to_numpy()
             self.held.append((bits, tags, values))
 
     def __getstate__(self):
         """Only the places in use travel."""
         used = [np.flatnonzero(tags) for _, tags, _ in self.held]
-        return [(bits, at.astype(np.int32), (tags[at] - 1).astype(np.uint16), values[at])
-                for at, (bits, tags, values) in zip(used, self.held)]
+        return [(bits, at.astype(np.int32), tags[at], values[at]) for at, (bits, tags, values) in zip(used, self.held)]
 
     def __setstate__(self, state):
         self.held = []
         for bits, at, found, known in state:
-            tags, values = np.zeros(1 << bits, dtype=np.int32), np.zeros(1 << bits, dtype=np.float32)
-            tags[at], values[at] = found.astype(np.int32) + 1, known
+            tags, values = np.zeros(1 << bits, dtype=np.uint16), np.zeros(1 << bits, dtype=np.float32)
+            tags[at], values[at] = found, known
             self.held.append((bits, tags, values))
 
     def _look(self, which: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bits, tags, values = self.held[which]
         spread = _scatter(key)
         place = (spread >> 12) & ((1 << bits) - 1)
-        return tags[place] == ((spread >> 36) & 0xFFFF) + 1, values[place]
+        return tags[place] == (spread >> 36) % 0xFFFF + 1, values[place]
 
     def difference(self, key: np.ndarray) -> np.ndarray:
         hit, value = self._look(0, key)
