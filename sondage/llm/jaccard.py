@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from sondage.llm.components import components
 from sondage.llm.sieve import sieve
-from sondage.llm.words import Hasher, mix, word_hashes
+from sondage.llm.words import Hasher, mix, pieces, word_hashes
 from sondage.plans.durable import materialise
 
 #: Rounds with leaders go on while a round joins this share of the sets at hand.
@@ -57,7 +57,12 @@ def _times(count: int) -> np.uint64:
 
 
 def shingle_sets(column: pa.Array, width: int, hasher: Hasher):
-    """The sorted distinct shingle hashes of each text."""
+    """The sorted distinct shingle hashes of each text, some megabytes at a time."""
+    for piece in pieces(column):
+        yield from _piece_sets(piece, width, hasher)
+
+
+def _piece_sets(column: pa.Array, width: int, hasher: Hasher):
     words, offsets = word_hashes(column, hasher)
     factors = mix(np.arange(1, width + 1, dtype=np.uint64) * _TAG) | np.uint64(1)
     full = max(len(words) - width + 1, 0)

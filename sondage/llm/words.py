@@ -72,6 +72,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[first : offsets[-1] if len(offsets) else 0], offsets - first
 
 
+def pieces(column: pa.Array, size: int = 4 * BLOCK) -> Iterator[pa.Array]:
+    """The column in slices of about ``size`` bytes; a longer text is a slice of its own."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, offsets = text_bytes(column)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+        yield column.slice(at, to - at)
+        at = to
+
+
 def _cuts(space: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     """Blocks of about ``BLOCK`` bytes that end before white space or at the end of a text."""
     at, end = 0, len(space)
