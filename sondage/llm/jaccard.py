@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sondage.llm.batches import small_batches
 from sondage.llm.components import components
 from sondage.llm.sieve import sieve
 from sondage.llm.words import Hasher, mix, pieces, word_hashes
@@ -365,13 +366,14 @@ def join(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5,
     join (null for a set without shingles).  ``owner`` is the id (the largest
     long for null) and ``body`` a hash of the text.
     """
-    members = materialise(sets(df, text, key, width), "sets")
-    groups = _shared(df, text, width, percent)
-    first = members.where("n_shingles > 0").groupBy("set").agg(
-        F.min(F.struct("owner", "body")).alias("at"), F.min("n_shingles").alias("n"))
-    wanted = materialise(
-        groups.select("set").distinct().join(first, "set").select("set", "at.owner", "at.body", "n"), "candidates")
-    shingles = materialise(_shingles(df, wanted.select("owner", "body", "set"), text, key, width), "shingles")
+    with small_batches(df.sparkSession):
+        members = materialise(sets(df, text, key, width), "sets")
+        groups = _shared(df, text, width, percent)
+        first = members.where("n_shingles > 0").groupBy("set").agg(
+            F.min(F.struct("owner", "body")).alias("at"), F.min("n_shingles").alias("n"))
+        wanted = materialise(
+            groups.select("set").distinct().join(first, "set").select("set", "at.owner", "at.body", "n"), "candidates")
+        shingles = materialise(_shingles(df, wanted.select("owner", "body", "set"), text, key, width), "shingles")
     labels = wanted.select("set", "n", F.col("set").alias("component"), F.lit(1).cast("long").alias("weight"))
     while True:
         rows = _undecided(groups, labels)
