@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sondage.llm.batches import small_batches
 from sondage.llm.sieve import sieve
 from sondage.llm.words import text_bytes
 from sondage.plans.durable import materialise
@@ -273,7 +274,8 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str =
     share = marks.agg(F.avg("toxic")).first()[0] or 0.0
     bodies = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
     labelled = sieve(bodies, F.col("key"), marks.select("key")).join(marks, "key")
-    counts = materialise(count_grams(labelled.select("text", (F.col("toxic") == 1).alias("toxic"), "fit")), "grams")
+    with small_batches(spark):
+        counts = materialise(count_grams(labelled.select("text", (F.col("toxic") == 1).alias("toxic"), "fit")), "grams")
     all_of = counts.agg(*[F.sum(c) for c in ("c0", "c1", "f0", "f1")]).first()
     if not all(all_of):
         return Model(None, share=float(share))
@@ -292,7 +294,8 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str =
 
     # At most FIT_ROWS ids: a broadcast of bounded size.
     fitted = bodies.join(F.broadcast(chosen), "key").select("toxic", "text").mapInArrow(run, "toxic int, found array<double>")
-    rows = fitted.limit(2 * FIT_ROWS).collect()
+    with small_batches(spark):
+        rows = fitted.limit(2 * FIT_ROWS).collect()
     y = np.array([r[0] for r in rows], dtype=float)
     if not len(y) or y.min() == y.max():
         return Model(None, share=float(share))
@@ -311,8 +314,10 @@ def scores(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(batch.column(1)))], ["k", "score"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(
-        run, f"k {kind}, score double").withColumnRenamed("k", key)
+    found = df.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(run, f"k {kind}, score double")
+    # Written at once: a few bytes a row, and the texts go to Python in small batches.
+    with small_batches(df.sparkSession):
+        return materialise(found, "scores").withColumnRenamed("k", key)
 
 
 def without_toxic(df: DataFrame, model: Model, limit: float, text: str = "text") -> DataFrame:
