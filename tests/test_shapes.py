@@ -36,7 +36,7 @@ def test_filters_reach_the_scan(tables):
 
 def test_column_statistics_need_one_exchange_and_no_join(tables):
     text = plan(profile.moments(tables.line(), LINE_FEATURES))
-    assert "Join" not in text and text.count("Exchange SinglePartition") == 0 or text.count("Exchange") <= 2
+    assert "Join" not in text and (text.count("Exchange SinglePartition") == 0 or text.count("Exchange") <= 2)
 
 
 def test_correlations_have_no_join(tables):
