@@ -101,6 +101,8 @@ def search(
     # At most ``pivots`` vectors reach the driver.
     chosen = groups.orderBy(F.xxhash64("rep"), "rep").limit(pivots).select("v").collect()
     places = _matrix([r["v"] for r in chosen]) if chosen else np.zeros((1, 1))
+    # A long pivot must not come first for every vector.
+    places = places / np.maximum(np.linalg.norm(places, axis=1, keepdims=True), 1e-300)
     count = len(places)
     posted, probed = min(posted, count), min(probed, count)
     kind = np.uint8 if count <= 256 else np.uint16
