@@ -278,8 +278,9 @@ def _shingles(df: DataFrame, wanted: DataFrame, text: str, key: str, width: int)
                  pa.array(list(map(parity, found)), pa.binary())], ["set", "shingles", "bitmap"])
 
     some = sieve(df.select(*_identity(text, key), F.col(text).alias("text")), F.col("owner"), wanted.select("owner"))
-    joined = some.join(wanted, ["owner", "body"]).select("set", "text")
-    return joined.mapInArrow(run, "`set` long, shingles array<long>, bitmap binary").dropDuplicates(["set"])
+    # Repeated rows go while they are texts: the join has them together already.
+    joined = some.join(wanted, ["owner", "body"]).dropDuplicates(["owner", "body"]).select("set", "text")
+    return joined.mapInArrow(run, "`set` long, shingles array<long>, bitmap binary")
 
 
 def _links(pairs: DataFrame, shingles: DataFrame, percent: int, passed: bool = False) -> DataFrame:
