@@ -177,18 +177,18 @@ def _(t):
 # -- storage -------------------------------------------------------------------------------------
 
 
-@query("kb_scan", f"""WITH {KB}, top AS (SELECT * FROM experiments ORDER BY updated_at DESC, experiment_id LIMIT 10)
+@query("kb_scan", f"""WITH {KB}, top AS (SELECT * FROM experiments)
   SELECT top.experiment_id, dataset_name, domain, strftime(updated_at, '%Y-%m-%d') AS updated, nf AS n_features, nr AS n_results FROM top
   JOIN (SELECT experiment_id, count(*) AS nf FROM features GROUP BY 1) USING (experiment_id)
   JOIN (SELECT experiment_id, count(*) AS nr FROM results GROUP BY 1) USING (experiment_id)""")
 def _(t):
     folder = scratch_path(t.spark, "kb")
     t.kb().save(folder)
-    kb = KnowledgeBase.load(t.spark, folder).newest(10)
+    kb = KnowledgeBase.load(t.spark, folder)
     nf = kb.features.groupBy("experiment_id").agg(F.count(F.lit(1)).alias("n_features"))
     nr = kb.results.groupBy("experiment_id").agg(F.count(F.lit(1)).alias("n_results"))
     top = kb.experiments.select("experiment_id", "dataset_name", "domain", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
-    return top.join(nf, "experiment_id").join(nr, "experiment_id")
+    return top.join(nf, "experiment_id").join(nr, "experiment_id").orderBy(F.desc("updated"), "experiment_id")
 
 
 def _renewed(t):

@@ -18,6 +18,8 @@ from sondage.functions.schema import categorical_columns, numeric_columns
 from sondage.operators.profile import clean, column_quantiles, union_all
 
 BINS = 10
+#: Between a column's name and its value until the end, so that a_b, c and a, b_c stay apart.
+_BETWEEN = "\x00"
 
 
 def bin_number(feature: str, cuts: Sequence[float]) -> Column:
@@ -139,7 +141,7 @@ def feature_signal(df: DataFrame, features: Sequence[str], target: str, regressi
         ]
         ones = (
             kept.select(y.alias("y"), F.explode(F.array(*value)).alias("i")).select("y", "i.*")
-            .groupBy(F.concat_ws("_", "c", "v").alias("feature"), "y").agg(F.count(F.lit(1)).alias("n1"))
+            .groupBy(F.concat_ws(_BETWEEN, "c", "v").alias("feature"), "y").agg(F.count(F.lit(1)).alias("n1"))
         )
         classes = kept.groupBy(y.alias("y")).agg(F.count(F.lit(1)).alias("n_y"))
         per_class = ones.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("y", "n1"))).alias("m"))
@@ -155,6 +157,7 @@ def feature_signal(df: DataFrame, features: Sequence[str], target: str, regressi
             )),
         ).where(F.col("n") > 0)
         cells = flags if cells is None else cells.unionByName(flags.select(*cells.columns))
-    return _information(cells, "feature", "x", "y").select("feature", F.col("mi").alias("score")).orderBy(
+    name = F.replace(F.col("feature"), F.lit(_BETWEEN), F.lit("_")).alias("feature")
+    return _information(cells, "feature", "x", "y").select(name, F.col("mi").alias("score")).orderBy(
         F.col("score").desc(), "feature"
     )

@@ -23,6 +23,7 @@ from sondage.operators.profile import clean, column_aggregates, union_all
 from sondage.plans.durable import materialise
 from sondage.plans.neighbours import nearest
 from sondage.plans.ordering import cumulative
+from sondage.plans.quantiles import column_quantiles
 
 MAX_CLASSES = 200
 SCORE_DIGITS = 6
@@ -239,18 +240,25 @@ def knn_predictions(df, key, features, target, k, neighbours=1) -> DataFrame:
 
 
 def linear_svm(df: DataFrame, features: Sequence[str], target: str, k: int, max_iter: int = 20) -> DataFrame:
-    """One-vs-rest linear SVM, scaled inside each fold."""
+    """One-vs-rest linear SVM on every row with a target, filled with medians and scaled inside each fold."""
     if k < 2:
         return _unavailable(df, "fewer than two folds")
     classes = class_list(df, target)
     names = F.array(*[F.lit(c) for c in classes])
-    assembled = VectorAssembler(inputCols=list(features), outputCol="raw", handleInvalid="skip").transform(
-        df.where(F.col(target).isNotNull()).select("fold", *[clean(f).alias(f) for f in features],
-                  (F.array_position(names, F.col(target)) - 1).cast("double").alias("label")))
-    rows = materialise(assembled.select("fold", "raw", "label"), "svm")
+    rows = materialise(
+        df.where(F.col(target).isNotNull()).select(
+            "fold", *[clean(f).alias(f) for f in features],
+            (F.array_position(names, F.col(target)) - 1).cast("double").alias("label")), "svm")
+    gaps = [r["feature"] for r in column_aggregates(
+        rows, features, lambda f: {"n": F.count_if(F.col(f).isNull())}).collect() if r["n"]]
+    assembler = VectorAssembler(inputCols=list(features), outputCol="raw")
     out = []
     for g in range(k):
-        train, test = rows.where(F.col("fold") != g), rows.where(F.col("fold") == g)
+        known = column_quantiles(rows.where(F.col("fold") != g), gaps, [0.5]) if gaps else {}
+        # A column without any value in the training fold says nothing: 0.
+        filled = {f: F.coalesce(F.col(f), F.lit(known[f][0] if f in known else 0.0)) for f in gaps}
+        whole = assembler.transform(rows.withColumns(filled) if gaps else rows).select("fold", "raw", "label")
+        train, test = whole.where(F.col("fold") != g), whole.where(F.col("fold") == g)
         scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
         svm = LinearSVC(maxIter=max_iter, regParam=0.01)
         model = (svm if len(classes) == 2 else OneVsRest(classifier=svm)).fit(scaler.transform(train))

@@ -23,13 +23,13 @@ def extract(df: DataFrame, target: str) -> DataFrame:
     categorical = categorical_columns(df, [target])
     classes = profile.class_distribution(df.where(F.col(target).isNotNull()), target)
     facts = classes.agg(
-        F.sum("n").cast("double").alias("l1_n_instances"),
         F.count(F.lit(1)).cast("double").alias("l1_n_classes"),
         F.least(ratio(F.max("n"), F.min("n")), F.lit(profile.CAP_IMBALANCE)).alias("l1_imbalance_ratio"),
         (-F.sum(F.col("share") * F.log2("share"))).alias("l3_class_entropy"),
     )
     facts = facts.select(
         "*",
+        df.agg(F.count(F.lit(1)).cast("double")).scalar().alias("l1_n_instances"),
         F.lit(float(len(df.columns) - 1)).alias("l1_n_features"),
         F.lit(float(len(numeric))).alias("l1_n_numerical"),
         F.lit(float(len(categorical))).alias("l1_n_categorical"),
@@ -71,7 +71,7 @@ def extract_grouped(df: DataFrame, dataset: str, features: Sequence[str], target
     for f in features:
         c = profile.clean(f)
         stats[f] = (F.skewness(c).alias(f"_s_{f}"), F.kurtosis(c).alias(f"_k_{f}"), F.var_pop(c).alias(f"_v_{f}"))
-    per = df.groupBy(dataset).agg(*[e for s in stats.values() for e in s])
+    per = df.groupBy(dataset).agg(F.count(F.lit(1)).alias("n_instances"), *[e for s in stats.values() for e in s])
 
     def mean(prefix):
         every = F.filter(F.array(*[F.col(f"_{prefix}_{f}") for f in features]), lambda x: x.isNotNull())
@@ -81,7 +81,7 @@ def extract_grouped(df: DataFrame, dataset: str, features: Sequence[str], target
     n_ln_n = F.sum(F.col("n") * F.log2("n"))
     total = F.sum("n")
     balance = classes.groupBy(dataset).agg(
-        total.alias("n_instances"), F.count(F.lit(1)).alias("n_classes"),
+        F.count(F.lit(1)).alias("n_classes"),
         F.least(ratio(F.max("n"), F.min("n")), F.lit(profile.CAP_IMBALANCE)).alias("imbalance_ratio"),
         (F.log2(total) - n_ln_n / total).alias("class_entropy"),
     )

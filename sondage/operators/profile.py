@@ -26,6 +26,8 @@ CHUNK = 40
 # Aggregate expressions per scan that still compile into one generated function.
 EXPRESSIONS_PER_SCAN = 50
 CAP_IMBALANCE = 1000.0
+# Stands for a column where there is none.
+NO_FEATURE = "_none"
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -37,6 +39,10 @@ def column_aggregates(
 ) -> DataFrame:
     """One row per feature with the aggregates ``make(feature)`` returns, ``chunk`` features per scan."""
     frames = []
+    if not features:
+        # No columns: no rows, with the columns that ``make`` gives.
+        none = df.select(F.lit(None).cast("double").alias(NO_FEATURE))
+        return none.agg(F.lit("").alias("feature"), *[e.alias(n) for n, e in make(NO_FEATURE).items()]).where(F.lit(False))
     if chunk is None:
         chunk = max(2, EXPRESSIONS_PER_SCAN // max(1, len(make(features[0]))))
     for start in range(0, len(features), chunk):
@@ -55,28 +61,34 @@ def shape(df: DataFrame, target: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_instances")).withColumn("n_features", F.lit(len(df.columns) - 1))
 
 
+def absent(df: DataFrame) -> dict[str, Column]:
+    """Per column whether its value is missing: null, or NaN in a number."""
+    numeric = set(numeric_columns(df))
+    return {c: F.isnull(clean(c)) if c in numeric else F.isnull(c) for c in df.columns}
+
+
 def missing_by_column(df: DataFrame) -> DataFrame:
     """(feature, missing, share) for every column, most missing first."""
-    floating = set(numeric_columns(df))
+    gaps = absent(df)
 
     def stats(c):
-        absent = F.isnull(clean(c)) if c in floating else F.isnull(c)
-        n = F.count_if(absent)
+        n = F.count_if(gaps.get(c, F.lit(False)))
         return {"missing": n, "share": ratio(n, F.count(F.lit(1)))}
 
     return column_aggregates(df, df.columns, stats).orderBy(F.col("missing").desc(), "feature")
 
 
 def missing_pct(df: DataFrame, target: str) -> DataFrame:
-    """Nulls of all columns over rows x feature count, in percent, at most 100."""
-    total = reduce(lambda a, b: a + b, [F.count_if(F.isnull(c)) for c in df.columns])
+    """Missing cells of all columns over rows x feature count, in percent, at most 100."""
+    total = reduce(lambda a, b: a + b, [F.count_if(a) for a in absent(df).values()])
     cells = F.count(F.lit(1)) * (len(df.columns) - 1)
     return df.agg(F.least(ratio(total, cells) * 100, F.lit(100.0)).alias("missing_pct"))
 
 
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
+    # The total of the counts, whose exchange is used again.
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("share", ratio(F.col("n"), total))
 
 
@@ -117,10 +129,10 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def fingerprint(df: DataFrame) -> DataFrame:
     rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    absent = reduce(lambda a, b: a + b, [F.isnull(c).cast("long") for c in df.columns])
+    gaps = reduce(lambda a, b: a + b, [a.cast("long") for a in absent(df).values()])
     return rows.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
-        F.coalesce(F.sum(absent * F.col("_n")), F.lit(0)).alias("missing_total"),
+        F.coalesce(F.sum(gaps * F.col("_n")), F.lit(0)).alias("missing_total"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"),
     ).select(
         "n_rows", F.lit(len(df.columns)).alias("n_columns"), "missing_total",
@@ -168,6 +180,8 @@ def correlations(df: DataFrame, features: Sequence[str], chunk: int = CHUNK) ->
     One wide aggregate per chunk of pairs: a scan with map-side combine, no join.
     """
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
+    if not pairs:
+        return df.select(F.lit("").alias("a"), F.lit("").alias("b"), F.lit(0.0).alias("corr")).limit(0)
     frames = []
     for start in range(0, len(pairs), chunk):
         rows = [
@@ -283,6 +297,11 @@ def histogram(
     """
     facts = capped_distinct(df, features, bins)
     plan = {f: (low, high, bins if fixed else max(1, k)) for f, (low, high, k) in facts.items()}
+    if not plan:
+        zero = F.lit(0).cast("long")
+        return df.select(
+            *by, F.lit("").alias("feature"), zero.alias("bin"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"),
+            zero.alias("n")).limit(0)
     items = [
         F.struct(
             F.lit(f).alias("feature"),
@@ -334,6 +353,7 @@ def profile_columns(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Everything per numeric column: exact quartiles, then one aggregate."""
     q = column_quantiles(df, features, [0.25, 0.5, 0.75])
     features = [f for f in features if f in q]
+    q = q or {NO_FEATURE: [0.0, 0.0, 0.0]}
 
     def stats(f):
         c = clean(f)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sondage.functions.schema import categorical_columns, numeric_columns
+from sondage.operators.profile import absent
 
 # Names that mark a target column, best first.
 TARGET_NAMES = ["target", "label", "class", "y", "outcome"]
@@ -146,8 +147,9 @@ def explanation(
 
 
 def missing_map(df: DataFrame, key: str, columns: Sequence[str], rows: int = 200) -> DataFrame:
-    """0/1 null matrix of the first ``rows`` rows by key, as (key, column, is_missing)."""
-    flags = [F.isnull(c).cast("int").alias(c) for c in columns]
+    """0/1 matrix of missing cells of the first ``rows`` rows by key, as (key, column, is_missing)."""
+    gaps = absent(df)
+    flags = [gaps[c].cast("int").alias(c) for c in columns]
     return (
         df.select(key, *columns).orderBy(key).limit(rows).select(key, *flags)
         .unpivot([key], list(columns), "column", "is_missing")

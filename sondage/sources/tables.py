@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sondage.functions.schema import categorical_columns, nan_to_null, numeric_columns
-from sondage.operators.profile import column_aggregates
+from sondage.operators.profile import absent, column_aggregates
 
 CORRUPT = "_corrupt"
 
@@ -48,9 +48,10 @@ def scan_datasets(spark: SparkSession, folder: str, schema: T.StructType | str)
 def dataset_summaries(rows: DataFrame, dataset: str, target: str) -> DataFrame:
     """One row per dataset: rows, features, missing cells, classes.  One grouped pass."""
     data = [c for c in rows.columns if c != dataset]
-    absent = sum([F.isnull(c).cast("long") for c in data], F.lit(0).cast("long"))
+    gaps = absent(rows)
+    missing = sum([gaps[c].cast("long") for c in data], F.lit(0).cast("long"))
     return rows.groupBy(dataset).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum(absent).alias("missing_total"), F.count_distinct(target).alias("n_classes")
+        F.count(F.lit(1)).alias("n_rows"), F.sum(missing).alias("missing_total"), F.count_distinct(target).alias("n_classes")
     ).withColumn("n_features", F.lit(len(data) - 1))
 
 
@@ -58,10 +59,11 @@ def preview_schema(df: DataFrame) -> DataFrame:
     """(column, dtype, role, missing, n_rows) for every column, from one aggregate per chunk of columns."""
     numeric, categorical = set(numeric_columns(df)), set(categorical_columns(df))
     types = {f.name: f.dataType.simpleString() for f in df.schema}
+    gaps = absent(df)
 
     def stats(c):
         role = "numeric" if c in numeric else "categorical" if c in categorical else "other"
-        return {"dtype": F.lit(types[c]), "role": F.lit(role), "missing": F.count_if(F.isnull(c)),
+        return {"dtype": F.lit(types[c]), "role": F.lit(role), "missing": F.count_if(gaps[c]),
                 "n_rows": F.count(F.lit(1))}
 
     return column_aggregates(df, df.columns, stats).withColumnRenamed("feature", "column")

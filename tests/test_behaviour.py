@@ -305,3 +305,42 @@ def test_naive_bayes_with_a_constant_feature(spark):
     assert landmarks.summarise(landmarks.gaussian_nb(rows, ["c", "x"], "y", k)).first()["f1"] == 1.0
     only = landmarks.summarise(landmarks.gaussian_nb(rows, ["c"], "y", k)).first()["f1"]
     assert 0.0 < only < 0.6
+
+
+def test_nan_is_missing_everywhere(spark):
+    df = spark.createDataFrame([(1.0, "a"), (float("nan"), "b"), (None, "a"), (float("nan"), "b")], "x double, y string")
+    missing = {r["feature"]: r["missing"] for r in profile.missing_by_column(df).collect()}
+    assert missing == {"x": 3, "y": 0}
+    assert profile.missing_pct(df, "y").first()[0] == 75.0
+    assert profile.fingerprint(df).first()["missing_total"] == 3
+
+
+def test_table_without_numbers(spark):
+    df = spark.createDataFrame([("a", "u"), ("b", "v"), ("b", "v")], "x string, y string")
+    rows = {(r["section"], r["metric"]): r["value"] for r in profile.dataset_profile(df, "y").collect()}
+    assert rows["table", "n_rows"] == 3.0 and rows["table", "duplicate_rows"] == 1.0
+    assert {s for s, _ in rows} == {"table"}
+    clean, _ = prepare.auto_fix(df, "y", aggressive=True)
+    assert clean.count() == 2
+
+
+def test_signal_of_names_that_look_alike(spark):
+    rows = [("b_c", "x", 1), ("d", "c", 0), ("b_c", "c", 1), ("d", "x", 0)]
+    df = spark.createDataFrame(rows, "a string, a_b string, y int")
+    names = [r["feature"] for r in information.feature_signal(df, ["a", "a_b"], "y").collect()]
+    assert sorted(names) == ["a_b_c", "a_b_c", "a_b_x", "a_d"]
+
+
+def test_svm_scores_rows_with_missing_values(spark, monkeypatch):
+    rows = [(i, None if i % 3 == 0 else float(i % 2) + i / 100, i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, x double, y int")
+    folds, k = landmarks.with_folds(df, "id", "y", 2)
+    scored = []
+    monkeypatch.setattr(landmarks, "_fold_scores", lambda p: scored.append(p.count()) or p)
+    landmarks.linear_svm(folds, ["x"], "y", k)
+    assert scored == [60]
+
+
+def test_rows_without_a_target_count_as_rows(spark):
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (3.0, None)], "x double, y string")
+    assert metafeatures.extract(df, "y").first()["l1_n_instances"] == 3.0
