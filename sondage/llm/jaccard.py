@@ -267,26 +267,27 @@ def _shared(df: DataFrame, text: str, width: int, percent: int) -> DataFrame:
 
 
 def _shingles(df: DataFrame, wanted: DataFrame, text: str, key: str, width: int) -> DataFrame:
-    """``(set, shingles, bitmap)`` of the sets whose first ``(owner, body)`` is in ``wanted``."""
+    """``(set, n, shingles, bitmap)`` of the sets whose first ``(owner, body)`` is in ``wanted``."""
 
     def run(batches):
         hasher = Hasher(3)
         for batch in batches:
             found = list(shingle_sets(batch.column(1), width, hasher))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())),
-                 pa.array(list(map(parity, found)), pa.binary())], ["set", "shingles", "bitmap"])
+                [batch.column(0), pa.array(list(map(len, found)), pa.int32()),
+                 pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())),
+                 pa.array(list(map(parity, found)), pa.binary())], ["set", "n", "shingles", "bitmap"])
 
     some = sieve(df.select(*_identity(text, key), F.col(text).alias("text")), F.col("owner"), wanted.select("owner"))
     # Repeated rows go while they are texts: the join has them together already.
     joined = some.join(wanted, ["owner", "body"]).dropDuplicates(["owner", "body"]).select("set", "text")
-    return joined.mapInArrow(run, "`set` long, shingles array<long>, bitmap binary")
+    return joined.mapInArrow(run, "`set` long, n int, shingles array<long>, bitmap binary")
 
 
 def _links(pairs: DataFrame, shingles: DataFrame, percent: int, passed: bool = False) -> DataFrame:
     """The pairs ``(a, b)`` that are as similar as wanted, by their shingles; before, by the bitmaps unless they ``passed``."""
     if not passed:
-        bits = shingles.select("set", "bitmap", F.size("shingles").alias("n"))
+        bits = shingles.select("set", "bitmap", "n")
 
         @F.pandas_udf("boolean")
         def close(x: pd.Series, y: pd.Series, both: pd.Series) -> pd.Series:
@@ -297,8 +298,11 @@ def _links(pairs: DataFrame, shingles: DataFrame, percent: int, passed: bool = F
         right = bits.select(F.col("set").alias("b"), F.col("bitmap").alias("y"), F.col("n").alias("ny"))
         both = F.col("nx") + F.col("ny")
         pairs = pairs.join(left, "a").join(right, "b").where(close("x", "y", both)).select("a", "b")
-    left = shingles.select(F.col("set").alias("a"), F.col("shingles").alias("x"))
-    right = shingles.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
+    # Most sets are in no pair that is left: theirs stay where they are.
+    pairs = materialise(pairs, "close")
+    asked = sieve(shingles.select("set", "shingles"), F.col("set"), pairs.select(F.explode(F.array("a", "b")).alias("set")))
+    left = asked.select(F.col("set").alias("a"), F.col("shingles").alias("x"))
+    right = asked.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return (
         pairs.join(left, "a").join(right, "b")
