@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces a worker remembers per generation, and pairs of tokens whose neighbourhood it knows.
-MAX_PIECES = 300_000
+MAX_PIECES = 150_000
 MAX_PAIRS = 400_000
 #: Characters of text that are encoded together.
-GROUP = 2_000_000
+GROUP = 500_000
 _INF = float("inf")
 _END = "</w>"
 #: Characters whose normal form, case and class no version of Unicode changes between the libraries.
@@ -190,10 +190,11 @@ class Vocabulary:
 
 
 class Encoder:
-    """Texts to ids and back, with the pieces this worker has met."""
+    """Texts to ids and, with ``decoding``, back, with the pieces this worker has met."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, decoding: bool = True):
         self.v = vocabulary
+        self.decoding = decoding
         # By piece: its ids and its tokens, joined by blanks; then the generation before.
         self.ids: dict[str, str] = {}
         self.tokens: dict[str, str] = {}
@@ -227,7 +228,9 @@ class Encoder:
         ids_before, tokens_before = self.older
         fetched = fresh.intersection(ids_before)
         for piece in fetched:
-            self.ids[piece], self.tokens[piece] = ids_before[piece], tokens_before[piece]
+            self.ids[piece] = ids_before[piece]
+            if self.decoding:
+                self.tokens[piece] = tokens_before[piece]
         fresh.difference_update(fetched)
         words = {piece: self._words(piece) for piece in fresh}
         forms = {word: word if word.isascii() and word.isprintable() else self.v.symbols(word) for found in words.values() for word in found}
@@ -236,13 +239,15 @@ class Encoder:
         ids_of, tokens_of = {}, {}
         for word, ids in zip(order, self.v.walk([forms[w] for w in order])):
             ids_of[word] = " ".join(map(str, ids))
-            tokens_of[word] = " ".join([names[i] for i in ids])
+            if self.decoding:
+                tokens_of[word] = " ".join([names[i] for i in ids])
         for piece, found in words.items():
             self.ids[piece] = " ".join([ids_of[w] for w in found])
-            self.tokens[piece] = " ".join([tokens_of[w] for w in found])
+            if self.decoding:
+                self.tokens[piece] = " ".join([tokens_of[w] for w in found])
 
     def encode(self, texts: list[str | None]) -> list[tuple[str, str]]:
-        """The ids of each text, joined by blanks, and likewise its tokens."""
+        """The ids of each text, joined by blanks, and likewise its tokens (without ``decoding``, empty)."""
         cut = []
         for text in texts:
             at, parts = 0, []
@@ -257,10 +262,12 @@ class Encoder:
             for part in parts:
                 if isinstance(part, str):
                     ids.append(str(self.v.special[part]))
-                    tokens.append(part)
+                    if self.decoding:
+                        tokens.append(part)
                 else:
                     ids += map(self.ids.__getitem__, part)
-                    tokens += map(self.tokens.__getitem__, part)
+                    if self.decoding:
+                        tokens += map(self.tokens.__getitem__, part)
             out.append((" ".join(ids), " ".join(tokens)))
         return out
 
@@ -285,11 +292,12 @@ def _groups(column: pa.Array) -> Iterator[list[str | None]]:
         yield group
 
 
-def _encoder(vocabulary: Vocabulary) -> Encoder:
+def _encoder(vocabulary: Vocabulary, decoding: bool) -> Encoder:
     """The encoder of this Python worker: the broadcast value lives as long as the worker."""
-    if not hasattr(vocabulary, "encoder"):
-        vocabulary.encoder = Encoder(vocabulary)
-    return vocabulary.encoder
+    known = getattr(vocabulary, "encoder", None)
+    if known is None or known.decoding != decoding:
+        vocabulary.encoder = known = Encoder(vocabulary, decoding)
+    return known
 
 
 def load(path: str) -> Vocabulary:
@@ -306,10 +314,12 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFra
 
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _encoder(shared.value)
+        encoder = _encoder(shared.value, False)
         for column in batches:
-            rows = [np.array(ids.split(), dtype=np.int32) for group in _groups(column) for ids, _ in encoder.encode(group)]
-            yield pa.array(rows, pa.list_(pa.int32()))
+            # Results go back group by group: only their total must match the input.
+            for group in _groups(column):
+                rows = [np.fromstring(ids, dtype=np.int32, sep=" ") for ids, _ in encoder.encode(group)]
+                yield pa.array(rows, pa.list_(pa.int32()))
 
     return df.withColumn("ids", run(F.col(text)))
 
@@ -319,7 +329,7 @@ def digests(df: DataFrame, vocabulary: Vocabulary, text: str = "text", key: str
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        encoder = _encoder(shared.value)
+        encoder = _encoder(shared.value, True)
         for batch in batches:
             counts, hashes = [], ([], [])
             for group in _groups(batch.column(1)):
