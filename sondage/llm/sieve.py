@@ -23,6 +23,11 @@ def _place(key: Column) -> Column:
 
 def sieve(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     """The rows of ``df`` whose ``key`` may be in the first column of ``keys``."""
+    return df.where(sieve_flag(df, key, keys))
+
+
+def sieve_flag(df: DataFrame, key: Column, keys: DataFrame) -> Column:
+    """Whether ``key`` of a row of ``df`` may be in the first column of ``keys``."""
     place = _place(F.col(keys.columns[0]))
     # At most BITS / 32768 rows of 4 KB come back.
     parts = keys.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(
@@ -39,4 +44,4 @@ def sieve(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
         return pa.array((shared.value[at] >> (bit.to_numpy() & 7) & 1).astype(bool))
 
     place = _place(key)
-    return df.where(may(place, F.bitmap_bucket_number(place), F.bitmap_bit_position(place)))
+    return may(place, F.bitmap_bucket_number(place), F.bitmap_bit_position(place))

@@ -8,9 +8,13 @@ counts that both classes share.  Counts come from all labelled rows, as one aggr
 
 What a task needs to score is the difference of the two log-likelihoods of
 each 5-gram, and of each context with an unseen byte (there the shared part
-cancels out).  Both go into hash tables of fixed size, ``GRAM_BITS`` and
-``CONTEXT_BITS``, with a 16-bit tag against mistaken hits; of 5-grams that meet in
-one place the most frequent stays and the others count as unseen.  That bounds the broadcast.
+cancels out).  The most frequent of both, at most ``MOST_GRAMS`` and
+``MOST_CONTEXTS``, are broadcast under their whole keys.  Where there are more,
+each text keeps sums over the words that these settle and a list of the other
+words; the distinct 5-grams those wait for are joined with all differences, and
+their values return to the rows: the commonest, at most ``MOST_ANSWERS``, by
+broadcast and the others by a join in which no 5-gram has many rows.  Every
+counted 5-gram is used whatever their number; only the broadcasts are bounded.
 
 A text's features are length-normalised differences: over the whole text and
 over its most toxic words.  A logistic regression turns them into a score; it is
@@ -27,24 +31,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sondage.llm.batches import small_batches
-from sondage.llm.sieve import sieve
+from sondage.llm.sieve import sieve, sieve_flag
 from sondage.llm.words import text_bytes
 from sondage.plans.durable import materialise
 
 ORDER = 5
 DISCOUNT = 0.75
-GRAM_BITS = 22
-CONTEXT_BITS = 21
+MOST_GRAMS = 1 << 22
+MOST_CONTEXTS = 1 << 21
+MOST_ANSWERS = 1 << 20
 FIT_ROWS = 8192
 RIDGE = 1.0
 #: Bytes of text that are taken together: some fifteen arrays of eight bytes a symbol.
 BLOCK = 1 << 18
-_A, _B = 0x9E3779B1, 0x85EBCA77
 
 #: Bytes of words, in lower case; 0x20 stands for what is between words.
 _WORD = np.full(256, 0x20, dtype=np.uint8)
@@ -53,13 +57,6 @@ _WORD[65:91] = np.arange(97, 123)
 _WORD[128:] = np.arange(128, 256)
 
 
-def _scatter(gram):
-    """A spread of a key below 2**40, the same in NumPy and in Spark, without overflow."""
-    if isinstance(gram, Column):
-        return (gram.bitwiseAND(F.lit(0xFFFFF)) * _A).bitwiseXOR(F.shiftright(gram, 20) * _B)
-    return ((gram & 0xFFFFF) * _A) ^ ((gram >> 20) * _B)
-
-
 def grams(column: pa.Array):
     """Yields, by blocks of texts: the text of each symbol, its 5-gram as a long, and where words begin.
 
@@ -134,7 +131,7 @@ def _shared(types: DataFrame) -> DataFrame:
 
 
 def _differences(counts: DataFrame, zero: str, one: str) -> tuple[DataFrame, DataFrame]:
-    """``(place, tag, value)`` of the 5-grams and of the contexts: log-likelihood of toxic less that of ordinary."""
+    """``(gram, n, value)`` of the 5-grams and of the contexts: log-likelihood of toxic less that of ordinary."""
     types = counts.where((F.col(zero) > 0) | (F.col(one) > 0))
     context = W.partitionBy(F.shiftright("gram", 8))
     here = types.select("gram", zero, one, *[x for c in (zero, one) for x in (
@@ -149,88 +146,87 @@ def _differences(counts: DataFrame, zero: str, one: str) -> tuple[DataFrame, Dat
 
     low = F.col("gram").bitwiseAND(F.lit((1 << 8 * (ORDER - 1)) - 1))
     seen = here.withColumn("low", low).join(_shared(types), "low").select(
-        "gram", (F.col(zero) + F.col(one)).alias("n"), (F.log(likely(one)) - F.log(likely(zero))).alias("value"))
+        "gram", (F.col(zero) + F.col(one)).alias("n"), (F.log(likely(one)) - F.log(likely(zero))).cast("float").alias("value"))
     unseen = here.groupBy(F.shiftright("gram", 8).alias("gram")).agg(
-        F.first(F.log(rest(one)) - F.log(rest(zero))).alias("value"), F.sum(F.col(zero) + F.col(one)).alias("n"))
+        F.sum(F.col(zero) + F.col(one)).alias("n"), F.first(F.log(rest(one)) - F.log(rest(zero))).cast("float").alias("value"))
+    return materialise(seen, "differences"), materialise(unseen, "contexts")
+
+
+class Known:
+    """Values by key, of the most frequent ``(gram, n, value)`` rows, at most ``most``; ``whole`` if that is all."""
+
+    def __init__(self, rows: DataFrame, most: int):
+        # Powers of 2**(1/8): some 500 steps at most come back.
+        step = F.floor(F.log2("n") * 8)
+        sizes = sorted((tuple(r) for r in rows.groupBy(step.alias("step")).count().collect()), reverse=True)
+        total, low = 0, None
+        for at, size in sizes:
+            if total + size > most:
+                break
+            total, low = total + size, at
+        self.whole = total == sum(size for _, size in sizes)
+        taken = F.lit(low is not None) & (step >= F.lit(low if low is not None else 0))
+        self.rest = rows.where(~taken)
+        got = rows.where(taken).select("gram", "value").toArrow()
+        keys = got["gram"].to_numpy()
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], got["value"].to_numpy()[order]
 
-    def placed(rows, bits):
-        spread = _scatter(F.col("gram"))
-        rows = rows.select(F.shiftright(spread, 12).bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("place"),
-                           (F.pmod(F.shiftright(spread, 36), F.lit(0xFFFF)) + 1).cast("int").alias("tag"), "n", "value", "gram")
-        best = F.max(F.struct("n", "gram", "tag", "value")).alias("best")
-        return rows.groupBy("place").agg(best).select("place", "best.tag", F.col("best.value").cast("float").alias("value"))
+    def __getstate__(self):
+        return self.whole, self.keys, self.values
+
+    def __setstate__(self, state):
+        self.whole, self.keys, self.values = state
 
-    return placed(seen, GRAM_BITS), placed(unseen, CONTEXT_BITS)
+    def look(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the sorted keys are here, and their values."""
+        if not len(self.keys):
+            return np.zeros(len(key), dtype=bool), np.zeros(len(key))
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return self.keys[at] == key, self.values[at].astype(np.float64)
 
 
 class Tables:
-    """The two hash tables of a pair of models."""
+    """The differences of a pair of models: what is broadcast, and the tables of all."""
 
     def __init__(self, parts: tuple[DataFrame, DataFrame]):
-        self.held = []
-        for rows, bits in zip(parts, (GRAM_BITS, CONTEXT_BITS)):
-            # At most 2**bits rows.
-            got = rows.toArrow()
-            tags, values = np.zeros(1 << bits, dtype=np.uint16), np.zeros(1 << bits, dtype=np.float32)
-            place = got["place"].to_numpy()
-            tags[place], values[place] = got["tag"].to_numpy(), got["value"].to_numpy()
-            self.held.append((bits, tags, values))
+        self.grams, self.contexts = Known(parts[0], MOST_GRAMS), Known(parts[1], MOST_CONTEXTS)
+        self.every_context = parts[1]
+        #: Whether no text has to wait for a join.
+        self.whole = self.grams.whole and self.contexts.whole
 
     def __getstate__(self):
-        """Only the places in use travel."""
-        used = [np.flatnonzero(tags) for _, tags, _ in self.held]
-        return [(bits, at.astype(np.int32), tags[at], values[at]) for at, (bits, tags, values) in zip(used, self.held)]
+        return self.grams, self.contexts, self.whole
 
     def __setstate__(self, state):
-        self.held = []
-        for bits, at, found, known in state:
-            tags, values = np.zeros(1 << bits, dtype=np.uint16), np.zeros(1 << bits, dtype=np.float32)
-            tags[at], values[at] = found, known
-            self.held.append((bits, tags, values))
-
-    def _look(self, which: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        bits, tags, values = self.held[which]
-        spread = _scatter(key)
-        place = (spread >> 12) & ((1 << bits) - 1)
-        return tags[place] == (spread >> 36) % 0xFFFF + 1, values[place]
-
-    def difference(self, key: np.ndarray) -> np.ndarray:
-        hit, value = self._look(0, key)
+        self.grams, self.contexts, self.whole = state
+
+    def difference(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of sorted keys, and which of them only the join knows."""
+        hit, value = self.grams.look(key)
         miss = np.flatnonzero(~hit)
-        known, rest = self._look(1, key[miss] >> 8)
+        known, rest = self.contexts.look(key[miss] >> 8)
         value[miss] = np.where(known, rest, 0)
-        return value.astype(np.float64)
-
+        open_keys = np.zeros(len(key), dtype=bool)
+        open_keys[miss] = ~known & (not self.contexts.whole) if self.grams.whole else True
+        value[open_keys] = 0
+        return value, open_keys
 
-FEATURES = 7
+    def answers(self, waiting: DataFrame) -> DataFrame:
+        """``(gram, n, value)`` of the distinct 5-grams of a table ``(gram)``: n is how many rows ask."""
+        asked = waiting.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        seen = self.grams.rest.select("gram", F.col("value").alias("own"))
+        back = self.every_context.select(F.col("gram").alias("context"), F.col("value").alias("other"))
+        return asked.join(seen, "gram", "left").withColumn("context", F.shiftright("gram", 8)).join(back, "context", "left").select(
+            "gram", "n", F.coalesce("own", "other", F.lit(0.0).cast("float")).alias("value"))
 
 
-def features(column: pa.Array, tables: Tables) -> np.ndarray:
-    """One row per text; all zeros for a text without words."""
-    out = np.zeros((len(column), FEATURES))
-    for at, owner, key, starts in grams(column):
-        if not len(key):
-            continue
-        value = tables.difference(key)
-        begin = np.flatnonzero(starts)
-        words = np.add.reduceat(value, begin)
-        length = np.diff(np.append(begin, len(key)))
-        text = owner[begin]
-        edge = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
-        who = text[edge]
-        count = np.diff(np.append(edge, len(text)))
-        order = np.lexsort((-words, text))
-        best = words[order]
-        second = np.where(count > 1, best[np.minimum(edge + 1, len(best) - 1)], 0)
-        excess = np.maximum(words - 2, 0)
-        out[who, 0] = np.add.reduceat(words, edge) / np.add.reduceat(length, edge)
-        out[who, 1] = np.sqrt(np.maximum(best[edge], 0))
-        out[who, 2] = np.sqrt(np.maximum(second, 0))
-        out[who, 3] = np.sqrt(np.maximum(np.maximum.reduceat(words / length, edge), 0))
-        out[who, 4] = np.add.reduceat(excess, edge) / count
-        out[who, 5] = np.log1p(np.add.reduceat(excess, edge))
-        out[who, 6] = np.log1p(count)
-    return out
+FEATURES = 7
+#: Of a text's settled words: sum of their values, the two best, the best per byte, sum of excesses.  Of all words: bytes, number.
+_STATE = 7
+#: What a row keeps until the join has answered; the words and 5-grams are numbered within the row.
+_WAITING = {"state": "array<double>", "waits_value": "array<double>", "waits_length": "array<bigint>",
+            "waits_word": "array<bigint>", "waits_gram": "array<bigint>"}
 
 
 def _regression(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,16 +248,162 @@ def _regression(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return centre, scale, w
 
 
+def _add(state: np.ndarray, value: float, length: int) -> None:
+    """Takes one more settled word into a state that has its bytes and number."""
+    state[0] += value
+    state[1], state[2] = (value, state[1]) if value > state[1] else (state[1], max(state[2], value))
+    state[3] = max(state[3], value / length)
+    state[4] += max(value - 2, 0)
+
+
+def states(column: pa.Array, tables: Tables):
+    """States of all texts; then, of the words that wait: text, value so far, bytes; then pairs of such a word and a 5-gram it waits for."""
+    out = np.zeros((len(column), _STATE))
+    out[:, 1:4] = -np.inf
+    words_open, pairs, taken = [], [], 0
+    for at, owner, key, starts in grams(column):
+        if not len(key):
+            continue
+        distinct, places = np.unique(key, return_inverse=True)
+        known, waits = tables.difference(distinct)
+        value, wait = known[places], waits[places]
+        begin = np.flatnonzero(starts)
+        words = np.add.reduceat(value, begin)
+        length = np.diff(np.append(begin, len(key)))
+        text = owner[begin]
+        edge = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
+        out[text[edge], 5] = np.add.reduceat(length, edge)
+        out[text[edge], 6] = np.diff(np.append(edge, len(text)))
+        if wait.any():
+            late = np.logical_or.reduceat(wait, begin)
+            number = np.cumsum(late) - 1 + taken
+            taken += int(late.sum())
+            words_open.append((text[late], words[late], length[late]))
+            where = np.flatnonzero(wait)
+            pairs.append((number[np.searchsorted(begin, where, side="right") - 1], key[where]))
+            words, length, text = words[~late], length[~late], text[~late]
+            if not len(text):
+                continue
+            edge = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
+        who = text[edge]
+        count = np.diff(np.append(edge, len(text)))
+        best = words[np.lexsort((-words, text))]
+        out[who, 0] = np.add.reduceat(words, edge)
+        out[who, 1] = best[edge]
+        out[who, 2] = np.where(count > 1, best[np.minimum(edge + 1, len(best) - 1)], -np.inf)
+        out[who, 3] = np.maximum.reduceat(words / length, edge)
+        out[who, 4] = np.add.reduceat(np.maximum(words - 2, 0), edge)
+    kinds = ((np.int64, np.float64, np.int64), (np.int64, np.int64))
+    return out, *[tuple(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, dtype=kind) for i, kind in enumerate(k))
+                  for parts, k in zip((words_open, pairs), kinds)]
+
+
+def _features(state: np.ndarray) -> np.ndarray:
+    """One row per state; all zeros for a text without words."""
+    out = np.zeros((len(state), FEATURES))
+    out[:, 0] = state[:, 0] / np.maximum(state[:, 5], 1)
+    out[:, 1:4] = np.sqrt(np.maximum(state[:, 1:4], 0))
+    out[:, 4] = state[:, 4] / np.maximum(state[:, 6], 1)
+    out[:, 5] = np.log1p(state[:, 4])
+    out[:, 6] = np.log1p(state[:, 6])
+    return out
+
+
+def _lists(parts: np.ndarray, groups: np.ndarray, n: int) -> pa.Array:
+    """Values in the order of their groups, as one list per group."""
+    ends = np.searchsorted(groups, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(parts))
+
+
+def features(df: DataFrame, tables: Tables) -> DataFrame:
+    """``df`` with its last column, a text, replaced by ``found``: the features."""
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(tables)
+    names = df.columns[:-1]
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1])
+
+    def listed(found):
+        return pa.array(list(found), pa.list_(pa.float64()))
+
+    def at_once(batches):
+        for batch in batches:
+            found = _features(states(batch.column(len(names)), shared.value)[0])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], listed(found)], [*names, "found"])
+
+    if tables.whole:
+        return df.mapInArrow(at_once, f"{head}, found array<double>")
+
+    def first(batches):
+        for batch in batches:
+            n = batch.num_rows
+            state, (text, value, length), (word, gram) = states(batch.column(len(names)), shared.value)
+            begin = np.searchsorted(text, np.arange(n))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], listed(state), _lists(value, text, n), _lists(length, text, n),
+                 _lists((word - begin[text[word]]).astype(np.int64), text[word], n), _lists(gram, text[word], n)],
+                [*names, *_WAITING])
+
+    with small_batches(spark):
+        held = materialise(df.mapInArrow(first, f"{head}, {', '.join(f'{a} {b}' for a, b in _WAITING.items())}").withColumn(
+            "row_number", F.monotonically_increasing_id()), "states")
+    asked = held.select(F.explode(F.array_distinct("waits_gram")).alias("gram"))
+    answers = materialise(tables.answers(asked), "answers")
+    common = Known(answers, MOST_ANSWERS)
+    common_here = spark.sparkContext.broadcast(common)
+
+    def others(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            row = np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy().astype(np.int64))
+            gram = lists.flatten().to_numpy()
+            distinct, places = np.unique(gram, return_inverse=True)
+            take = ~common_here.value.look(distinct)[0][places]
+            yield pa.RecordBatch.from_arrays([pa.array(row[take]), pa.array(gram[take])], ["row_number", "gram"])
+
+    # Apart from the common answers, so that no 5-gram has many rows.
+    if common.whole:
+        told = held.withColumn("told", F.lit(None).cast("array<struct<gram:bigint,value:float>>"))
+    else:
+        single = held.where(F.size("waits_gram") > 0).select("row_number", F.array_distinct("waits_gram").alias("grams"))
+        pairs = single.mapInArrow(others, "row_number long, gram long").join(common.rest.select("gram", "value"), "gram")
+        told = held.join(pairs.groupBy("row_number").agg(F.collect_list(F.struct("gram", "value")).alias("told")), "row_number", "left")
+
+    def finish(batches):
+        for batch in batches:
+            every = common_here.value
+            columns = {c: batch.column(c) for c in (*_WAITING, "told")}
+            state = np.array(columns["state"].to_pylist(), dtype=np.float64).reshape(batch.num_rows, _STATE)
+            for i in np.flatnonzero(columns["waits_value"].value_lengths().to_numpy()):
+                value, length, word, gram = (columns[c][i].values.to_numpy() for c in list(_WAITING)[1:])
+                distinct, places = np.unique(gram, return_inverse=True)
+                hit, known = every.look(distinct)
+                if columns["told"][i].is_valid:
+                    extra = columns["told"][i].values
+                    keys, more = extra.field("gram").to_numpy(), extra.field("value").to_numpy()
+                    at = np.searchsorted(distinct, keys)
+                    known[at], hit[at] = more, True
+                assert hit.all()
+                value = value.copy()
+                np.add.at(value, word, known[places])
+                for v, n in zip(value, length):
+                    _add(state[i], v, n)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], listed(_features(state))], [*names, "found"])
+
+    return told.select(*[F.col(f"`{c}`") for c in names], *_WAITING, "told").mapInArrow(finish, f"{head}, found array<double>")
+
+
 class Model:
     def __init__(self, tables: Tables | None, centre=None, scale=None, weights=None, share: float = 0.0):
         self.tables, self.centre, self.scale, self.weights, self.share = tables, centre, scale, weights, share
 
-    def score(self, column: pa.Array) -> np.ndarray:
-        if self.tables is None:
-            return np.full(len(column), self.share)
-        z = (features(column, self.tables) - self.centre) / self.scale
+    def score(self, found: np.ndarray) -> np.ndarray:
+        """Scores of rows of features."""
+        z = (found - self.centre) / self.scale
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + z @ self.weights[1:], -30, 30)))
 
+    def __getstate__(self):
+        return self.__dict__ | ({} if self.tables is None or self.tables.whole else {"tables": None})
+
 
 def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", toxic: str = "toxic") -> Model:
     """The models of all rows of ``labels (key, toxic)``, and the regression on a bounded sample of them."""
@@ -284,16 +426,8 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str =
     sample = marks.where(~F.col("fit")).orderBy(order, "key").limit(FIT_ROWS).select("key", "toxic").collect()
     chosen = spark.createDataFrame(sample, "key long, toxic int")
     tables = Tables(_differences(counts, "f0", "f1"))
-    shared = spark.sparkContext.broadcast(tables)
-
-    def run(batches):
-        for batch in batches:
-            found = features(batch.column(1), shared.value)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(list(found), pa.list_(pa.float64()))], ["toxic", "found"])
-
     # At most FIT_ROWS ids: a broadcast of bounded size.
-    fitted = bodies.join(F.broadcast(chosen), "key").select("toxic", "text").mapInArrow(run, "toxic int, found array<double>")
+    fitted = features(bodies.join(F.broadcast(chosen), "key").select("toxic", "text"), tables)
     with small_batches(spark):
         rows = fitted.limit(2 * FIT_ROWS).collect()
     y = np.array([r[0] for r in rows], dtype=float)
@@ -307,25 +441,46 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str =
 
 def scores(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``(key, score)`` per row."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(batch.column(1)))], ["k", "score"])
-
-    kind = df.schema[key].dataType.simpleString()
-    found = df.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(run, f"k {kind}, score double")
+    if model.tables is None:
+        return df.select(F.col(key), F.lit(float(model.share)).alias("score"))
+    found = _scored(df.select(F.col(key).alias("k"), F.col(text).alias("text")), model)
     # Written at once: a few bytes a row, and the texts go to Python in small batches.
     with small_batches(df.sparkSession):
         return materialise(found, "scores").withColumnRenamed("k", key)
 
 
-def without_toxic(df: DataFrame, model: Model, limit: float, text: str = "text") -> DataFrame:
-    """The rows of ``df`` that score below ``limit``."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def _scored(df: DataFrame, model: Model) -> DataFrame:
+    """``df`` with its last column, a text, replaced by ``score``."""
+    found = features(df, model.tables)
+    # The driver's side of the tables stays here.
+    plain = Model(None, model.centre, model.scale, model.weights, model.share)
 
     @F.arrow_udf("double")
-    def score(body: pa.Array) -> pa.Array:
-        return pa.array(shared.value.score(body))
+    def score(found: pa.Array) -> pa.Array:
+        return pa.array(plain.score(found.flatten().to_numpy().reshape(len(found), FEATURES)))
 
-    return df.where(score(F.coalesce(F.col(text), F.lit(""))) < limit)
+    return found.withColumn("score", score("found")).drop("found")
+
+
+def without_toxic(df: DataFrame, model: Model, limit: float, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` that score below ``limit``."""
+    if model.tables is None:
+        return df.where(F.lit(float(model.share)) < limit)
+    body = F.coalesce(F.col(text), F.lit(""))
+    if model.tables.whole:
+        shared = df.sparkSession.sparkContext.broadcast(model)
+
+        @F.arrow_udf("double")
+        def score(body: pa.Array) -> pa.Array:
+            return pa.array(shared.value.score(_features(states(body, shared.value.tables)[0])))
+
+        return df.where(score(body) < limit)
+    # The score hangs on the text alone.  Rows that cannot be rejected pass without a shuffle; the id keeps copies apart.
+    mark = F.sha2(F.encode(F.concat_ws("\x00", F.coalesce(F.col(key).cast("string"), F.lit("null")), body), "UTF-8"), 256)
+    with small_batches(df.sparkSession):
+        rejected = materialise(_scored(df.select(mark.alias("__rejected"), body.alias("text")), model).where(
+            F.col("score") >= limit).select("__rejected").distinct(), "rejected")
+    here = df.withColumn("__mark", mark)
+    doubtful = sieve_flag(here, F.col("__mark"), rejected)
+    kept = here.where(doubtful).join(rejected, F.col("__mark") == F.col("__rejected"), "left_anti")
+    return here.where(~doubtful).unionAll(kept).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -288,6 +288,43 @@ def test_toxic_words_are_learned(spark, table):
     assert kept.columns == table(rows).columns and {2000, 2001} < {r["doc_id"] for r in kept.collect()}
 
 
+def toxic_corpus(n=400):
+    """Texts of four scripts with rare words; every 7th is toxic."""
+    rng = random.Random(4)
+    parts = ["an", "er", "th", "ing", "sä", "то", "日本", "ñu"]
+    rows, labels = [], []
+    for i in range(n):
+        words = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(40)]
+        if i % 7 == 0:
+            words[rng.randrange(40)] = rng.choice(["lowei", "vequ", "grüm"]) + rng.choice(parts)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 7 == 0)))
+    return [*rows, (2000, None), (2001, " .. "), (None, "lowei an"), (3, "vequ er th"), (3, "vequ er th")], labels
+
+
+@pytest.mark.parametrize("most", [(300, 100, 20), (1 << 22, 50, 1 << 20), (0, 0, 0)])
+def test_toxicity_uses_every_gram_whatever_the_tables_hold(spark, table, monkeypatch, most):
+    rows, labels = toxic_corpus()
+    marks = spark.createDataFrame([x for x in labels if x[0] % 3], "doc_id long, toxic int")
+
+    def found(model):
+        return sorted(((str(r["doc_id"]), r["score"]) for r in toxicity.scores(table(rows), model).collect()))
+
+    whole = toxicity.fit(table(rows), marks)
+    expected = found(whole)
+    assert whole.tables.whole
+    for name, value in zip(("MOST_GRAMS", "MOST_CONTEXTS", "MOST_ANSWERS"), most):
+        monkeypatch.setattr(toxicity, name, value)
+    model = toxicity.fit(table(rows), marks)
+    assert len(model.tables.grams.keys) <= most[0] and not model.tables.whole
+    got = found(model)
+    assert [k for k, _ in got] == [k for k, _ in expected]
+    assert [s for _, s in got] == pytest.approx([s for _, s in expected], abs=1e-6)
+    kept = toxicity.without_toxic(table(rows), model, 0.3)
+    assert kept.columns == table(rows).columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == [k for k, s in expected if s < 0.3]
+
+
 def test_toxicity_without_labels(spark, table):
     rows = [(1, "a b"), (2, None)]
     for marks, score in (([], 0.0), ([(1, 1)], 1.0), ([(1, None), (2, 0)], 0.0)):
