@@ -18,13 +18,16 @@ counted 5-gram is used whatever their number; only the broadcasts are bounded.
 
 A text's features are length-normalised differences: over the whole text and
 over its most toxic words.  A logistic regression turns them into a score; it is
-fitted on at most ``FIT_ROWS`` labelled rows (a sample by hash of the id)
-against models that have not seen those rows.
+fitted on at most ``FIT_ROWS / 2`` labelled ids of each class (a sample by hash of the id)
+against models that have not seen those rows, and its constant is then moved
+from the odds of the sample to those of all ids kept apart.  Where one class has no id kept apart,
+the score is the logistic function of the length-normalised difference of the whole text, as of ``EVIDENCE`` bytes.
 
 Defined results: null and empty texts have all features 0 and get the score that goes with
-those.  Without labels of both classes every score is the share of toxic labels, 0 without labels.  Labels that are
-null count for nothing; several labels of one id all count; repeated rows
-score alike.
+those (without a regression: the share of toxic labels).  Without counts of both classes every score is the share of
+toxic labels, 0 without labels.  Labels that are
+null count for nothing; several labels of one id all count in the models, and the regression takes
+the label that most of them have, toxic on a tie; repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -47,6 +50,8 @@ MOST_CONTEXTS = 1 << 21
 MOST_ANSWERS = 1 << 20
 FIT_ROWS = 8192
 RIDGE = 1.0
+#: Bytes that a text counts for where no regression can be fitted: some forty words.
+EVIDENCE = 256
 #: Bytes of text that are taken together: some fifteen arrays of eight bytes a symbol.
 BLOCK = 1 << 18
 
@@ -398,6 +403,9 @@ class Model:
 
     def score(self, found: np.ndarray) -> np.ndarray:
         """Scores of rows of features."""
+        if self.weights is None:
+            plain = 1 / (1 + np.exp(-np.clip(EVIDENCE * found[:, 0], -30, 30)))
+            return np.where(found[:, FEATURES - 1] > 0, plain, self.share)
         z = (found - self.centre) / self.scale
         return 1 / (1 + np.exp(-np.clip(self.weights[0] + z @ self.weights[1:], -30, 30)))
 
@@ -419,24 +427,32 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str =
     with small_batches(spark):
         counts = materialise(count_grams(labelled.select("text", (F.col("toxic") == 1).alias("toxic"), "fit")), "grams")
     all_of = counts.agg(*[F.sum(c) for c in ("c0", "c1", "f0", "f1")]).first()
-    if not all(all_of):
+    if not all(all_of[:2]):
         return Model(None, share=float(share))
-    # A bounded sample of ids, evenly from both classes' held-apart rows, by hash.
+    # Held-apart ids that have a document, one row each; the first of both classes by hash.
+    held = marks.where(~F.col("fit")).groupBy("key").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+    ids = sieve(bodies.select("key"), F.col("key"), held)
+    held = materialise(held.join(ids, "key", "left_semi"), "held-apart")
+    number = {r[0]: r[1] for r in held.groupBy("toxic").count().collect()}
+    every = Tables(_differences(counts, "c0", "c1"))
+    if len(number) < 2 or not all(all_of[2:]):
+        return Model(every, share=float(share))
     order = F.xxhash64(F.lit("sample"), F.col("key"))
-    sample = marks.where(~F.col("fit")).orderBy(order, "key").limit(FIT_ROWS).select("key", "toxic").collect()
-    chosen = spark.createDataFrame(sample, "key long, toxic int")
+    sample = [r for c in (0, 1) for r in held.where(F.col("toxic") == c).orderBy(order, "key").limit(FIT_ROWS // 2).collect()]
+    chosen = spark.createDataFrame(sample, held.schema)
     tables = Tables(_differences(counts, "f0", "f1"))
-    # At most FIT_ROWS ids: a broadcast of bounded size.
-    fitted = features(bodies.join(F.broadcast(chosen), "key").select("toxic", "text"), tables)
+    # At most FIT_ROWS ids: a broadcast of bounded size.  Of a repeated id's texts, one by hash.
+    texts = bodies.join(F.broadcast(chosen), "key").select("key", "toxic", F.xxhash64("text").alias("mark"), "text")
     with small_batches(spark):
-        rows = fitted.limit(2 * FIT_ROWS).collect()
+        rows = features(texts, tables).groupBy("key").agg(F.min(F.struct("mark", "toxic", "found")).alias("x")).select(
+            "x.toxic", "x.found").collect()
     y = np.array([r[0] for r in rows], dtype=float)
-    if not len(y) or y.min() == y.max():
-        return Model(None, share=float(share))
     x = np.array([r[1] for r in rows])
     order = np.lexsort((*x.T, y))
     centre, scale, weights = _regression(x[order], y[order])
-    return Model(Tables(_differences(counts, "c0", "c1")), centre, scale, weights, float(share))
+    # The sample has its own odds of the classes; the constant goes back to those of all held-apart ids.
+    weights[0] += np.log(number[1] / number[0]) - np.log(y.sum() / (len(y) - y.sum()))
+    return Model(every, centre, scale, weights, float(share))
 
 
 def scores(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:

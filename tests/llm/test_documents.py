@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -325,6 +326,32 @@ def test_toxicity_uses_every_gram_whatever_the_tables_hold(spark, table, monkeyp
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == [k for k, s in expected if s < 0.3]
 
 
+def test_rare_toxic_labels_are_in_the_regression(spark, table, monkeypatch):
+    """Few toxic ids among many, one id repeated many times: the sample has both classes and each id once."""
+    rows, labels = toxic_corpus()
+    labels = [(i, y) for i, y in labels if y == 0 or i % 14 == 0]
+    repeated = next(i for i, y in labels if y == 0 and zlib.crc32(f"fit-{i}".encode()) % 3 == 0)
+    rows += [(repeated, dict((r[0], r[1]) for r in rows)[repeated])] * 300
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen = []
+    regression = toxicity._regression
+    monkeypatch.setattr(toxicity, "_regression", lambda x, y: seen.append(y) or regression(x, y))
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 12)
+    toxicity.fit(table(rows), marks)
+    apart = [y for i, y in labels if zlib.crc32(f"fit-{i}".encode()) % 3 == 0]
+    assert sum(apart) * 6 < len(apart)
+    assert (seen[0].sum(), len(seen[0])) == (min(6, sum(apart)), min(6, sum(apart)) + 6)
+
+
+def test_toxicity_without_toxic_ids_apart_is_not_constant(spark, table):
+    rows, labels = toxic_corpus()
+    labels = [(i, y) for i, y in labels if y == 0 or zlib.crc32(f"fit-{i}".encode()) % 3]
+    model = toxicity.fit(table(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.scores(table(rows[:400]), model).collect()}
+    toxic, clean = ([got[i] for i, y in labels if y == c] for c in (1, 0))
+    assert min(toxic) > 0.3 and np.mean(np.array(clean) < 0.3) > 0.9
+
+
 def test_toxicity_without_labels(spark, table):
     rows = [(1, "a b"), (2, None)]
     for marks, score in (([], 0.0), ([(1, 1)], 1.0), ([(1, None), (2, 0)], 0.0)):
