@@ -5,7 +5,8 @@ of a field over the labels none, email, ip, card and phone.  Neighbouring nodes
 a chain potential; distant nodes with the same long number (or its last seven digits), or the
 same address or local part of one, share a skip potential.  Nodes of base spans are observed.
 Loopy message passing over each document then labels, say, a phone
-number's last part where it comes again without its prefix.
+number's last part where it comes again without its prefix.  It goes on until the messages stand still, and
+at least as long as evidence needs along the longest skip path.
 
 All potentials are counted over the whole corpus, piece by piece, with the base labels
 as observations: shapes per label, label pairs of neighbours and of skip
@@ -14,8 +15,8 @@ A node gets a span of its own if its label has a posterior of ``SURE`` and a ski
 to a base span of that label.
 
 Defined results: null and empty texts have no spans.  Partners are linked one
-after the other, not all with all, so a token that fills a document costs no more than
-its length.  Repeated rows give repeated results.
+after the other and each with the first that is observed, not all with all, so a token that fills a
+document costs no more than its length; only the first kind of link is counted for the potentials.  Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -33,7 +34,12 @@ from sondage.plans.durable import materialise
 KINDS = ("email", "ip", "card", "phone")
 SHAPES = 1 << 16
 SURE = 0.9
-SWEEPS = 12
+#: Sweeps per link of the longest skip path, beside ``LEAST``: damped messages take two a link on average.
+SWEEPS = 3
+LEAST = 12
+STILL = 1e-4
+#: After those sweeps each step is so much smaller, so that messages that swing come to rest.
+COOLING = 0.95
 _PAIRS = (len(KINDS) + 1) ** 2
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -105,9 +111,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _shape(token: str) -> int:
-    """Runs of digits, letters and signs with their lengths up to five, and whether a long number checks."""
+    """All runs of digits, letters and signs with their lengths up to five, and whether a long number checks."""
     parts = []
-    for run in _RUN.findall(token)[:10]:
+    for run in _RUN.findall(token):
         kind = "9" if run[0].isdigit() else "a" if run[0].isalpha() else run[0]
         parts.append(f"{kind}{min(len(run), 5)}")
     digits = "".join(c for c in token if "0" <= c <= "9")
@@ -126,12 +132,12 @@ def _names(token: str) -> list[str]:
 
 
 def nodes(text: str, spans: list[tuple[int, int, int]]):
-    """Starts, ends, shapes and labels (0: none) of the nodes, then chain edges and skip edges as flat pairs."""
-    starts, ends, shapes, labels, chain, skip = [], [], [], [], [], []
+    """Starts, ends, shapes and labels (0: none) of the nodes, then as flat pairs chain edges, skip edges, and skip edges to the first observed."""
+    starts, ends, shapes, labels, chain = [], [], [], [], []
     if not _MARK.search(text):
-        return starts, ends, shapes, labels, chain, skip
+        return starts, ends, shapes, labels, chain, [], []
     owners = sorted((a, b, k + 1) for k, a, b in spans)
-    at, seen, joined = 0, {}, set()
+    at, seen = 0, {}
     before = -2
     for place, m in enumerate(_TOKEN.finditer(text)):
         token = m[0]
@@ -151,17 +157,18 @@ def nodes(text: str, spans: list[tuple[int, int, int]]):
         if before == place - 1:
             chain += [i - 1, i]
         before = place
-        if len(token) <= 200:
-            for name in _names(token):
-                j = seen.get(name)
-                if j is not None and (j, i) not in joined:
-                    joined.add((j, i))
-                    skip += [j, i]
-                seen[name] = i
-    return starts, ends, shapes, labels, chain, skip
-
-
-_READ = ("starts array<int>, ends array<int>, shapes array<int>, labels array<int>, chain array<int>, skip array<int>, "
+        for name in _names(token):
+            seen.setdefault(name, []).append(i)
+    skip, hub = set(), set()
+    for found in seen.values():
+        first = next((i for i in found if labels[i]), None)
+        skip.update((i, j) for i, j in zip(found, found[1:]) if i != j)
+        if first is not None:
+            hub.update((min(i, first), max(i, first)) for i in found if i != first)
+    return starts, ends, shapes, labels, chain, *[[i for pair in sorted(x) for i in pair] for x in (skip, hub - skip)]
+
+
+_READ = ("starts array<int>, ends array<int>, shapes array<int>, labels array<int>, chain array<int>, skip array<int>, hub array<int>, "
          "kinds array<int>, span_starts array<int>, span_ends array<int>")
 
 
@@ -170,7 +177,7 @@ def read(df: DataFrame, text: str, key: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = [[] for _ in range(9)]
+            out = [[] for _ in range(10)]
             for value in batch.column(1):
                 body = value.as_py() or ""
                 spans = base_spans(body) if _MARK.search(body) else []
@@ -205,8 +212,8 @@ class Field:
         total = counts.sum()
         return np.log(counts * total / np.outer(counts.sum(axis=1), counts.sum(axis=0)))
 
-    def infer(self, shapes, labels, chain, skip) -> np.ndarray:
-        """Posteriors of each node's label, by loopy message passing."""
+    def infer(self, shapes, labels, chain, skip, longest: int) -> np.ndarray:
+        """Posteriors of each node's label, by loopy message passing; ``longest`` is the length of the longest skip path."""
         n, kinds = len(shapes), len(KINDS) + 1
         own = self.unary[shapes].astype(np.float64)
         seen = labels > 0
@@ -218,7 +225,8 @@ class Field:
         table = np.concatenate([table, table.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
         messages = np.zeros((len(source), kinds))
-        for _ in range(SWEEPS):
+        least, sweep, step = LEAST + SWEEPS * longest, 0, 0.5
+        while True:
             belief = own.copy()
             np.add.at(belief, target, messages)
             sent = belief[source] - messages[back]
@@ -226,33 +234,46 @@ class Field:
             top = both.max(axis=1, keepdims=True)
             new = np.log(np.exp(both - top).sum(axis=1)) + top[:, 0]
             new -= new.max(axis=1, keepdims=True)
-            messages = 0.5 * messages + 0.5 * new
+            change = step * (new - messages)
+            messages = messages + change
+            sweep += 1
+            if sweep >= least:
+                if np.abs(change).max() < STILL:
+                    break
+                step *= COOLING
         belief = own.copy()
         np.add.at(belief, target, messages)
         belief = np.exp(belief - belief.max(axis=1, keepdims=True))
         return belief / belief.sum(axis=1, keepdims=True)
 
-    def added(self, shapes, labels, chain, skip) -> list[tuple[int, int]]:
+    def added(self, shapes, labels, chain, skip, hub) -> list[tuple[int, int]]:
         """``(kind, node)`` of the labels that similar tokens bring."""
+        skip = np.concatenate([skip, hub])
         if not len(skip) or not (labels > 0).any():
             return []
         # Labels that reach a node over skip edges from base spans.
         reach = np.zeros((len(labels), len(KINDS) + 1), dtype=bool)
-        reach[np.flatnonzero(labels > 0), labels[labels > 0]] = True
-        a, b = skip[0::2], skip[1::2]
-        while True:
-            before = reach.sum()
-            # Edges come in the order of the text, so one sweep each way goes a long way.
-            for i, j in zip(a, b):
-                reach[j] |= reach[i]
-            for i, j in zip(a[::-1], b[::-1]):
-                reach[i] |= reach[j]
-            if reach.sum() == before:
-                break
+        partners = {}
+        for i, j in zip(skip[0::2].tolist(), skip[1::2].tolist()):
+            partners.setdefault(i, []).append(j)
+            partners.setdefault(j, []).append(i)
+        longest = 0
+        for k in range(1, len(KINDS) + 1):
+            edge, links = np.flatnonzero(labels == k).tolist(), 0
+            reach[edge, k] = True
+            while edge:
+                longest, links = max(longest, links), links + 1
+                further = []
+                for i in edge:
+                    for j in partners.get(i, ()):
+                        if not reach[j, k]:
+                            reach[j, k] = True
+                            further.append(j)
+                edge = further
         open_nodes = np.flatnonzero((labels == 0) & reach[:, 1:].any(axis=1))
         if not len(open_nodes):
             return []
-        posterior = self.infer(shapes, labels, chain, skip)
+        posterior = self.infer(shapes, labels, chain, skip, longest)
         return [(k - 1, int(i)) for i in open_nodes for k in range(1, len(KINDS) + 1)
                 if reach[i, k] and posterior[i, k] >= SURE]
 
@@ -285,7 +306,7 @@ def spans(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
                 own = list(zip(row["kinds"], row["span_starts"], row["span_ends"]))
                 extra = []
                 if row["skip"]:
-                    arrays = [np.array(row[c], dtype=np.int64) for c in ("shapes", "labels", "chain", "skip")]
+                    arrays = [np.array(row[c], dtype=np.int64) for c in ("shapes", "labels", "chain", "skip", "hub")]
                     extra = [(k, row["starts"][i], row["ends"][i]) for k, i in field.added(*arrays)]
                 for held, part in ((base, own), (every, sorted(own + extra))):
                     held.append([f"{KINDS[k]}:{a}:{b}" for k, a, b in part])

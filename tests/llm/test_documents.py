@@ -223,6 +223,33 @@ def test_similar_tokens_get_the_label(table):
     assert got[201]["all"] == [] and got[202]["all"] == []
 
 
+def test_labels_reach_every_occurrence_of_a_long_document(table):
+    rows = [(i, f"call +1 (2{i % 10}3) 555-7{i:03d} now") for i in range(100)]
+    again = " ".join(["or 555-7209 please"] * 60)
+    rows += [(200, f"call +1 (213) 555-7209 {again}"), (201, f"{again} call +1 (213) 555-7209")]
+    got = {r["doc_id"]: r for r in pii.spans(table(rows)).collect()}
+    for i in (200, 201):
+        assert len(got[i]["base"]) == 1 and len(got[i]["all"]) == 61
+
+
+def test_evidence_goes_along_chains_of_any_length():
+    """Links that no first occurrence shortens: each node shares a name with the one before only."""
+    n = 40
+    field = pii.Field([(2, 6 * k, 100000) for k in range(5)])
+    shapes, labels = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    labels[0] = 4
+    skip = np.array([x for i in range(n - 1) for x in (i, i + 1)])
+    none = np.zeros(0, dtype=np.int64)
+    assert field.added(shapes, labels, none, skip, none) == [(3, i) for i in range(1, n)]
+
+
+def test_long_tokens_have_partners_and_shapes():
+    local = "ab" * 120 + "1"
+    text = f"write {local}@example.com or {local} again"
+    assert pii.nodes(text, pii.base_spans(text))[5] == [0, 1]
+    assert pii._shape("a1" * 5 + "b") != pii._shape("a1" * 5 + "b-9")
+
+
 def test_counts_follow_separators_over_blocks(spark, table):
     rows = [(i, t) for i, t, _ in corpus(12, 60)] + [(None, "last one")]
     folder = scratch_path(spark, "flat")
