@@ -73,26 +73,26 @@ def _wide_doc(t):
 
 @query("landmark_svm")
 def _(t):
-    rows, k = landmarks.with_folds(_wide_doc(t), "doc_id", "quality", 2)
+    rows, k = landmarks.with_folds(_wide_doc(t), "doc_id", "quality", 3)
     return landmarks.summarise(landmarks.linear_svm(rows, ["n_chars", "source_len"], "quality", k))
 
 
 @query("landmark_gap")
 def _(t):
-    rows, k = landmarks.with_folds(_wide_doc(t), "doc_id", "quality", 2)
+    rows, k = landmarks.with_folds(_wide_doc(t), "doc_id", "quality", 3)
     f = ["n_chars", "source_len"]
     return landmarks.landmark_gap(landmarks.linear_svm(rows, f, "quality", k), landmarks.stump(rows, f, "quality", k))
 
 
 @query("benchmark_5")
 def _(t):
-    p = training.cross_validate(t.doc(), "doc_id", FEATURES, "quality", training.BENCHMARK_5, folds=2)
+    p = training.cross_validate(t.doc(), "doc_id", FEATURES, "quality", training.BENCHMARK_5)
     return training.benchmark(p)
 
 
 @query("benchmark_7")
 def _(t):
-    p = training.cross_validate(t.doc(), "doc_id", FEATURES, "quality", training.BENCHMARK_7, folds=2)
+    p = training.cross_validate(t.doc(), "doc_id", FEATURES, "quality", training.BENCHMARK_7)
     return training.benchmark(p, with_auc=True)
 
 
@@ -129,19 +129,19 @@ def _(t):
     model, cast = training.prepared(rows, FEATURES)
     vectors = model.transform(cast(rows)).select("label", "features")
     names = training.vector_names(model, ["n_chars"], ["lang", "source"])
-    places = training.recursive_elimination(vectors, len(names), step=4)
+    places = training.recursive_elimination(vectors, len(names))
     return t.spark.createDataFrame([(i + 1, names[p]) for i, p in enumerate(places)], "place int, feature string")
 
 
 @query("learning_curve")
 def _(t):
     return training.learning_curve(
-        t.doc(), "doc_id", FEATURES, "quality", LogisticRegression(maxIter=20), [0.3, 0.475, 0.65, 0.825, 1.0], folds=2)
+        t.doc(), "doc_id", FEATURES, "quality", LogisticRegression(maxIter=500), [0.3, 0.475, 0.65, 0.825, 1.0])
 
 
 @query("validation_curve")
 def _(t):
-    return training.validation_curve(t.doc(), "doc_id", FEATURES, "quality", folds=2, trees=10)
+    return training.validation_curve(t.doc(), "doc_id", FEATURES, "quality")
 
 
 def _fitted(t):
@@ -238,5 +238,5 @@ def _(t):
     from sondage.operators.seeding import seed
 
     df = t.doc().join(t.documents.select("doc_id", F.length("text").alias("text_length")), "doc_id")
-    kb = seed(df, "lang", "doc_id", ["n_chars", "text_length"], "quality", folds=2, algorithms=["LogisticRegression", "NaiveBayes", "DecisionTree"])
+    kb = seed(df, "lang", "doc_id", ["n_chars", "text_length"], "quality")
     return kb.results.join(kb.experiments.select("experiment_id", "dataset_name", "n_instances"), "experiment_id").drop("experiment_id")

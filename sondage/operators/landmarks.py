@@ -239,7 +239,7 @@ def knn_predictions(df, key, features, target, k, neighbours=1) -> DataFrame:
 # -- linear margin ---------------------------------------------------------------------------
 
 
-def linear_svm(df: DataFrame, features: Sequence[str], target: str, k: int, max_iter: int = 20) -> DataFrame:
+def linear_svm(df: DataFrame, features: Sequence[str], target: str, k: int, max_iter: int = 2000) -> DataFrame:
     """One-vs-rest linear SVM on every row with a target, filled with medians and scaled inside each fold."""
     if k < 2:
         return _unavailable(df, "fewer than two folds")

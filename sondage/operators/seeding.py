@@ -14,7 +14,7 @@ from sondage.sources.knowledge import KnowledgeBase
 
 def seed(
     df: DataFrame, dataset: str, key: str, features: Sequence[str], target: str, domain: str = "seeded",
-    algorithms: Sequence[str] = training.BENCHMARK_5, folds: int = 3, base: KnowledgeBase | None = None,
+    algorithms: Sequence[str] = training.BENCHMARK_5, folds: int = 5, base: KnowledgeBase | None = None,
 ) -> KnowledgeBase:
     """One experiment per value of ``dataset``: meta-features from one grouped pass over all
     of them, then a benchmark of distributed fits per dataset."""

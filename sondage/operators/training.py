@@ -48,6 +48,7 @@ from sondage.plans.ordering import hash_ranks
 POOL = 4
 SEED = 42
 UNBOUNDED_DEPTH = 30  # the deepest tree Spark allows
+ELIMINATION_ITERATIONS = 700
 
 
 # -- evaluation ------------------------------------------------------------------------------
@@ -77,21 +78,21 @@ def model_catalog(
     task: str, n_classes: int = 2, n_features: int | None = None, fast: bool = True, weight: str | None = None
 ) -> dict[str, object]:
     """Estimators by name.  Boosted trees stand in for external boosters; what Spark lacks is left out."""
-    trees, depth, rounds = (80, 4, 40) if fast else (200, 5, 100)
+    trees, depth = (80, 4) if fast else (200, 5)
     weighted = {"weightCol": weight} if weight else {}
     if task == "regression":
         return {
             "LinearRegression": LinearRegression(),
-            "RandomForest": RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=SEED),
-            "GradientBoosting": GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=0.05, seed=SEED),
+            "RandomForest": RandomForestRegressor(numTrees=trees, maxDepth=UNBOUNDED_DEPTH, seed=SEED),
+            "GradientBoosting": GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=0.05, seed=SEED),
             "DecisionTree": DecisionTreeRegressor(maxDepth=depth, seed=SEED),
             "GeneralizedLinear": GeneralizedLinearRegression(family="gaussian"),
         }
-    boosted = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.05, seed=SEED)
+    boosted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.05, seed=SEED)
     margin = LinearSVC(maxIter=50, regParam=0.01)
     catalog = {
-        "LogisticRegression": LogisticRegression(maxIter=100, **weighted),
-        "RandomForest": RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, **weighted),
+        "LogisticRegression": LogisticRegression(maxIter=500, **weighted),
+        "RandomForest": RandomForestClassifier(numTrees=trees, maxDepth=UNBOUNDED_DEPTH, seed=SEED, **weighted),
         "GradientBoosting": boosted if n_classes == 2 else OneVsRest(classifier=boosted),
         "LinearSVM": margin if n_classes == 2 else OneVsRest(classifier=margin),
         "DecisionTree": DecisionTreeClassifier(maxDepth=10, seed=SEED, **weighted),
@@ -104,6 +105,20 @@ def model_catalog(
     return catalog
 
 
+def benchmark_catalog(n_classes: int = 2) -> dict[str, object]:
+    """The estimators of the benchmarks, which have settings of their own."""
+    boosted = GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, seed=SEED)
+    margin = LinearSVC(maxIter=1000, regParam=0.01)
+    return {
+        "LogisticRegression": LogisticRegression(maxIter=1000),
+        "RandomForest": RandomForestClassifier(numTrees=100, maxDepth=UNBOUNDED_DEPTH, seed=SEED),
+        "GradientBoosting": boosted if n_classes == 2 else OneVsRest(classifier=boosted),
+        "LinearSVM": margin if n_classes == 2 else OneVsRest(classifier=margin),
+        "DecisionTree": DecisionTreeClassifier(maxDepth=10, seed=SEED),
+        "NaiveBayes": NaiveBayes(modelType="gaussian"),
+    }
+
+
 def _predictions(scored: DataFrame, n_classes: int | None, keep: Sequence[str]) -> DataFrame:
     """One shape for every classifier: keep..., y, y_hat, proba."""
     if "probability" in scored.columns:
@@ -178,13 +193,12 @@ def knn_fold(key: str, train: DataFrame, test: DataFrame, neighbours: int, n_cla
 
 
 def cross_validate(
-    df: DataFrame, key: str, features: Sequence[str], target: str, algorithms: Sequence[str], folds: int = 3, fast: bool = True
+    df: DataFrame, key: str, features: Sequence[str], target: str, algorithms: Sequence[str], folds: int = 5
 ) -> DataFrame:
     """Predictions (model, key, fold, y, y_hat, proba) of every algorithm, each (model, fold) fitted once."""
     tables, classes = fold_tables(df, key, features, target, folds)
     n_classes = len(classes)
-    width = tables[0][1].select(F.size(vector_to_array("features"))).first()[0] if tables else 0
-    catalog = model_catalog("classification", n_classes, width, fast)
+    catalog = benchmark_catalog(n_classes)
 
     def run(job):
         name, (g, train, test) = job
@@ -317,7 +331,7 @@ def batch_score(model: PipelineModel, rows: DataFrame, key: str) -> DataFrame:
 
 
 def learning_curve(
-    df: DataFrame, key: str, features: Sequence[str], target: str, estimator, sizes: Sequence[float], folds: int = 3
+    df: DataFrame, key: str, features: Sequence[str], target: str, estimator, sizes: Sequence[float], folds: int = 5
 ) -> DataFrame:
     """(share, train_score mean/std, validation_score mean/std); training sets are nested hash-ordered prefixes."""
     tables, classes = fold_tables(df, key, features, target, folds)
@@ -348,7 +362,7 @@ CURVE_DEPTHS = [3, 5, 8, 12, None]
 
 def validation_curve(
     df: DataFrame, key: str, features: Sequence[str], target: str, depths: Sequence[int | None] = CURVE_DEPTHS,
-    folds: int = 3, trees: int = 20,
+    folds: int = 5, trees: int = 80,
 ) -> DataFrame:
     """(max_depth, validation_score, validation_std) of a forest over given folds."""
     rows, _ = labelled(df, target)
@@ -456,7 +470,7 @@ def recursive_elimination(train: DataFrame, width: int, keep: int | None = None,
     places = list(range(width))
     while len(places) > keep:
         sliced = VectorSlicer(inputCol="features", outputCol="part", indices=places).transform(train)
-        model = LogisticRegression(featuresCol="part", maxIter=30).fit(sliced)
+        model = LogisticRegression(featuresCol="part", maxIter=ELIMINATION_ITERATIONS).fit(sliced)
         strength = (abs(model.coefficientMatrix.toArray())).sum(axis=0)
         order = sorted(range(len(places)), key=lambda i: (strength[i], -i))
         weak = {places[i] for i in order[:min(step, len(places) - keep)]}
@@ -473,7 +487,7 @@ def notebook_variants(df: DataFrame, key: str, features: Sequence[str], target:
     vectors = materialise(vectors, "vectors")
     train, test = vectors.where(~F.col("is_test")), vectors.where(F.col("is_test"))
     width = train.select(F.size(vector_to_array("features"))).first()[0]
-    logistic = LogisticRegression(maxIter=100, weightCol="weight")
+    logistic = LogisticRegression(maxIter=ELIMINATION_ITERATIONS, weightCol="weight")
 
     def accuracy(fitted, rows, name):
         scored = fitted.transform(rows).select((F.col("prediction") == F.col("label")).cast("double").alias("ok"))
@@ -483,13 +497,13 @@ def notebook_variants(df: DataFrame, key: str, features: Sequence[str], target:
     extra = prepare.smote(arrays, key, "v", "label").select(
         F.col("label").cast("double").alias("label"), array_to_vector("v").alias("features"))
     grown = materialise(train.select("label", "features").unionByName(extra), "oversampled")
-    places = recursive_elimination(train, width, step=max(1, width // 8))
+    places = recursive_elimination(train, width)
     slicer = VectorSlicer(inputCol="features", outputCol="part", indices=places)
-    compact = LogisticRegression(maxIter=100, weightCol="weight", featuresCol="part")
-    forest = RandomForestClassifier(numTrees=60, seed=SEED, weightCol="weight")
+    compact = LogisticRegression(maxIter=ELIMINATION_ITERATIONS, weightCol="weight", featuresCol="part")
+    forest = RandomForestClassifier(numTrees=120, maxDepth=UNBOUNDED_DEPTH, seed=SEED, weightCol="weight")
     jobs = [
         lambda: accuracy(logistic.fit(train), test, "LogisticRegression"),
-        lambda: accuracy(LogisticRegression(maxIter=100).fit(grown), test, "LogisticRegression+SMOTE"),
+        lambda: accuracy(LogisticRegression(maxIter=ELIMINATION_ITERATIONS).fit(grown), test, "LogisticRegression+SMOTE"),
         lambda: accuracy(compact.fit(slicer.transform(train)), slicer.transform(test), "LogisticRegression+RFE"),
         lambda: accuracy(forest.fit(train), test, "RandomForest"),
     ]

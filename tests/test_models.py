@@ -1,5 +1,8 @@
 """Trained operators: invariants on a small table with one strong, one weak and one useless feature."""
 
+import inspect
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,7 +10,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from sondage.operators import recommend, seeding, training
+from sondage.operators import landmarks, recommend, seeding, training
 from sondage.sources.knowledge import KnowledgeBase
 
 FEATURES = ["strong", "weak", "noise", "colour"]
@@ -116,3 +119,29 @@ def test_seeding_twice_changes_nothing_and_recommends(df, spark):
     ranking = out["ranking"].orderBy("rank").collect()
     assert [r["algorithm"] for r in ranking][0] in recommend.DEFAULT_ALGORITHMS
     assert out["similar"].count() == 2 and out["health"].first()["status"] in ("critical", "warning", "minor", "healthy")
+
+
+def test_defaults_are_the_references(spark):
+    catalog = training.benchmark_catalog()
+    assert set(catalog) | {"KNN"} == set(training.BENCHMARK_7)
+    forest, boosted = catalog["RandomForest"], catalog["GradientBoosting"]
+    assert (forest.getNumTrees(), forest.getMaxDepth()) == (100, training.UNBOUNDED_DEPTH)
+    assert (boosted.getMaxIter(), boosted.getMaxDepth(), boosted.getStepSize()) == (100, 3, 0.1)
+    assert catalog["LogisticRegression"].getMaxIter() == 1000
+    fast = training.model_catalog("classification")
+    assert (fast["RandomForest"].getNumTrees(), fast["RandomForest"].getMaxDepth()) == (80, training.UNBOUNDED_DEPTH)
+    assert fast["GradientBoosting"].getMaxIter() == 80 and fast["LogisticRegression"].getMaxIter() == 500
+    for call, wanted in ((training.cross_validate, {"folds": 5}), (training.learning_curve, {"folds": 5}), (seeding.seed, {"folds": 5}),
+                         (training.validation_curve, {"folds": 5, "trees": 80}), (training.recursive_elimination, {"step": 1}),
+                         (landmarks.linear_svm, {"max_iter": 2000})):
+        defaults = inspect.signature(call).parameters
+        assert {k: defaults[k].default for k in wanted} == wanted
+
+
+def test_registered_queries_keep_the_defaults():
+    import bindings.training as bound
+
+    source = inspect.getsource(bound)
+    for name in ("landmark_svm", "landmark_gap", "benchmark_5", "benchmark_7", "rfe", "learning_curve", "validation_curve", "kb_seed"):
+        text = source.split(f'@query("{name}")')[1].split("\n\n\n")[0]
+        assert not re.search(r"folds=|trees=|step=|algorithms=|\"quality\", 2\)", text), name
