@@ -73,6 +73,7 @@ def stump(df: DataFrame, features: Sequence[str], target: str, k: int) -> DataFr
     ``df`` carries ``fold``.  The table is collapsed to (feature, value) with one
     count per fold and class; running sums over that give every candidate cut of
     every fold in one scan.  Ties take the first feature, then the lowest cut.
+    Nulls count at the median of the training fold, for which a few numbers per feature, fold and class suffice.
     """
     if k < 2:
         return _unavailable(df, "fewer than two folds")
@@ -81,14 +82,27 @@ def stump(df: DataFrame, features: Sequence[str], target: str, k: int) -> DataFr
     long = df.where(F.col(target).isNotNull()).select("fold", F.col(target).alias("y"), F.inline(items)).where(
         F.col("value").isNotNull())
     names = {(g, c): f"c_{g}_{i}" for g in range(k) for i, c in enumerate(classes)}
-    cells = long.groupBy("feature", "value").agg(
-        *[F.count_if((F.col("fold") == g) & (F.col("y") == c)).alias(n) for (g, c), n in names.items()])
+    counted = [F.count_if((F.col("fold") == g) & (F.col("y") == c)).alias(n) for (g, c), n in names.items()]
+    cells = long.groupBy("feature", "value").agg(*counted)
+    gaps, middle = _gaps(df, features, target, k, counted)
+    if gaps:
+        # A median is a place to cut, too.
+        places = sorted({(f, m) for f, ms in middle.items() for m in ms})
+        empty = df.sparkSession.createDataFrame(places, "feature string, value double").select(
+            "*", *[F.lit(0).cast("long").alias(n) for n in names.values()])
+        cells = cells.unionByName(empty).groupBy("feature", "value").agg(*[F.sum(n).alias(n) for n in names.values()])
     sums = {f"u{n[1:]}": n for n in names.values()}
     steps = materialise(cumulative(cells, ["value"], ["feature"], sums), "stump")
     totals = steps.groupBy("feature").agg(*[F.sum(n).alias(f"t{n[1:]}") for n in names.values()])
     # One row per feature, that is per column of the table.
     full = steps.join(F.broadcast(totals), "feature")
 
+    if gaps:
+        lost = df.sparkSession.createDataFrame(
+            [(f, *[gaps.get(f, {}).get(n, 0) for n in names.values()], *middle.get(f, [0.0] * k)) for f in features],
+            ", ".join(["feature string", *[f"n{n[1:]} long" for n in names.values()], *[f"middle_{g} double" for g in range(k)]]))
+        full = full.join(F.broadcast(lost), "feature")
+
     def inside(g, c, prefix):
         return _add([F.col(f"{prefix}{names[h, c][1:]}") for h in range(k) if h != g]).cast("double")
 
@@ -100,6 +114,10 @@ def stump(df: DataFrame, features: Sequence[str], target: str, k: int) -> DataFr
     for g in range(k):
         left = [inside(g, c, "u") for c in classes]
         every = [inside(g, c, "t") for c in classes]
+        if gaps:
+            null = [inside(g, c, "n") for c in classes]
+            left = [u + F.when(F.col("value") >= F.col(f"middle_{g}"), x).otherwise(F.lit(0.0)) for u, x in zip(left, null)]
+            every = [t + x for t, x in zip(every, null)]
         right = [t - u for t, u in zip(every, left)]
         n_left, n_right = _add(left), _add(right)
         purity = F.try_divide(_add([x * x for x in left]), n_left) + F.try_divide(_add([x * x for x in right]), n_right)
@@ -121,11 +139,34 @@ def stump(df: DataFrame, features: Sequence[str], target: str, k: int) -> DataFr
             F.struct(F.lit(g).alias("fold"), F.lit(i).alias("y"), F.col(names[g, c]).alias("n"))
             for g in range(k) for i, c in enumerate(classes)])),
     ).where(F.col("n") > 0)
+    if gaps:
+        held = held.unionByName(lost.select("feature", F.inline(F.array(*[
+            F.struct(F.col(f"middle_{g}").alias("value"), F.lit(g).alias("fold"), F.lit(i).alias("y"), F.col(f"n{names[g, c][1:]}").alias("n"))
+            for g in range(k) for i, c in enumerate(classes)]))).where(F.col("n") > 0))
     cells_out = held.join(F.broadcast(cut), ["fold", "feature"]).select(
         "fold", "y", F.when(F.col("value") <= F.col("cut"), F.col("left")).otherwise(F.col("right")).alias("y_hat"), "n")
     return _fold_scores_from_cells(cells_out)
 
 
+def _gaps(df, features, target, k, counted):
+    """Of features with nulls: their counts by name in ``counted``, and the medians of the training folds (0 without any value)."""
+    rows = df.where(F.col(target).isNotNull()).select(
+        "fold", F.col(target).alias("y"), *[clean(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
+    items = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"x{i}").alias("value")) for i, f in enumerate(features)])
+    found = rows.select("fold", "y", F.inline(items)).where(F.col("value").isNull()).groupBy("feature").agg(*counted).collect()
+    gaps = {r["feature"]: r.asDict() for r in found}
+    names = {f: f"x{i}" for i, f in enumerate(features) if f in gaps}
+    middle = {f: [] for f in gaps}
+    if gaps:
+        rows = materialise(rows, "gaps")
+    for g in range(k if gaps else 0):
+        known = column_quantiles(rows.where(F.col("fold") != g), list(names.values()), [0.5])
+        for f, n in names.items():
+            value = known[n][0] if n in known else None
+            middle[f].append(float(value) if value is not None else 0.0)
+    return gaps, middle
+
+
 def _fold_scores_from_cells(cells: DataFrame) -> DataFrame:
     """Weighted F1 per fold from counted (fold, y, y_hat, n) rows."""
     match = F.when(F.col("y") == F.col("y_hat"), F.col("n")).otherwise(F.lit(0).cast("long"))

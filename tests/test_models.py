@@ -145,3 +145,25 @@ def test_registered_queries_keep_the_defaults():
     for name in ("landmark_svm", "landmark_gap", "benchmark_5", "benchmark_7", "rfe", "learning_curve", "validation_curve", "kb_seed"):
         text = source.split(f'@query("{name}")')[1].split("\n\n\n")[0]
         assert not re.search(r"folds=|trees=|step=|algorithms=|\"quality\", 2\)", text), name
+
+
+def test_stump_scores_rows_without_a_value_as_at_the_median(spark):
+    rng = np.random.default_rng(3)
+    n, k = 300, 3
+    x = np.where(rng.random(n) < 0.34, np.nan, rng.integers(0, 20, n).astype(float))
+    y = np.where(np.isnan(x), rng.random(n) < 0.5, x > 12).astype(int)
+    fold = np.arange(n) % k
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "x": x, "y": y, "fold": fold}))
+    got = {r["fold"]: r["f1"] for r in landmarks.stump(df, ["x"], "y", k).collect()}
+    for g in range(k):
+        train = fold != g
+        filled = np.where(np.isnan(x), np.nanmedian(x[train]), x)
+        best = None
+        for cut in np.unique(filled[train])[:-1]:
+            sides = [y[train & (filled <= cut)], y[train & (filled > cut)]]
+            purity = sum((np.bincount(s, minlength=2) ** 2).sum() / len(s) for s in sides)
+            if best is None or round(purity, 6) > best[0]:
+                best = round(purity, 6), cut, [int(np.bincount(s, minlength=2).argmax()) for s in sides]
+        hat, true = np.where(filled[~train] <= best[1], best[2][0], best[2][1]), y[~train]
+        f1 = sum(2 * ((hat == c) & (true == c)).sum() / max(((hat == c).sum() + (true == c).sum()), 1) * (true == c).sum() for c in (0, 1))
+        assert got[g] == pytest.approx(f1 / len(true))
