@@ -417,8 +417,13 @@ def classes(df: DataFrame, text: str = "text", key: str = "doc_id", width: int =
 
 
 def one_of_each(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df`` but for those linked to a document of smaller id, and repeated rows once."""
-    found = classes(df, text, key, width, percent)
-    stays = found.where("owner = smallest").select("owner", "body", "n_shingles").distinct()
-    rows = df.select(*_identity(text, key), F.struct("*").alias("row"))
-    return rows.join(stays, ["owner", "body"]).dropDuplicates(["owner", "body"]).select("row.*")
+    """Of linked rows the one of smallest id, then body; rows that link with nothing stay, but repeated ones of an id once."""
+    found = materialise(join(df, text, key, width, percent), "classes")
+    alone = F.col("component").isNull()
+    first = found.where(~alone).groupBy("component").agg(F.min(F.struct("owner", "body")).alias("first"))
+    stays = first.select("first.owner", "first.body", F.lit(False).alias("alone")).unionAll(
+        found.where(alone).select("owner", "body", F.lit(True)).distinct())
+    rows = df.select(*_identity(text, key), F.col(key).isNull().alias("nameless"), F.struct("*").alias("row"))
+    # Without an id no row repeats another.
+    single = F.when(F.col("alone") & F.col("nameless"), F.monotonically_increasing_id())
+    return rows.join(stays, ["owner", "body"]).withColumn("single", single).dropDuplicates(["owner", "body", "single"]).select("row.*")

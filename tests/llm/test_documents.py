@@ -108,6 +108,13 @@ def test_one_of_each_keeps_clean_rows_and_columns(table):
     assert sorted((str(r["doc_id"]), r["owner"]) for r in kept.collect()) == sorted((str(i), "o") for i in (1, 5, 6, None))
 
 
+def test_one_of_each_with_null_and_repeated_ids(table):
+    near = [" ".join(f"{p}{i}" for i in range(59)) + f" end{e}" for p in "vw" for e in "ab"]
+    rows = [(None, near[0]), (None, near[1]), (7, near[2]), (7, near[3]), (7, near[3]), (None, ""), (None, ""), (None, None), (8, ""), (8, "")]
+    kept = [(r["doc_id"], (r["text"] or "")[:1]) for r in jaccard.one_of_each(table(rows)).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(None, "v"), (7, "w"), (None, ""), (None, ""), (None, ""), (8, "")]))
+
+
 def brute_lines(rows):
     first = {}
     for i, text, *_ in rows:
