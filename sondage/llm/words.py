@@ -1,9 +1,13 @@
 """Words and lines of Arrow text columns as 64-bit hashes, computed with NumPy on the raw UTF-8 bytes.
 
-A span's hash is a difference of prefix sums of a polynomial over its bytes,
-so all spans of a block cost a few passes over it, whatever their number.
+A span is cut into pieces of eight bytes.  Each piece is mixed with its place in a
+way that is not linear, and the sum over the pieces, mixed once more with the length, is the
+hash; so no strings collide whatever the seed, as those of a polynomial modulo a power of two do.
+All spans of a block take a few passes over their pieces, whatever their number.
 Upper-case A-Z count as lower case.  Work goes by blocks of about a megabyte
-that end at white space, which bounds the memory whatever the length of a text.
+that end at white space (lines: at line breaks), which bounds the memory whatever the
+length of a text; only the bytes of one word or line longer than a block stay together,
+and its pieces are still taken ``PIECES`` at a time.
 """
 
 from __future__ import annotations
@@ -24,36 +28,42 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _odd(seed: int, count: int) -> np.ndarray:
-    return mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: By the number of bytes left of a span: the bits of a piece that belong to it.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+PIECES = 1 << 17
 
 
 class Hasher:
     """Hashes of byte spans; ``seed`` chooses one of many independent functions."""
 
     def __init__(self, seed: int = 1):
-        values = _odd(seed * 1000, 256)
-        upper = np.arange(65, 91)
-        values[upper] = values[upper + 32]
-        self.values = values
-        self.base = _odd(seed * 1000 + 7, 1)[0]
-        self.back = np.uint64(pow(int(self.base), -1, 1 << 64))
-        self.powers = self.inverse = np.ones(1, dtype=np.uint64)
-
-    def _reach(self, n: int) -> None:
-        if len(self.powers) <= n:
-            for name, base in (("powers", self.base), ("inverse", self.back)):
-                steps = np.full(n + 1, base, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
+        self.first, self.last = mix(np.array([2 * seed, 2 * seed + 1], dtype=np.uint64) * _STEP + np.uint64(seed))
 
     def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """One hash per span ``data[starts:ends]``; empty spans share one value."""
-        self._reach(max(len(data), BLOCK))
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(self.values[data] * self.powers[: len(data)], out=sums[1:])
-        raw = (sums[ends] - sums[starts]) * self.inverse[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        padded = np.zeros(len(data) + 8, dtype=np.uint8)
+        padded[: len(data)] = _LOWER[data]
+        at = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+        size = ends - starts
+        count = (size + 7) >> 3
+        until = np.cumsum(count)
+        sums = np.zeros(len(starts), dtype=np.uint64)
+        total = int(until[-1]) if len(until) else 0
+        for low in range(0, total, PIECES):
+            high = min(low + PIECES, total)
+            a, b = np.searchsorted(until, (low, high - 1), side="right")
+            here = np.arange(a, b + 1)
+            begin = np.maximum(until[here] - count[here], low)
+            owner = np.repeat(here, np.minimum(until[here], high) - begin)
+            place = np.arange(low, high) - (until[owner] - count[owner])
+            piece = at[starts[owner] + 8 * place] & _MASKS[np.minimum(size[owner] - 8 * place, 8)]
+            piece = mix((piece ^ self.first) + mix(place.astype(np.uint64) * _STEP + self.last))
+            some = begin < np.minimum(until[here], high)
+            sums[here[some]] += np.add.reduceat(piece, begin[some] - low)
+        return mix(sums + size.astype(np.uint64) * _STEP + self.last)
 
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -122,6 +132,35 @@ def word_hashes(column: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(hashes), np.searchsorted(place, offsets)
 
 
+def _line_blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, int]]:
+    """Blocks of about ``BLOCK`` bytes: first text, first byte, offsets of its texts, and the first text's lines before.
+
+    A block ends with a text or, inside a longer one, before a line break, so that the
+    break opens the next block.
+    """
+    texts, at = len(offsets) - 1, 0
+    while at < texts:
+        to = int(np.searchsorted(offsets, offsets[at] + BLOCK, side="right")) - 1
+        if to > at:
+            yield at, offsets[at], offsets[at : to + 1] - offsets[at], 0
+            at = to
+            continue
+        start, end, before = int(offsets[at]), int(offsets[at + 1]), 0
+        while start < end:
+            stop = start + BLOCK
+            while stop < end:
+                hit = np.flatnonzero(data[stop : min(end, stop + BLOCK)] == 10)
+                if len(hit):
+                    stop += int(hit[0])
+                    break
+                stop += BLOCK
+            stop = min(stop, end)
+            yield at, start, np.array([0, stop - start]), before
+            before += int(np.count_nonzero(data[start:stop] == 10))
+            start = stop
+        at += 1
+
+
 def line_keys(column: pa.Array, hashers: list[Hasher]) -> dict[str, np.ndarray]:
     """Every line of every text: ``text`` (index), ``line`` (index), ``chars`` of its key, one ``h<i>`` per hasher.
 
@@ -129,18 +168,15 @@ def line_keys(column: pa.Array, hashers: list[Hasher]) -> dict[str, np.ndarray]:
     """
     data, offsets = text_bytes(column)
     out: dict[str, list[np.ndarray]] = {k: [] for k in ("text", "line", "chars", *[f"h{i}" for i in range(len(hashers))])}
-    texts = len(offsets) - 1
-    at = 0
-    while at < texts:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, side="right")) - 1)
-        part, base = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+    for at, start, base, before in _line_blocks(data, offsets):
+        part, texts = data[start : start + base[-1]], len(base) - 1
         breaks = np.flatnonzero(part == 10)
         # A text with n line breaks has n + 1 lines, the empty text one.
         owner = np.searchsorted(base, breaks, side="right") - 1
-        counts = np.bincount(owner, minlength=to - at) + 1
-        text = np.repeat(np.arange(to - at), counts)
+        counts = np.bincount(owner, minlength=texts) + 1
+        text = np.repeat(np.arange(texts), counts)
         first = np.cumsum(counts) - counts
-        line = np.arange(len(text)) - first[text]
+        line = np.arange(len(text)) - first[text] + before
         starts, ends = np.empty(len(text), dtype=np.int64), np.empty(len(text), dtype=np.int64)
         starts[first], ends[first + counts - 1] = base[:-1], base[1:]
         starts[np.delete(np.arange(len(text)), first)] = breaks + 1
@@ -155,10 +191,11 @@ def line_keys(column: pa.Array, hashers: list[Hasher]) -> dict[str, np.ndarray]:
             ends = starts
         chars = np.zeros(len(part) + 1, dtype=np.int64)
         np.cumsum((part & 0xC0) != 0x80, out=chars[1:])
-        out["text"].append(text + at)
-        out["line"].append(line)
-        out["chars"].append(chars[ends] - chars[starts])
+        # A block that goes on with a text begins at the break that ended the line before.
+        new = slice(int(start > offsets[at]), None)
+        out["text"].append((text + at)[new])
+        out["line"].append(line[new])
+        out["chars"].append((chars[ends] - chars[starts])[new])
         for i, hasher in enumerate(hashers):
-            out[f"h{i}"].append(hasher.spans(part, starts, ends))
-        at = to
+            out[f"h{i}"].append(hasher.spans(part, starts[new], ends[new]))
     return {k: np.concatenate(v) if v else np.zeros(0, dtype=np.int64) for k, v in out.items()}

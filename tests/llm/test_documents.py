@@ -141,6 +141,24 @@ def test_line_dedup_null_id_comes_last(table):
     assert {r["doc_id"]: r["n_dropped"] for r in got.collect()} == {None: 1, 9: 0}
 
 
+def thue_morse(n, sep):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return sep.join(word), sep.join(word.translate(str.maketrans("ab", "ba")))
+
+
+def test_complements_of_thue_morse_stay_apart(table):
+    """Strings that every polynomial hash modulo a power of two takes for one."""
+    pair = thue_morse(1024, "")
+    assert {r["n_dropped"] for r in linededup.deduplicate(table(list(enumerate(pair)))).collect()} == {0}
+    texts = [f"one two three {a} four five six {b}" for a, b in (pair, pair[::-1], (pair[0], pair[0]))]
+    texts += [t for n in (64, 2048) for t in thue_morse(n, " ")]
+    rows = list(enumerate(texts))
+    got = {r["owner"]: (r["n_shingles"], r["smallest"]) for r in jaccard.classes(table(rows), width=4, percent=85).collect()}
+    assert got == brute_components(rows, 4, 85)
+
+
 def test_line_bitmaps_are_small(table):
     rows = [(0, "\n".join(f"line number {i} here" for i in range(3000))), (1, "\n".join(f"line number {i} here" for i in range(3000)))]
     found = linededup.keep_bitmaps(table(rows)).collect()

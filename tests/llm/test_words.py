@@ -2,7 +2,9 @@
 
 import re
 
+import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -55,3 +57,36 @@ def test_blocks_do_not_cut_words(monkeypatch):
     monkeypatch.setattr(words, "BLOCK", 7)
     parts, again = word_hashes(pa.array(texts, pa.string()), Hasher(3))
     assert whole.tolist() == parts.tolist() and offsets.tolist() == again.tolist()
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_no_structure_collides_whatever_the_seed():
+    for n in (16, 256, 1024, 4096):
+        for seed in range(20):
+            hashes, _ = word_hashes(pa.array(thue_morse(n), pa.string()), Hasher(seed))
+            assert hashes[0] != hashes[1]
+
+
+def test_spans_are_alike_wherever_they_stand(monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abc"), n)) for n in [*range(1, 40), 500]]
+    alone = [word_hashes(pa.array([t]), Hasher(2))[0][0] for t in texts]
+    assert len(set(alone)) == len(set(texts))
+    for pieces in (1, 3, 1 << 17):
+        monkeypatch.setattr(words, "PIECES", pieces)
+        assert word_hashes(pa.array(["?".join([" ".join(texts), "x"])]), Hasher(2))[0].tolist()[:-1] == alone[:-1]
+
+
+@pytest.mark.parametrize("block", [1, 5, 17])
+def test_blocks_do_not_cut_lines(monkeypatch, block):
+    texts = ["one\ntwo two two two two two two\n\n three ", "", None, "\n", "\n\n\n\n\n\n\n", "x" * 100 + "\n" + "y" * 40 + "\n", "z"]
+    whole = line_keys(pa.array(texts, pa.string()), [Hasher(3), Hasher(4)])
+    monkeypatch.setattr(words, "BLOCK", block)
+    parts = line_keys(pa.array(texts, pa.string()), [Hasher(3), Hasher(4)])
+    assert {k: v.tolist() for k, v in whole.items()} == {k: v.tolist() for k, v in parts.items()}
