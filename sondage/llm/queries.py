@@ -1,10 +1,10 @@
-"""The ten operators on the given tables."""
+"""The operators on the given tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sondage.llm import bpe, hamming, jaccard, linededup, mixing, permutations, pii, shards, tokencount, toxicity
+from sondage.llm import bpe, filteraudit, hamming, jaccard, linededup, mixing, permutations, pii, quality, repair, shards, tokencount, toxicity
 from sondage.llm.registry import query, table
 from sondage.plans.durable import materialise, scratch_path
 from sondage.plans.ordering import number_rows
@@ -193,3 +193,125 @@ def op9_training_order(spark, sf_dir):
     last = F.lit((1 << 63) - 1)
     return shards.read(spark, layout).select(
         "slot", "shard", F.nullif("owner", last).alias("doc_id"), F.col("place").alias("chunk"), "n_tokens")
+
+
+@query("op12_quality")
+def op12_quality(spark, sf_dir):
+    """Score of every document; labels of a third of the ids are held out."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out)
+    return quality.scores(documents, quality.fit(documents, labels)).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+_STRINGS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+
+@query("op13_filter_audit", f"""
+WITH RECURSIVE docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_STRINGS} AS words FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first FROM docs GROUP BY text),
+marks AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(words) < 100 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN d.doc_id > f.first THEN 16 ELSE 0 END AS mask
+  FROM docs d JOIN firsts f USING (text) LEFT JOIN marks m ON d.doc_id = m.doc_id),
+counts AS (
+  SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY part, mask),
+orders AS (
+  SELECT '' AS o, 'ABCDE' AS rest
+  UNION ALL
+  SELECT o || substr(rest, i, 1), substr(rest, 1, i - 1) || substr(rest, i + 1) FROM orders, range(1, 6) AS t(i) WHERE i <= length(rest)),
+steps AS (
+  SELECT o AS filter_order, i::INTEGER AS step, (1 << (ascii(substr(o, i::INTEGER, 1)) - 65)) AS bit,
+    coalesce(list_sum(list_transform(range(1, i), lambda j: 1 << (ascii(substr(o, j::INTEGER, 1)) - 65))), 0)::INTEGER AS before
+  FROM orders, range(1, 6) AS t(i) WHERE length(o) = 5),
+found AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (WHERE mask & (bit | before) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM found
+""")
+def op13_filter_audit(spark, sf_dir):
+    """What five filters remove in each of their 120 orders, by language."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    counts = filteraudit.mask_counts(documents, table(spark, sf_dir, "labels"))
+    return filteraudit.interactions(counts)
+
+
+@query("op11_conversation_repair", """
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+hashed AS (
+  SELECT *, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(string_split(name, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1))))) % 20 AS kind
+  FROM named),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, range(2) AS t(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged),
+seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, substr(role, 1, 1) AS initial,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before,
+    regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS body FROM placed),
+marked AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN again THEN 'duplicate'
+    WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM seen),
+faults AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM marked GROUP BY conv_id),
+fits(q, dest, role) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+kept(q, initial, dest) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+starts AS (
+  SELECT q, q AS at, 0 AS cost, '' AS audit, NULL::VARCHAR AS line FROM fits
+  UNION ALL SELECT q, dest, 5, 'I', role || ':' FROM fits),
+edits AS (
+  SELECT q, 'D' AS edit, NULL::VARCHAR AS initial, q AS dest, 2 AS cost, 'D' AS audit, NULL::VARCHAR AS line, NULL::VARCHAR AS new_role FROM fits
+  UNION ALL
+  SELECT s.q, 'K', k.initial, k.dest, s.cost, s.audit || 'K', s.line, NULL FROM starts s JOIN kept k ON k.q = s.at
+  UNION ALL
+  SELECT s.q, 'R', NULL, f.dest, s.cost + 1, s.audit || 'R', s.line, f.role FROM starts s JOIN fits f ON f.q = s.at),
+dp AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS pos, 0 AS state, 0 AS cost, '' AS audit, NULL::VARCHAR AS body FROM marked
+  UNION ALL
+  SELECT d.conv_id, m.pos, e.dest, d.cost + e.cost + CASE WHEN e.edit <> 'D' AND m.fault = 'truncated' THEN 5 ELSE 0 END,
+    d.audit || e.audit,
+    nullif(concat_ws(chr(10), d.body, e.line, CASE WHEN e.edit <> 'D' THEN coalesce(e.new_role, m.role) || ':' || m.text END), '')
+  FROM dp d JOIN marked m ON m.conv_id IS NOT DISTINCT FROM d.conv_id AND m.pos = d.pos + 1 JOIN edits e ON e.q = d.state
+    AND (e.edit = 'D' OR (m.fault NOT IN ('blank', 'duplicate') AND (e.edit = 'R' OR e.initial = m.initial)))
+  QUALIFY row_number() OVER (PARTITION BY d.conv_id, e.dest ORDER BY d.cost + e.cost + CASE WHEN e.edit <> 'D' AND m.fault = 'truncated' THEN 5 ELSE 0 END, d.audit || e.audit) = 1),
+ended AS (
+  SELECT d.conv_id, d.cost + CASE state WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END AS cost,
+    audit || CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS audit,
+    coalesce(concat_ws(chr(10), body, CASE state WHEN 1 THEN 'user:' || chr(10) || 'assistant:' WHEN 2 THEN 'assistant:' END), '') AS body
+  FROM dp d JOIN faults f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.n = d.pos),
+best AS (SELECT * FROM ended QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+""")
+def op11_conversation_repair(spark, sf_dir):
+    """Faults, cheapest audit and repair of every conversation, after damage by hash."""
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.audit(conversations, repair.damage(conversations))

@@ -37,15 +37,16 @@ PIECES = 1 << 17
 
 
 class Hasher:
-    """Hashes of byte spans; ``seed`` chooses one of many independent functions."""
+    """Hashes of byte spans; ``seed`` chooses one of many independent functions, ``fold`` takes A-Z as lower case."""
 
-    def __init__(self, seed: int = 1):
+    def __init__(self, seed: int = 1, fold: bool = True):
+        self.fold = fold
         self.first, self.last = mix(np.array([2 * seed, 2 * seed + 1], dtype=np.uint64) * _STEP + np.uint64(seed))
 
     def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """One hash per span ``data[starts:ends]``; empty spans share one value."""
         padded = np.zeros(len(data) + 8, dtype=np.uint8)
-        padded[: len(data)] = _LOWER[data]
+        padded[: len(data)] = _LOWER[data] if self.fold else data
         at = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
         size = ends - starts
         count = (size + 7) >> 3
@@ -113,23 +114,32 @@ def _cuts(space: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def word_hashes(column: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
-    """The words' hashes of all texts in order, and the ``len + 1`` offsets of each text's words."""
+def word_blocks(
+    column: pa.Array, hasher: Hasher, kinds: np.ndarray = ~_SPACE,
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The words of all texts in order, about ``BLOCK`` bytes at a time: their hashes and first bytes.
+
+    A word is a longest run of bytes of one kind; ``kinds`` gives the kind of each byte, 0 for white space alone.
+    """
     data, offsets = text_bytes(column)
     space = _SPACE[data]
     begins = np.zeros(len(data) + 1, dtype=bool)
     begins[offsets] = True
-    hashes, places = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
     for at, to in _cuts(space, offsets):
-        solid, edge = ~space[at:to], begins[at:to]
-        before = np.concatenate(([False], solid[:-1]))
-        starts = np.flatnonzero(solid & (~before | edge))
-        after = np.concatenate((~solid[1:] | edge[1:], [True]))
-        ends = np.flatnonzero(solid & after) + 1
-        hashes.append(hasher.spans(data[at:to], starts, ends))
-        places.append(starts + at)
-    place = np.concatenate(places)
-    return np.concatenate(hashes), np.searchsorted(place, offsets)
+        kind = kinds[data[at:to]]
+        other = begins[at : to + 1].copy()
+        other[1:-1] |= kind[1:] != kind[:-1]
+        other[0] = other[-1] = True
+        starts = np.flatnonzero(other[:-1] & (kind != 0))
+        ends = np.flatnonzero(other[1:] & (kind != 0)) + 1
+        yield hasher.spans(data[at:to], starts, ends), starts + at
+
+
+def word_hashes(column: pa.Array, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """The words' hashes of all texts in order, and the ``len + 1`` offsets of each text's words."""
+    found = list(word_blocks(column, hasher))
+    place = np.concatenate([np.zeros(0, dtype=np.int64), *[p for _, p in found]])
+    return np.concatenate([np.zeros(0, dtype=np.uint64), *[h for h, _ in found]]), np.searchsorted(place, text_bytes(column)[1])
 
 
 def _line_blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, int]]:
