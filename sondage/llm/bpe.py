@@ -13,8 +13,14 @@ Texts never leave their task.  A Python worker remembers the pieces it has
 encoded, in two generations of bounded size, which saves time but changes
 nothing.  The vocabulary (a fixed file) is broadcast.
 
+Decoding takes an array of ids, from wherever it comes, and looks the names of
+its tokens up in Arrow: such a vocabulary has no decoder of its own, so the tokens are joined by blanks.
+
 Defined results: null text counts as empty and has no tokens.  Special tokens
-in a text are recognised, as the tokenizer file says.
+in a text are recognised, as the tokenizer file says.  A word takes time in proportion to its
+length, and texts go by groups of ``GROUP`` characters, a longer one alone.  Repeated rows come back alike.
+Null ids decode as an empty array of them; an id outside the vocabulary is an error.  An
+input column called ``ids`` (``decoded``) is replaced.
 """
 
 from __future__ import annotations
@@ -22,19 +28,24 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sondage.llm.batches import small_batches
+from sondage.plans.durable import materialise
+
 #: Pieces a worker remembers per generation, and pairs of tokens whose neighbourhood it knows.
-MAX_PIECES = 150_000
+MAX_PIECES = 300_000
 MAX_PAIRS = 400_000
 #: Characters of text that are encoded together.
-GROUP = 500_000
+GROUP = 2_000_000
 _INF = float("inf")
 _END = "</w>"
 #: Characters whose normal form, case and class no version of Unicode changes between the libraries.
@@ -156,15 +167,15 @@ class Vocabulary:
             del last[shared + 1 :], size[shared + 1 :]
             for d in range(shared + 1, n + 1):
                 if d < n:
-                    path = word[:d]
-                    choice = sizes(path[-3:], small)
+                    stop, path = d, word
+                    choice = sizes(word[d - 3 if d > 3 else 0 : d], small)
                 else:
-                    path = word + _END
-                    choice = sizes(path[-7:], small)
+                    stop, path = d + len(_END), word + _END
+                    choice = sizes(path[d - 3 if d > 3 else 0 :], small)
                 for k in choice:
                     if k > d:
                         continue
-                    token = ids(path[d - k :])
+                    token = ids(path[d - k : stop])
                     if token is None:
                         continue
                     above = last[d - k]
@@ -190,15 +201,13 @@ class Vocabulary:
 
 
 class Encoder:
-    """Texts to ids and, with ``decoding``, back, with the pieces this worker has met."""
+    """Texts to ids, with the pieces this worker has met: each one's ids as four bytes an id."""
 
-    def __init__(self, vocabulary: Vocabulary, decoding: bool = True):
+    def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.decoding = decoding
-        # By piece: its ids and its tokens, joined by blanks; then the generation before.
-        self.ids: dict[str, str] = {}
-        self.tokens: dict[str, str] = {}
-        self.older: tuple[dict[str, str], dict[str, str]] = {}, {}
+        self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.special = {name: np.int32(i).tobytes() for name, i in vocabulary.special.items()}
         self.slow = None
 
     def _pieces(self, text: str) -> list[str]:
@@ -222,32 +231,19 @@ class Encoder:
         """Make sure that all the pieces are known."""
         fresh = pieces.difference(self.ids)
         if len(self.ids) + len(fresh) > MAX_PIECES:
-            self.older = self.ids, self.tokens
-            self.ids, self.tokens = {}, {}
-            fresh = set(pieces)
-        ids_before, tokens_before = self.older
-        fetched = fresh.intersection(ids_before)
-        for piece in fetched:
-            self.ids[piece] = ids_before[piece]
-            if self.decoding:
-                self.tokens[piece] = tokens_before[piece]
-        fresh.difference_update(fetched)
+            self.older, self.ids, fresh = self.ids, {}, set(pieces)
+        for piece in fresh.intersection(self.older):
+            self.ids[piece] = self.older[piece]
+        fresh.difference_update(self.ids)
         words = {piece: self._words(piece) for piece in fresh}
         forms = {word: word if word.isascii() and word.isprintable() else self.v.symbols(word) for found in words.values() for word in found}
         order = sorted(forms, key=forms.__getitem__)
-        names = self.v.names
-        ids_of, tokens_of = {}, {}
-        for word, ids in zip(order, self.v.walk([forms[w] for w in order])):
-            ids_of[word] = " ".join(map(str, ids))
-            if self.decoding:
-                tokens_of[word] = " ".join([names[i] for i in ids])
+        ids_of = {word: array("i", ids).tobytes() for word, ids in zip(order, self.v.walk([forms[w] for w in order]))}
         for piece, found in words.items():
-            self.ids[piece] = " ".join([ids_of[w] for w in found])
-            if self.decoding:
-                self.tokens[piece] = " ".join([tokens_of[w] for w in found])
+            self.ids[piece] = ids_of[found[0]] if len(found) == 1 else b"".join([ids_of[w] for w in found])
 
-    def encode(self, texts: list[str | None]) -> list[tuple[str, str]]:
-        """The ids of each text, joined by blanks, and likewise its tokens (without ``decoding``, empty)."""
+    def encode(self, texts: list[str | None]) -> pa.ListArray:
+        """The ids of each text."""
         cut = []
         for text in texts:
             at, parts = 0, []
@@ -256,26 +252,44 @@ class Encoder:
                 at = mark.end()
             cut.append([*parts, self._pieces((text or "")[at:])])
         self.learn(set().union(*[part for parts in cut for part in parts if isinstance(part, list)]))
-        out = []
+        known, out = self.ids.__getitem__, []
         for parts in cut:
-            ids, tokens = [], []
-            for part in parts:
-                if isinstance(part, str):
-                    ids.append(str(self.v.special[part]))
-                    if self.decoding:
-                        tokens.append(part)
-                else:
-                    ids += map(self.ids.__getitem__, part)
-                    if self.decoding:
-                        tokens += map(self.tokens.__getitem__, part)
-            out.append((" ".join(ids), " ".join(tokens)))
-        return out
-
-
-def decode(ids: Iterable[int], vocabulary: Vocabulary) -> str:
-    """The tokens of the ids, joined by blanks: such a vocabulary has no decoder of its own."""
-    names = vocabulary.names
-    return " ".join([names[i] for i in ids])
+            out.append(b"".join([self.special[part] if isinstance(part, str) else b"".join(map(known, part)) for part in parts]))
+        ends = np.zeros(len(out) + 1, dtype=np.int32)
+        np.cumsum([len(x) // 4 for x in out], out=ends[1:])
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), dtype=np.int32)))
+
+
+class Decoder:
+    """Arrays of ids to the texts of their tokens, or of their numbers, joined by blanks."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        top = max(vocabulary.names) + 1
+        self.names = pa.array([vocabulary.names.get(i) for i in range(top)], pa.large_string())
+        self.numbers = pa.array(list(map(str, range(top))), pa.large_string())
+
+    def _joined(self, ids: pa.Array, texts: pa.Array) -> Iterator[pa.Array]:
+        ids, at = ids.fill_null(pa.scalar([], ids.type)), 0
+        ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
+        while at < len(ids):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GROUP, side="right")))
+            part = ids.slice(at, to - at)
+            flat = part.flatten()
+            inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(texts)))
+            found = texts.take(pc.if_else(inside, flat, None))
+            if found.null_count:
+                raise ValueError("an id is not in the vocabulary")
+            offsets = np.concatenate(([0], ends[at:to] - (ends[at - 1] if at else 0)))
+            yield pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found), pa.scalar(" ", pa.large_string()))
+            at = to
+
+    def decode(self, ids: pa.Array) -> Iterator[pa.Array]:
+        """The tokens, some ``GROUP`` of them at a time."""
+        return self._joined(ids, self.names)
+
+    def spell(self, ids: pa.Array) -> Iterator[pa.Array]:
+        """The ids themselves in decimal."""
+        return self._joined(ids, self.numbers)
 
 
 def _groups(column: pa.Array) -> Iterator[list[str | None]]:
@@ -292,12 +306,12 @@ def _groups(column: pa.Array) -> Iterator[list[str | None]]:
         yield group
 
 
-def _encoder(vocabulary: Vocabulary, decoding: bool) -> Encoder:
-    """The encoder of this Python worker: the broadcast value lives as long as the worker."""
-    known = getattr(vocabulary, "encoder", None)
-    if known is None or known.decoding != decoding:
-        vocabulary.encoder = known = Encoder(vocabulary, decoding)
-    return known
+def _here(vocabulary: Vocabulary, kind: type):
+    """The encoder or decoder of this Python worker: the broadcast value lives as long as the worker."""
+    held = vocabulary.__dict__.setdefault("held", {})
+    if kind not in held:
+        held[kind] = kind(vocabulary)
+    return held[kind]
 
 
 def load(path: str) -> Vocabulary:
@@ -307,40 +321,79 @@ def load(path: str) -> Vocabulary:
 
 
 def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
-    """Add ``ids`` (array of int); ``ids`` must not be a column of the input."""
-    if "ids" in df.columns:
-        raise ValueError("column ids would be overwritten")
+    """Add ``ids`` (array of int)."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _encoder(shared.value, False)
+        encoder = _here(shared.value, Encoder)
         for column in batches:
             # Results go back group by group: only their total must match the input.
             for group in _groups(column):
-                rows = [np.fromstring(ids, dtype=np.int32, sep=" ") for ids, _ in encoder.encode(group)]
-                yield pa.array(rows, pa.list_(pa.int32()))
+                yield encoder.encode(group)
 
     return df.withColumn("ids", run(F.col(text)))
 
 
+def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFrame:
+    """Add ``decoded``: the text of the ids."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        decoder = _here(shared.value, Decoder)
+        for column in batches:
+            for part in decoder.decode(column):
+                yield part.cast(pa.string())
+
+    return df.withColumn("decoded", run(F.col(ids)))
+
+
+def encoded(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
+    """``df`` without its text, and ``n_tokens``, ``ids`` and ``decoded_sha256``: what the ids decode to, as a hash.
+
+    Columns of these names are replaced.  Written at once, so that few texts at a time go to Python.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    new = ("n_tokens", "ids", "decoded_sha256")
+    rest = df.select(*[F.col(f"`{c}`") for c in df.columns if c != text and c not in new], F.col(f"`{text}`").alias("body"))
+    head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest.schema.fields[:-1])
+
+    def run(batches):
+        encoder, decoder = _here(shared.value, Encoder), _here(shared.value, Decoder)
+        for batch in batches:
+            at = 0
+            for group in _groups(batch.column(batch.num_columns - 1)):
+                ids = encoder.encode(group)
+                hashes = [hashlib.sha256(x.as_buffer()).hexdigest() for part in decoder.decode(ids) for x in part]
+                yield pa.RecordBatch.from_arrays(
+                    [*[c.slice(at, len(group)) for c in batch.columns[:-1]], pc.list_value_length(ids).cast(pa.int64()), ids,
+                     pa.array(hashes, pa.string())], [*batch.schema.names[:-1], *new])
+                at += len(group)
+
+    with small_batches(df.sparkSession):
+        found = materialise(rest.mapInArrow(run, f"{head}n_tokens long, ids array<int>, decoded_sha256 string"), "encoded")
+    shared.destroy()
+    return found
+
+
 def digests(df: DataFrame, vocabulary: Vocabulary, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``(key, n_tokens, ids_sha256, decoded_sha256)`` per row: the encoding and its decoding, as hashes."""
+    """``(key, n_tokens, ids_sha256, decoded_sha256)`` per row: the encoding, and the decoding of its ids, as hashes."""
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        encoder = _encoder(shared.value, True)
+        encoder, decoder = _here(shared.value, Encoder), _here(shared.value, Decoder)
         for batch in batches:
-            counts, hashes = [], ([], [])
+            at = 0
             for group in _groups(batch.column(1)):
-                for pair in encoder.encode(group):
-                    counts.append(pair[0].count(" ") + 1 if pair[0] else 0)
-                    for held, joined in zip(hashes, pair):
-                        held.append(hashlib.sha256(joined.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes[0], pa.string()), pa.array(hashes[1], pa.string())],
-                ["k", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                ids = encoder.encode(group)
+                hashes = [[hashlib.sha256(x.as_buffer()).hexdigest() for part in parts for x in part]
+                          for parts in (decoder.spell(ids), decoder.decode(ids))]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(group)), pc.list_value_length(ids).cast(pa.int64()),
+                     pa.array(hashes[0], pa.string()), pa.array(hashes[1], pa.string())],
+                    ["k", "n_tokens", "ids_sha256", "decoded_sha256"])
+                at += len(group)
 
     kind = df.schema[key].dataType.simpleString()
     got = df.select(F.col(key).alias("k"), F.col(text).alias("body")).mapInArrow(

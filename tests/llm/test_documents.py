@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sondage.llm import bpe, jaccard, linededup, mixing, pii, shards, tokencount, toxicity
@@ -202,13 +204,45 @@ def test_bpe_is_the_librarys(table):
     assert all(encoded[i] == library.encode(t or "", add_special_tokens=False).ids for i, t in rows[:40])
 
 
+def test_bpe_decodes_any_ids(spark, monkeypatch):
+    """Ids that no text has as well, in parts smaller than a row; null ids and columns of the same names."""
+    monkeypatch.setattr(bpe, "GROUP", 7)
+    vocabulary = bpe.load(public_tokenizers.path("word_bpe_49k.json"))
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(8)
+    rows = [(i, [rng.randrange(49000) for _ in range(rng.choice([0, 1, 3, 20]))], "old") for i in range(60)] + [(60, None, "old"), (61, [5], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>, decoded string")
+    got = bpe.decode(df, vocabulary)
+    assert got.columns == df.columns
+    assert [r["decoded"] for r in got.orderBy("doc_id").collect()[:61]] == [
+        library.decode(ids or [], skip_special_tokens=False) for _, ids, _ in rows[:61]]
+    with pytest.raises(Exception, match="not in the vocabulary"):
+        bpe.decode(spark.createDataFrame([([1 << 20],)], "ids array<int>"), vocabulary).collect()
+    both = bpe.decode(bpe.encode(df.select("doc_id", F.lit("A word, twice: word.").alias("text"), "ids"), vocabulary), vocabulary)
+    assert both.first()["decoded"] == library.decode(library.encode("A word, twice: word.", add_special_tokens=False).ids, skip_special_tokens=False)
+
+
+def test_bpe_of_one_long_word_takes_linear_time():
+    """A million characters without a break."""
+    vocabulary = bpe.load(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(1)
+    word = "".join(rng.choice("abcdefgh") for _ in range(1_000_000))
+    times = []
+    for n in (250_000, 1_000_000):
+        start = time.process_time()
+        ids = next(vocabulary.walk([word[:n]]))
+        times.append(time.process_time() - start)
+    assert "".join(vocabulary.names[i] for i in ids) == word + "</w>"
+    assert times[1] < 8 * times[0] + 1
+
+
 def test_bpe_forgets_without_changing(monkeypatch):
     vocabulary = bpe.load(public_tokenizers.path("word_bpe_49k.json"))
     texts = [t for _, t, _ in corpus(6, 40)]
-    whole = bpe.Encoder(vocabulary).encode(texts)
+    whole = bpe.Encoder(vocabulary).encode(texts).to_pylist()
     monkeypatch.setattr(bpe, "MAX_PIECES", 20)
     small = bpe.Encoder(vocabulary)
-    assert [small.encode([t])[0] for t in texts] == whole
+    assert [small.encode([t])[0].as_py() for t in texts] == whole
 
 
 def brute_spans(text):
