@@ -20,30 +20,29 @@ TOXIC = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that score below ``TOXIC``.  Null and empty texts stay unless toxic labels prevail; columns stay as they are."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.without_toxic(docs, toxicity.fit(docs, labels), TOXIC)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = linededup.deduplicate(docs)
-    changed = F.col("n_dropped") > 0
-    return kept.select(*[
-        F.when(changed, F.col("kept")).otherwise(F.col("text")).alias("text") if c == "text"
-        else F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars"
-        else F.col(f"`{c}`") for c in docs.columns])
+    """Texts without the lines that a smaller id has; ``n_chars`` follows where a text changes.  Null texts stay null."""
+    return linededup.without_repeats(docs, length="n_chars")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones; documents without shingles all stay, repeated rows of an id once."""
     return jaccard.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows as often as the mix takes them; sources without words are not taken."""
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(docs.select("doc_id", "source", "text"), bpe.load(public_tokenizers.path(VOCABULARY)))
-    return encoded.select("doc_id", "source", F.size("ids").alias("n_tokens"), "ids")
+    """``(doc_id, source, n_tokens, ids, decoded_sha256)``: the ids of each text, and what they decode to, as a hash."""
+    return bpe.encoded(docs.select("doc_id", "source", "text"), bpe.load(public_tokenizers.path(VOCABULARY)))
 
 
 STAGES = [

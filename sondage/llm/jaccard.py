@@ -49,6 +49,8 @@ BLOCK_ROWS = 1024
 BITS = 256, 16384
 #: Distinct sets a task remembers, so that copies send their signatures once a task.
 REMEMBERED = 500_000
+#: Signatures that go back to Spark at once.
+SIGNATURE_ROWS = 500_000
 _LAST = (1 << 63) - 1
 _TAG = np.uint64(0x9E3779B97F4A7C15)
 
@@ -208,7 +210,7 @@ def _shared(df: DataFrame, text: str, width: int, percent: int) -> DataFrame:
     def make(batches):
         hasher, signatures, met = Hasher(3), Signatures(percent), set()
         for batch in batches:
-            held, owners, lengths = [], [], []
+            held, owners, lengths, waiting = [], [], [], 0
 
             def ready():
                 return pa.RecordBatch.from_arrays(
@@ -226,9 +228,10 @@ def _shared(df: DataFrame, text: str, width: int, percent: int) -> DataFrame:
                 held.append(found)
                 owners.append(name)
                 lengths.append(len(found))
-                if sum(lengths[-1:]) and len(held) >= 2000:
+                waiting += len(found)
+                if waiting >= SIGNATURE_ROWS:
                     yield ready()
-                    held, owners, lengths = [], [], []
+                    held, owners, lengths, waiting = [], [], [], 0
             if held:
                 yield ready()
 

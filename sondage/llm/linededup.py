@@ -1,6 +1,6 @@
 """Line deduplication that returns compressed keep bitmaps instead of text.
 
-The 128-bit hashes of all lines are range-partitioned together with the
+The two 64-bit hashes of all lines are range-partitioned together with the
 document, so that even a line found in a third of all documents is dealt over
 many tasks, and sorted by hash, document and position.  A stream over each
 partition keeps the first document of every hash and reports the others'
@@ -13,7 +13,8 @@ touched again only to apply it.
 Defined results: null text counts as empty, and an empty text has one empty
 line.  A null id counts as the largest; rows with the same id are one document,
 which never loses lines to itself.  Repeated rows each come back.  Other
-columns of the input, whatever their names, are kept as they are.
+columns of the input, whatever their names, are kept as they are.  A text longer than a
+block is hashed block by block, cut at line breaks.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BooleanType
 
+from sondage.llm.batches import small_batches
 from sondage.llm.words import Hasher, line_keys
 from sondage.plans.durable import materialise
 
@@ -102,7 +104,8 @@ def keep_bitmaps(df: DataFrame, text: str = "text", key: str = "doc_id", min_cha
     ``owner`` is the id (the largest long for null), ``body`` the hash of the
     text.  The bitmap has a 1 for each kept line; lines beyond its end are kept.
     """
-    found = materialise(lines(df, text, key, min_chars), "lines")
+    with small_batches(df.sparkSession):
+        found = materialise(lines(df, text, key, min_chars), "lines")
     ranged = found.repartitionByRange("h0", "h1", "owner").sortWithinPartitions("h0", "h1", "owner", "line")
     reported = materialise(ranged.mapInArrow(_report, _REPORT), "line-report")
     edges = reported.where("kind = 2").groupBy("h0", "h1").agg(F.min("owner").alias("first"))
@@ -124,38 +127,46 @@ def keep_bitmaps(df: DataFrame, text: str = "text", key: str = "doc_id", min_cha
     return grouped.select("owner", "body", F.size("dropped").cast("long").alias("n_dropped"), packed("dropped").alias("bitmap"))
 
 
-@F.pandas_udf(StringType())
-def kept_text(text: pd.Series, bitmap: pd.Series) -> pd.Series:
-    """The kept lines, joined again; null where there is no bitmap."""
+@F.arrow_udf(ArrayType(BooleanType()))
+def _flags(bitmap: pa.Array) -> pa.Array:
+    """The flags of a bitmap, one per line, true for a kept one."""
+    out = []
+    for packed in bitmap:
+        bits = np.frombuffer(zlib.decompress(packed.as_py()), dtype=np.uint8) if packed.is_valid else np.zeros(0, dtype=np.uint8)
+        out.append(np.unpackbits(bits).astype(bool) if packed.is_valid else None)
+    return pa.array(out, pa.list_(pa.bool_()))
 
-    def one(body, packed):
-        if packed is None:
-            return None
-        split = (body or "").split("\n")
-        keep = np.ones(len(split), dtype=np.uint8)
-        bits = np.unpackbits(np.frombuffer(zlib.decompress(packed), dtype=np.uint8))[: len(split)]
-        keep[: len(bits)] = bits
-        return "\n".join(line for line, k in zip(split, keep) if k)
 
-    return pd.Series([one(a, b) for a, b in zip(text, bitmap)], dtype=object)
+def _applied(df: DataFrame, text: str, key: str, min_chars: int) -> DataFrame:
+    """``(row, n_dropped, kept)``: the whole input row, and its text without the lost lines where it loses any.
+
+    Python sees the bitmaps alone; the texts stay in the JVM.
+    """
+    bitmaps = keep_bitmaps(df, text, key, min_chars).select("owner", "body", "n_dropped", _flags("bitmap").alias("flags"))
+    owner, body = _identity(text, key)
+    joined = df.select(F.struct("*").alias("row"), owner, body).join(bitmaps, ["owner", "body"], "left")
+    lines = F.split(F.col(f"row.`{text}`"), "\n")
+    kept = F.filter(lines, lambda _, i: F.coalesce(F.get("flags", i), F.lit(True)))
+    return joined.select("row", "n_dropped", F.when(F.col("n_dropped") > 0, F.array_join(kept, "\n")).alias("kept"))
 
 
 def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
     """The input with two more columns: ``kept`` (the text without its lost lines) and ``n_dropped``.
 
-    ``kept`` and ``n_dropped`` must not be names of the input's columns.
+    Columns of these names in the input are replaced.
     """
-    clash = {"kept", "n_dropped"} & set(df.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} would be overwritten")
-    bitmaps = keep_bitmaps(df, text, key, min_chars)
-    owner, body = _identity(text, key)
-    left = df.select(F.struct("*").alias("row"), owner, body)
-    joined = left.join(bitmaps, ["owner", "body"], "left")
-    had = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
-    lost = F.when(F.col("bitmap").isNotNull(), had)
-    return joined.select(
-        "row.*",
-        F.coalesce(kept_text(lost, F.col("bitmap")), had).alias("kept"),
-        F.coalesce(F.col("n_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    found = _applied(df, text, key, min_chars)
+    rest = [F.col(f"row.`{c}`") for c in df.columns if c not in ("kept", "n_dropped")]
+    return found.select(
+        *rest, F.coalesce("kept", F.col(f"row.`{text}`"), F.lit("")).alias("kept"),
+        F.coalesce(F.col("n_dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+
+
+def without_repeats(
+    df: DataFrame, text: str = "text", key: str = "doc_id", length: str | None = None, min_chars: int = MIN_CHARS,
+) -> DataFrame:
+    """The rows of ``df`` with their lost lines cut out of the text; where that is so, ``length``, a column, gets the new length."""
+    found, changed = _applied(df, text, key, min_chars), F.col("kept").isNotNull()
+    new = {text: F.col("kept")} | ({length: F.length("kept").cast(df.schema[length].dataType)} if length in df.columns else {})
+    return found.select(*[
+        F.when(changed, new[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`") for c in df.columns])

@@ -483,14 +483,6 @@ def without_toxic(df: DataFrame, model: Model, limit: float, text: str = "text",
     if model.tables is None:
         return df.where(F.lit(float(model.share)) < limit)
     body = F.coalesce(F.col(text), F.lit(""))
-    if model.tables.whole:
-        shared = df.sparkSession.sparkContext.broadcast(model)
-
-        @F.arrow_udf("double")
-        def score(body: pa.Array) -> pa.Array:
-            return pa.array(shared.value.score(_features(states(body, shared.value.tables)[0])))
-
-        return df.where(score(body) < limit)
     # The score hangs on the text alone.  Rows that cannot be rejected pass without a shuffle; the id keeps copies apart.
     mark = F.sha2(F.encode(F.concat_ws("\x00", F.coalesce(F.col(key).cast("string"), F.lit("null")), body), "UTF-8"), 256)
     with small_batches(df.sparkSession):
