@@ -330,6 +330,96 @@ def _(t):
         F.round(F.col("mean_variance") / 1000, 2).alias("mean_variance_k"), F.round("class_entropy", 6).alias("class_entropy"))
 
 
+def vector_sql(numeric, categorical, key="id", folds=3):
+    """CTEs from ``base (ds, id, columns..., y)`` to ``wide``: all features but the linear machine's, by dataset."""
+    features = [*numeric, *categorical]
+    long = " UNION ALL ".join(f"SELECT ds, y, '{f}' AS feature, {f}::DOUBLE AS value FROM base WHERE {f} IS NOT NULL" for f in numeric)
+    corr = " UNION ALL ".join(
+        f"SELECT ds, abs(corr({a}, {b})) AS c FROM base GROUP BY ds" for i, a in enumerate(numeric) for b in numeric[i + 1:])
+    filled = [f"coalesce({f}, median({f}) OVER (PARTITION BY ds), 0)::DOUBLE" for f in numeric] + [
+        f"(dense_rank() OVER (PARTITION BY ds ORDER BY coalesce({f}, 'missing')) - 1)::DOUBLE" for f in categorical]
+    x = ", ".join(f"{e} AS x{i}" for i, e in enumerate(filled))
+    z = ", ".join(f"(x{i} - avg(x{i}) OVER w) / CASE WHEN stddev_pop(x{i}) OVER w > 0 THEN stddev_pop(x{i}) OVER w ELSE 1 END" for i in range(len(features)))
+    return f"""sets AS (SELECT ds, count(*)::DOUBLE AS n, {' + '.join(f'count_if({c} IS NULL)' for c in (*features, 'y'))} AS gaps FROM base GROUP BY ds),
+ cls AS (SELECT ds, y, count(*)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY ds) AS t FROM base WHERE y IS NOT NULL GROUP BY ds, y),
+ bal AS (SELECT ds, count(*)::DOUBLE AS k, least(max(n) / min(n), 1000) AS r, -sum(n / t * log2(n / t)) AS e FROM cls GROUP BY ds),
+ long AS ({long}),
+ mom AS (SELECT ds, avg(s) AS s, avg(k) AS k, avg(v) AS v FROM (SELECT ds, skewness(value) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1.0)) AS s,
+   kurtosis_pop(value) AS k, var_pop(value) AS v FROM long GROUP BY ds, feature HAVING count(*) > 3) GROUP BY ds),
+ cor AS (SELECT ds, avg(c) AS c FROM ({corr}) WHERE NOT isnan(c) GROUP BY ds),
+ kept AS (SELECT * FROM long WHERE y IS NOT NULL),
+ qs AS (SELECT ds, feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM kept GROUP BY ALL HAVING count(*) >= 4),
+ outl AS (SELECT ds, count_if(value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) / count(*)::DOUBLE AS o FROM kept JOIN qs USING (ds, feature) GROUP BY ds),
+ ranked AS (SELECT ds, feature, y, rank() OVER (PARTITION BY ds, feature ORDER BY value) - 1 AS below, count(*) OVER (PARTITION BY ds, feature) AS n FROM kept),
+ cells AS (SELECT ds, feature, least(floor(below * 10 / n::DOUBLE), 9) AS x, y, count(*)::DOUBLE AS c FROM ranked GROUP BY ALL),
+ margins AS (SELECT *, sum(c) OVER (PARTITION BY ds, feature) AS n, sum(c) OVER (PARTITION BY ds, feature, x) AS cx, sum(c) OVER (PARTITION BY ds, feature, y) AS cy FROM cells),
+ mi AS (SELECT ds, avg(m) AS mean, max(m) AS high FROM (SELECT ds, feature, greatest(sum(c / n * ln(c * n / (cx * cy))), 0) AS m FROM margins GROUP BY ALL) GROUP BY ds),
+ xs AS (SELECT ds, {key} AS id, y, ({f"row_number() OVER (PARTITION BY ds, y ORDER BY md5('42-' || {key}), {key}) - 1) % {folds} AS fold"}, {x} FROM base WHERE y IS NOT NULL),
+ zs AS (SELECT ds, id, y, fold, [{z}] AS v FROM xs WINDOW w AS (PARTITION BY ds)),
+ zl AS (SELECT ds, id, y, fold, unnest(v) AS v, generate_subscripts(v, 1) AS j FROM zs), g AS (SELECT unnest(range({folds})) AS g),
+ nbp AS (SELECT ds, g, y AS c, j, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM zl, g WHERE fold <> g GROUP BY ALL),
+ eps AS (SELECT ds, g, max(s) * 1e-9 AS e FROM (SELECT ds, g, var_pop(v) AS s FROM zl, g WHERE fold <> g GROUP BY ds, g, j) GROUP BY ALL),
+ pri AS (SELECT ds, g, c, n / sum(n) OVER (PARTITION BY ds, g) AS p FROM nbp WHERE j = 1),
+ ll AS (SELECT l.ds, l.id, l.fold, any_value(l.y) AS y, p.c, any_value(ln(pri.p)) - sum(0.5 * ln(greatest(s + e, 1e-300)) + (v - m) * (v - m) / (2 * greatest(s + e, 1e-300))) AS q
+   FROM zl l JOIN nbp p ON p.ds = l.ds AND p.g = l.fold AND p.j = l.j JOIN eps ON eps.ds = l.ds AND eps.g = l.fold JOIN pri ON pri.ds = l.ds AND pri.g = l.fold AND pri.c = p.c
+   GROUP BY l.ds, l.id, l.fold, p.c),
+ counts AS (SELECT ds, g, j, v, y, count(*)::DOUBLE AS n FROM zl, g WHERE fold <> g GROUP BY ALL),
+ grid AS (SELECT a.ds, a.g, a.j, a.v, b.y FROM (SELECT DISTINCT ds, g, j, v FROM counts) a JOIN (SELECT DISTINCT ds, y FROM counts) b USING (ds)),
+ side AS (SELECT *, sum(coalesce(n, 0)) OVER (PARTITION BY ds, g, j, y ORDER BY v) AS l, sum(coalesce(n, 0)) OVER (PARTITION BY ds, g, j, y) AS t
+   FROM grid LEFT JOIN counts USING (ds, g, j, v, y)),
+ cut AS (SELECT ds, g, j, v, sum(l * l) / sum(l) + sum((t - l) * (t - l)) / sum(t - l) AS p, sum(t) AS n FROM side GROUP BY ALL HAVING sum(t - l) > 0),
+ best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY ds, g ORDER BY round(p / n, 6) DESC, j, v) = 1),
+ vote AS (SELECT ds, g, s.v <= b.v AS below, y, sum(n) AS n FROM counts s JOIN (SELECT ds, g, j, v FROM best) b USING (ds, g, j) GROUP BY ALL),
+ win AS (SELECT * FROM vote QUALIFY row_number() OVER (PARTITION BY ds, g, below ORDER BY n DESC, y) = 1),
+ nn AS (SELECT a.ds, a.id, a.fold, a.y, b.y AS o FROM zs a JOIN zs b ON a.ds = b.ds AND a.fold <> b.fold
+   QUALIFY row_number() OVER (PARTITION BY a.ds, a.id ORDER BY round(list_distance(a.v, b.v), 9), b.id) <= 3),
+ pr AS (SELECT 'nb' AS kind, ds, fold, y, c AS y_hat FROM ll QUALIFY row_number() OVER (PARTITION BY ds, id ORDER BY q DESC, c) = 1
+   UNION ALL SELECT 'dt', l.ds, l.fold, l.y, w.y FROM zl l JOIN best b ON b.ds = l.ds AND b.g = l.fold AND b.j = l.j
+     JOIN win w ON w.ds = l.ds AND w.g = l.fold AND w.below = (l.v <= b.v)
+   UNION ALL SELECT 'knn', ds, fold, y, o FROM (SELECT ds, id, fold, y, o, count(*) AS n FROM nn GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY ds, id ORDER BY n DESC, o) = 1),
+ per AS (SELECT kind, p.ds, fold, c.y AS c, count_if(p.y = c.y)::DOUBLE AS s, count_if(y_hat = c.y)::DOUBLE AS h, count_if(p.y = c.y AND y_hat = c.y)::DOUBLE AS tp FROM pr p JOIN cls c USING (ds) GROUP BY ALL),
+ f1s AS (SELECT kind, ds, avg(f) AS f FROM (SELECT kind, ds, fold, sum(s * CASE WHEN s + h > 0 THEN 2 * tp / (s + h) ELSE 0 END) / sum(s) AS f FROM per GROUP BY ALL) GROUP BY ALL),
+ wide AS (SELECT ds AS dataset_id, sets.n AS l1_n_instances, {len(features)}::DOUBLE AS l1_n_features, {len(numeric)}::DOUBLE AS l1_n_numerical,
+   {len(categorical)}::DOUBLE AS l1_n_categorical, least(gaps / (sets.n * {len(features)}) * 100, 100) AS l1_missing_pct, bal.k AS l1_n_classes, r AS l1_imbalance_ratio,
+   mom.s AS l2_mean_skewness, mom.k AS l2_mean_kurtosis, mom.v AS l2_mean_variance, c AS l2_mean_correlation, o AS l2_outlier_ratio,
+   mean AS l3_mean_mutual_info, high AS l3_max_mutual_info, mean * 2 AS l3_redundancy_score, bal.e AS l3_class_entropy,
+   dt.f AS l4_landmark_dt, nb.f AS l4_landmark_nb, knn.f AS l4_landmark_knn
+   FROM sets JOIN bal USING (ds) JOIN mom USING (ds) JOIN cor USING (ds) JOIN outl USING (ds) JOIN mi USING (ds)
+   JOIN (SELECT * FROM f1s WHERE kind = 'dt') dt USING (ds) JOIN (SELECT * FROM f1s WHERE kind = 'nb') nb USING (ds) JOIN (SELECT * FROM f1s WHERE kind = 'knn') knn USING (ds))
+SELECT dataset_id, feature_name, round(feature_value, 3) + 0 AS feature_value FROM (
+  UNPIVOT (SELECT * REPLACE (l2_mean_variance / 1e6 AS l2_mean_variance) FROM wide) ON COLUMNS(* EXCLUDE (dataset_id)) INTO NAME feature_name VALUE feature_value)"""
+
+
+def _vector_rows(wide):
+    """Long and rounded, without the linear machine's score, which SQL does not have."""
+    from sondage.operators.metafeatures import to_long
+
+    scaled = wide.withColumn("l2_mean_variance", F.col("l2_mean_variance") / 1e6).drop("l4_landmark_svm")
+    return to_long(scaled, ["dataset_id"]).select("dataset_id", "feature_name", (F.round("feature_value", 3) + 0.0).alias("feature_value"))
+
+
+@query("meta_features_full", f"""WITH {EVENT}, base AS (SELECT 'events' AS ds, event_id AS id, value, hour, k, event_type AS y FROM event),
+  {vector_sql(['value', 'hour', 'k'], [])}""")
+def _(t):
+    from sondage.operators.metafeatures import extract
+
+    return _vector_rows(extract(t.event(), "event_type", "event_id").withColumn("dataset_id", F.lit("events")))
+
+
+def _orders_by_segment(t):
+    return t.null().join(t.customer.select("c_custkey", "c_acctbal", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("c_mktsegment").alias("dataset_id"), "o_orderkey", "price", "c_acctbal", "priority", "o_orderstatus")
+
+
+@query("meta_features_many", f"""WITH base AS (SELECT c_mktsegment AS ds, o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS price, c_acctbal,
+    CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS priority, o_orderstatus AS y FROM orders JOIN customer ON o_custkey = c_custkey),
+  {vector_sql(['price', 'c_acctbal'], ['priority'])}""")
+def _(t):
+    from sondage.operators.metafeatures import extract_many
+
+    return _vector_rows(extract_many(_orders_by_segment(t), "dataset_id", "o_orderkey", ["price", "c_acctbal", "priority"], "o_orderstatus"))
+
+
 @query("group_count_2d", """SELECT l_linestatus, l_returnflag, count(*) AS n FROM lineitem
   GROUP BY CUBE (l_linestatus, l_returnflag)""")
 def _(t):

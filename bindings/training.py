@@ -233,6 +233,13 @@ def _(t):
     return recommend.recommend(t.null().drop("o_orderkey"), "o_orderstatus", t.kb_of_nations())["ranking"]
 
 
+@query("recommend_report")
+def _(t):
+    """The best algorithm with its reasons, from all four layers of features."""
+    found = recommend.recommend(t.null().drop("o_custkey"), "o_orderstatus", t.kb_of_nations(), key="o_orderkey")["report"]
+    return found.select("algorithm", "confidence", "explanation", F.to_json("issues").alias("issues"))
+
+
 @query("kb_seed")
 def _(t):
     from sondage.operators.seeding import seed

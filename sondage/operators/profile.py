@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sondage.functions.scalars import adjusted_kurtosis, adjusted_skewness, equal_width_bin, pearson, ratio
+from sondage.functions.scalars import adjusted_kurtosis, adjusted_skewness, equal_width_bin, ratio
 from sondage.functions.schema import categorical_columns, numeric_columns
+from sondage.plans.comoments import comoments
 from sondage.plans.ordering import dictionary, hash_order
 from sondage.plans.quantiles import as_double as clean
 from sondage.plans.quantiles import column_quantiles, exact_quantiles
@@ -174,33 +175,35 @@ def top_variance(df: DataFrame, features: Sequence[str], k: int = 10) -> DataFra
     return rows.orderBy(F.col("variance").desc(), "feature").limit(k)
 
 
-def correlations(df: DataFrame, features: Sequence[str], chunk: int = CHUNK) -> DataFrame:
+def _named_comoments(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``(a, b, corr, var)`` for a at or before b in ``features``; corr is null where undefined, ``var`` is that of a."""
+    found = comoments(df, {f: clean(f) for f in features})
+    names = F.array(*[F.lit(f) for f in features])
+    corr = F.try_divide("cov", F.sqrt(F.col("var_a")) * F.sqrt(F.col("var_b")))
+    return found.select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), corr.alias("corr"), F.col("var_a").alias("var"))
+
+
+def correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(a, b, corr) for a before b in ``features``; null where undefined.
 
-    One wide aggregate per chunk of pairs: a scan with map-side combine, no join.
+    One scan for all pairs, whatever their number (see ``plans.comoments``).
     """
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1:]]
-    if not pairs:
+    features = list(features)
+    if len(features) < 2:
         return df.select(F.lit("").alias("a"), F.lit("").alias("b"), F.lit(0.0).alias("corr")).limit(0)
-    frames = []
-    for start in range(0, len(pairs), chunk):
-        rows = [
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), pearson(clean(a), clean(b)).alias("corr"))
-            for a, b in pairs[start:start + chunk]
-        ]
-        frames.append(df.agg(F.array(*rows).alias("r")).select(F.inline("r")))
-    return union_all(frames)
+    return _named_comoments(df, features).where("a != b").select("a", "b", "corr")
 
 
 def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """All ordered pairs, undefined as 0 and the diagonal as 1 (0 for a constant)."""
-    pairs = correlations(df, features).withColumn("corr", F.coalesce("corr", F.lit(0.0)))
-    mirror = pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "corr")
-    own = column_aggregates(df, features, lambda f: {"v": F.var_pop(clean(f))}).select(
-        F.col("feature").alias("a"), F.col("feature").alias("b"),
-        F.when(F.col("v") > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("corr"),
-    )
-    return union_all([pairs, mirror, own])
+    features = list(features)
+    if not features:
+        return df.select(F.lit("").alias("a"), F.lit("").alias("b"), F.lit(0.0).alias("corr")).limit(0)
+    found = _named_comoments(df, features)
+    sides = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    own = F.col("a") == F.col("b")
+    value = F.when(own, (F.col("var") > 0).cast("double")).otherwise(F.col("corr"))
+    return found.select(F.inline(F.when(own, F.slice(sides, 1, 1)).otherwise(sides)), F.coalesce(value, F.lit(0.0)).alias("corr"))
 
 
 def mean_abs_correlation(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sondage.functions.scalars import confidence_label
 from sondage.operators import advise, metafeatures
 from sondage.operators.profile import union_all
+from sondage.operators.select import explanation
 from sondage.plans.neighbours import TIE_DIGITS, nearest, unit_vectors
 from sondage.sources.knowledge import KnowledgeBase
 
@@ -210,13 +212,14 @@ def leave_one_out(examples: DataFrame, k: int = 3) -> DataFrame:
 # -- the whole path --------------------------------------------------------------------------
 
 
-def recommend(df: DataFrame, target: str, kb: KnowledgeBase, k: int = 5) -> dict[str, DataFrame]:
+def recommend(df: DataFrame, target: str, kb: KnowledgeBase, k: int = 5, key: str | None = None) -> dict[str, DataFrame]:
     """Characterise a table and rank algorithms for it.
 
-    Returns ``meta`` (long features), ``similar`` experiments, the blended
-    ``ranking``, the quality ``issues`` and their ``health`` summary.
+    Returns ``meta`` (long features, with the landmarks if there is a ``key``), ``similar`` experiments, the blended
+    ``ranking`` with its confidence, the ``report`` (the best algorithm and why), the quality ``issues``
+    and their ``health`` summary.
     """
-    wide = metafeatures.extract(df, target).withColumn("dataset", F.lit("this"))
+    wide = metafeatures.extract(df, target, key).withColumn("dataset", F.lit("this"))
     facts = wide.first().asDict()
     vector = {n: float(v or 0.0) for n, v in facts.items() if n != "dataset"}
     row = df.sparkSession.createDataFrame([("this", *vector.values())], ["dataset", *vector])
@@ -225,16 +228,40 @@ def recommend(df: DataFrame, target: str, kb: KnowledgeBase, k: int = 5) -> dict
     predicted = meta_predict(model, row, "dataset")
     similar = similar_experiments(kb, vector, k)
     votes = similarity_vote(similar, kb.results).select(F.col("algorithm_name").alias("algorithm"), "avg_f1")
-    issues = advise.advise(df, target)
+    bare = df.drop(key) if key else df
+    issues = advise.advise(bare, target)
+    health = advise.health_summary(issues)
+    ranking = combine_rankings(predicted.drop("dataset"), votes).withColumn("confidence", confidence_label(F.col("combined_score")))
     return {
         "meta": metafeatures.to_long(row, ["dataset"]).drop("dataset"),
         "similar": similar,
-        "ranking": combine_rankings(predicted.drop("dataset"), votes),
+        "ranking": ranking,
+        "report": report(row, ranking, similar, issues),
         "issues": issues,
-        "health": advise.health_summary(issues),
+        "health": health,
     }
 
 
+def report(vector: DataFrame, ranking: DataFrame, similar: DataFrame, issues: DataFrame) -> DataFrame:
+    """One row: the best algorithm, its score and confidence, the reasons for it, and how many issues of each severity there are.
+
+    Landmarks that were not taken count as 0, as an unscored one does.
+    """
+    best = ranking.where("rank = 1").select("algorithm", "combined_score", "confidence")
+    found = issues.groupBy("severity").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("severity", "n")))).alias("issues"))
+
+    def feature(name):
+        return F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if name in vector.columns else F.lit(0.0)
+
+    reasons = explanation(feature("l1_n_instances"), feature("l1_imbalance_ratio"), feature("l4_landmark_dt"), feature("l4_landmark_nb"),
+                          similar.agg(F.count(F.lit(1))).scalar())
+    return vector.select(
+        best.select("algorithm").scalar().alias("algorithm"), best.select("combined_score").scalar().alias("combined_score"),
+        best.select("confidence").scalar().alias("confidence"), F.array_join(reasons, " | ").alias("explanation"),
+        found.select("issues").scalar().alias("issues"))
+
+
 # -- ranking quality -------------------------------------------------------------------------
 
 

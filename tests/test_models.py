@@ -115,6 +115,13 @@ def test_seeding_twice_changes_nothing_and_recommends(df, spark):
         kb.experiments, kb.features.join(kb.experiments.select("experiment_id", "dataset_hash"), "experiment_id"),
         kb.results.join(kb.experiments.select("experiment_id", "dataset_hash"), "experiment_id")))
     assert twice.experiments.count() == 2 and twice.features.count() == kb.features.count()
+    names = kb.feature_names()
+    assert len(names) == 20 and {f"l4_landmark_{n}" for n in ("dt", "nb", "knn", "svm")} < set(names)
+    found = recommend.recommend(df.select("id", "strong", "weak", "y"), "y", kb, key="id")
+    assert {r["feature_name"] for r in found["meta"].collect()} == set(names)
+    told = found["report"].first()
+    assert told["algorithm"] == found["ranking"].where("rank = 1").first()["algorithm"] and told["confidence"]
+    assert "Small dataset" in told["explanation"] and "2 similar" in told["explanation"]
     out = recommend.recommend(df.select("strong", "weak", "y"), "y", kb)
     ranking = out["ranking"].orderBy("rank").collect()
     assert [r["algorithm"] for r in ranking][0] in recommend.DEFAULT_ALGORITHMS

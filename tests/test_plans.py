@@ -9,7 +9,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sondage.plans import durable, neighbours, ordering, quantiles
+from sondage.operators import profile
+from sondage.plans import comoments, durable, neighbours, ordering, quantiles
 
 
 def skewed(spark, n=3000, seed=1):
@@ -162,3 +163,36 @@ def test_column_quantiles_close_in_exactly(spark, discrete, limits):
     for c in ("heavy", "ints", "constant", "holes") + (("wide", "infinite") if discrete else ()):
         want = np.quantile(frame[c].dropna(), probs, method=method)
         assert np.allclose(got[c], want, rtol=1e-12), c
+
+
+@pytest.mark.parametrize("tile", [2, 512])
+def test_comoments_equal_numpy_over_rows_that_have_both(spark, monkeypatch, tile):
+    monkeypatch.setattr(comoments, "TILE", tile)
+    rng = np.random.default_rng(4)
+    data = rng.normal(1e6, 3, (300, 5))
+    data[:, 1] += data[:, 0]
+    data[:, 3] = 0.1
+    data[rng.random((300, 5)) < 0.3] = np.nan
+    data[:, 4] = np.where(np.isnan(data[:, 0]), 5.0, np.nan)
+    rows = [[None if np.isnan(v) else float(v) for v in r] for r in data]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double").repartition(4)
+    got = {(r["i"], r["j"]): r for r in comoments.comoments(df, {c: F.col(c) for c in df.columns}).collect()}
+    assert set(got) == {(i, j) for i in range(5) for j in range(i, 5)}
+    for (i, j), r in got.items():
+        both = ~np.isnan(data[:, i]) & ~np.isnan(data[:, j])
+        assert r["n"] == both.sum()
+        if not both.any():
+            assert r["cov"] is None
+            continue
+        x, y = data[both, i], data[both, j]
+        assert r["var_a"] == pytest.approx(x.var() if i not in (3, 4) else 0.0, rel=1e-9)
+        assert r["cov"] == pytest.approx(((x - x.mean()) * (y - y.mean())).mean(), rel=1e-6, abs=1e-9)
+    assert comoments.comoments(df.limit(0), {"a": F.col("a"), "b": F.col("b")}).count() == 3
+
+
+def test_all_pairs_of_many_columns_take_one_scan(spark):
+    df = spark.range(100).select(*[(F.rand(i) * F.col("id")).alias(f"f{i}") for i in range(40)])
+    pairs = profile.correlations(df, df.columns)
+    text = pairs._jdf.queryExecution().executedPlan().toString()
+    assert text.count("MapInArrow") == 2 and "Join" not in text and text.count("Range") == 2
+    assert pairs.count() == 780
