@@ -8,7 +8,7 @@ from bindings.knowledge import _scaled
 from bindings.profiling import EVENT_FEATURES, rounded
 from bindings.registry import query
 from bindings.tables import DOC, EVENT, KB_FEATURES, PRED
-from sondage.operators import advise, landmarks, metafeatures, metrics, recommend, training
+from sondage.operators import advise, landmarks, metafeatures, metrics, recommend, training, treeshap
 from sondage.plans.durable import scratch_path
 
 FEATURES = ["n_chars", "lang", "source"]
@@ -161,6 +161,24 @@ def _(t):
     return rounded(training.linear_attribution(t.part, {"p_size": 2.5, "p_partkey": -0.01}), 5, "mean_abs")
 
 
+@query("attribution_global")
+def _(t):
+    """Mean Shapley value of each feature in the forest's probability of good quality."""
+    run = _fitted(t)
+    return treeshap.attribution_global(run.models["RandomForest"], run.test, "doc_id", run.names)
+
+
+@query("attribution_sums", f"WITH {DOC} SELECT count(*)::BIGINT AS n, 0::BIGINT AS differing FROM doc")
+def _(t):
+    """Rows whose Shapley values do not sum to the forest's prediction less its base, among all."""
+    run = _fitted(t)
+    model, rows = run.models["RandomForest"], run.train.unionByName(run.test)
+    parts = treeshap.tree_attribution(model, rows, "doc_id", run.names).groupBy("doc_id").agg((F.sum("value") + F.first("base")).alias("sum"))
+    scored = model.transform(rows).select("doc_id", vector_to_array("probability")[1].alias("p"))
+    return parts.join(scored, "doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("sum") - F.col("p")) > 1e-6).alias("differing"))
+
+
 @query("attribution_permutation")
 def _(t):
     run = _fitted(t)
