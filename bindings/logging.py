@@ -128,14 +128,15 @@ def _(t):
         "dataset_hash", "algorithm_name", "f1_score")
 
 
-@query("late_data", """SELECT count(*) - count_if(late) AS kept, count_if(late)::BIGINT AS late FROM (SELECT event_type = 'error' AND ts < (SELECT max(ts) FROM events
-  WHERE event_type IN ('click', 'view')) - INTERVAL 1 HOUR AS late FROM events)""")
-def _(t):
-    # Three batches: a row is late against the watermark two batches before it.
-    folder = scratch_path(t.spark, "three-files")
-    for part in ("IN ('click', 'view')", "IN ('purchase', 'signup')", "= 'error'"):
-        t.events.where(f"event_type {part}").coalesce(1).write.mode("append").parquet(folder)
-    rows = streams.file_stream(t.spark, folder, t.events.schema, per_batch=1)
+@query("late_data", """SELECT count(*) - count_if(late) AS kept, count_if(late)::BIGINT AS late FROM (SELECT coalesce(event_type NOT IN ('click', 'view', 'purchase', 'signup'), true)
+  AND ts < (SELECT max(ts) FROM events WHERE event_type IN ('click', 'view')) - INTERVAL 1 HOUR AS late FROM events)""")
+def _(t):
+    # Three batches of several files: a row is late against the watermark two batches before it.
+    folder, files = scratch_path(t.spark, "three-batches"), 4
+    kind = F.col("event_type")
+    for part in (kind.isin("click", "view"), kind.isin("purchase", "signup"), ~F.coalesce(kind.isin("click", "view", "purchase", "signup"), F.lit(False))):
+        t.events.where(part).repartition(files).write.mode("append").parquet(folder)
+    rows = streams.file_stream(t.spark, folder, t.events.schema, per_batch=files)
     return streams.late_rows(streams.event_time(rows, "ts", "1 hour"), ["event_id"])
 
 

@@ -86,8 +86,8 @@ def _training(cells: DataFrame, keys: Sequence[str], sums: Sequence[str], folds:
     return cells.select(others, *keys, *sums).groupBy("g", *keys).agg(*[F.sum(s).alias(s) for s in sums])
 
 
-def _f1(cells: DataFrame) -> DataFrame:
-    """``(set, f1)``: weighted F1 of each fold from counted ``(set, fold, y, y_hat, n)``, averaged."""
+def fold_f1(cells: DataFrame) -> DataFrame:
+    """``(set, fold, f1)``: weighted F1 from counted ``(set, fold, y, y_hat, n)``."""
     match = F.when(F.col("y") == F.col("y_hat"), F.col("n")).otherwise(F.lit(0).cast("long"))
     zero = F.lit(0).cast("long")
     sides = F.array(
@@ -96,8 +96,11 @@ def _f1(cells: DataFrame) -> DataFrame:
     per = cells.select("set", "fold", F.inline(sides)).groupBy("set", "fold", "c").agg(
         *[F.sum(s).alias(s) for s in ("support", "tp", "predicted")])
     f1 = F.lit(2.0) * F.col("tp") / (F.col("support") + F.col("predicted"))
-    return per.groupBy("set", "fold").agg((F.sum(f1 * F.col("support")) / F.sum("support")).alias("f1")).groupBy("set").agg(
-        F.avg("f1").alias("f1"))
+    return per.groupBy("set", "fold").agg((F.sum(f1 * F.col("support")) / F.sum("support")).alias("f1"))
+
+
+def _f1(cells: DataFrame) -> DataFrame:
+    return fold_f1(cells).groupBy("set").agg(F.avg("f1").alias("f1"))
 
 
 def _counted(predictions: DataFrame) -> DataFrame:
@@ -142,6 +145,15 @@ def stump(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
         rows.select("set", "fold", "y", F.posexplode("x").alias("j", "value")).groupBy("set", "j", "value", "fold", "y").agg(
             F.count(F.lit(1)).alias("n")), "cells")
     train = _training(cells, ["set", "j", "value", "y"], ["n"], folds)
+    return _f1(stump_cells(train, cells))
+
+
+def stump_cells(train: DataFrame, held: DataFrame, relative: bool = True) -> DataFrame:
+    """Counted ``(set, fold, y, y_hat, n)`` of the stumps fitted on ``train (g, set, j, value, y, n)`` for ``held (set, fold, j, value, y, n)``.
+
+    Every row has a value of every feature.  Purities that agree in ``PURITY_DIGITS`` places are ties; ``relative`` takes
+    them per row.
+    """
     totals = train.where("j = 0").groupBy("set", "g", "y").agg(F.sum("n").alias("every"))
     sides = running(train, ["value"], ["set", "j", "g", "y"], {"upto": "n"})
     # From L to L + n rows of a class on the left: its square grows by 2 L n + n^2, that of the right changes likewise.
@@ -153,16 +165,16 @@ def stump(rows: DataFrame, folds: int = FOLDS) -> DataFrame:
     n_left = F.col("n_left").cast("double")
     purity = F.col("on_left") / n_left + (F.col("squares") + F.col("off_right")) / (F.col("total") - n_left)
     cuts = priced.join(whole, ["set", "g"]).where(F.col("n_left") < F.col("total")).groupBy("set", "g").agg(
-        F.min_by(F.struct("j", "value"), F.struct(-F.round(purity / F.col("total"), PURITY_DIGITS), F.col("j"), F.col("value"))).alias("b"))
+        F.min_by(F.struct("j", "value"), F.struct(-F.round(purity / (F.col("total") if relative else F.lit(1)), PURITY_DIGITS), F.col("j"), F.col("value"))).alias("b"))
     # Features that never vary leave one side.
     cuts = materialise(totals.select("set", "g").distinct().join(cuts, ["set", "g"], "left").select(
         "set", "g", F.coalesce("b.j", F.lit(0)).alias("j"), F.coalesce("b.value", F.lit(float("inf"))).alias("cut")), "cuts")
     left = (F.col("value") <= F.col("cut")).alias("left")
     votes = train.join(cuts, ["set", "g", "j"]).groupBy("set", "g", left, "y").agg(F.sum("n").alias("n"))
     winner = votes.groupBy("set", "g", "left").agg(F.min_by("y", F.struct(-F.col("n"), F.col("y"))).alias("y_hat"))
-    held = cells.join(cuts.withColumnRenamed("g", "fold"), ["set", "fold", "j"]).select("set", "fold", left, "y", "n")
-    return _f1(held.join(winner.withColumnRenamed("g", "fold"), ["set", "fold", "left"]).groupBy("set", "fold", "y", "y_hat").agg(
-        F.sum("n").alias("n")))
+    asked = held.join(cuts.withColumnRenamed("g", "fold"), ["set", "fold", "j"]).select("set", "fold", left, "y", "n")
+    return asked.join(winner.withColumnRenamed("g", "fold"), ["set", "fold", "left"]).groupBy("set", "fold", "y", "y_hat").agg(
+        F.sum("n").alias("n"))
 
 
 def neighbours(rows: DataFrame, k: int = NEIGHBOURS) -> DataFrame:

@@ -10,30 +10,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondage.operators import metrics
+from sondage.operators.grouped import fold_f1, stump_cells
 from sondage.operators.prepare import kfold_assign, safe_folds
 from sondage.operators.profile import clean, column_aggregates, union_all
 from sondage.plans.durable import materialise
 from sondage.plans.neighbours import nearest
-from sondage.plans.ordering import cumulative
 from sondage.plans.quantiles import column_quantiles
 
-MAX_CLASSES = 200
-SCORE_DIGITS = 6
 TINY = 1e-300  # variance of a feature that never varies
 
 
-def _add(columns: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
-
-
 def with_folds(df: DataFrame, key: str, target: str, folds: int = 5, seed: int = 42) -> tuple[DataFrame, int]:
     """Rows with a stratified ``fold``, written once, and least(folds, rows, smallest class)."""
     k = safe_folds(df, target, folds)
@@ -41,11 +34,8 @@ def with_folds(df: DataFrame, key: str, target: str, folds: int = 5, seed: int =
 
 
 def class_list(df: DataFrame, target: str) -> list:
-    """The classes, whose number is checked because they become columns."""
-    found = [r[0] for r in df.select(target).where(F.col(target).isNotNull()).distinct().limit(MAX_CLASSES + 1).collect()]
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"{target} has more than {MAX_CLASSES} classes; it is not a class label")
-    return sorted(found)
+    """The classes in order: a fitted model has parameters for each, so they fit where it does."""
+    return sorted(r[0] for r in df.select(target).where(F.col(target).isNotNull()).distinct().collect())
 
 
 def _fold_scores(predictions: DataFrame) -> DataFrame:
@@ -70,114 +60,40 @@ def summarise(scores: DataFrame) -> DataFrame:
 def stump(df: DataFrame, features: Sequence[str], target: str, k: int) -> DataFrame:
     """Depth-1 tree per training fold by weighted Gini, cut at data values, scored on its fold.
 
-    ``df`` carries ``fold``.  The table is collapsed to (feature, value) with one
-    count per fold and class; running sums over that give every candidate cut of
-    every fold in one scan.  Ties take the first feature, then the lowest cut.
-    Nulls count at the median of the training fold, for which a few numbers per feature, fold and class suffice.
+    ``df`` carries ``fold``.  The table is collapsed to counts per (feature, value, fold, class);
+    classes are rows, so their number is free (see ``grouped.stump_cells``).  Ties take the first feature, then the lowest cut.
+    Nulls count at the median of the training fold.
     """
     if k < 2:
         return _unavailable(df, "fewer than two folds")
-    classes = class_list(df, target)
-    items = F.array(*[F.struct(F.lit(f).alias("feature"), clean(f).alias("value")) for f in features])
-    long = df.where(F.col(target).isNotNull()).select("fold", F.col(target).alias("y"), F.inline(items)).where(
-        F.col("value").isNotNull())
-    names = {(g, c): f"c_{g}_{i}" for g in range(k) for i, c in enumerate(classes)}
-    counted = [F.count_if((F.col("fold") == g) & (F.col("y") == c)).alias(n) for (g, c), n in names.items()]
-    cells = long.groupBy("feature", "value").agg(*counted)
-    gaps, middle = _gaps(df, features, target, k, counted)
-    if gaps:
-        # A median is a place to cut, too.
-        places = sorted({(f, m) for f, ms in middle.items() for m in ms})
-        empty = df.sparkSession.createDataFrame(places, "feature string, value double").select(
-            "*", *[F.lit(0).cast("long").alias(n) for n in names.values()])
-        cells = cells.unionByName(empty).groupBy("feature", "value").agg(*[F.sum(n).alias(n) for n in names.values()])
-    sums = {f"u{n[1:]}": n for n in names.values()}
-    steps = materialise(cumulative(cells, ["value"], ["feature"], sums), "stump")
-    totals = steps.groupBy("feature").agg(*[F.sum(n).alias(f"t{n[1:]}") for n in names.values()])
-    # One row per feature, that is per column of the table.
-    full = steps.join(F.broadcast(totals), "feature")
-
-    if gaps:
-        lost = df.sparkSession.createDataFrame(
-            [(f, *[gaps.get(f, {}).get(n, 0) for n in names.values()], *middle.get(f, [0.0] * k)) for f in features],
-            ", ".join(["feature string", *[f"n{n[1:]} long" for n in names.values()], *[f"middle_{g} double" for g in range(k)]]))
-        full = full.join(F.broadcast(lost), "feature")
-
-    def inside(g, c, prefix):
-        return _add([F.col(f"{prefix}{names[h, c][1:]}") for h in range(k) if h != g]).cast("double")
-
-    def majority(counts):
-        best = F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(-i).alias("i")) for i, n in enumerate(counts)]))
-        return -best["i"]
-
-    candidates = []
-    for g in range(k):
-        left = [inside(g, c, "u") for c in classes]
-        every = [inside(g, c, "t") for c in classes]
-        if gaps:
-            null = [inside(g, c, "n") for c in classes]
-            left = [u + F.when(F.col("value") >= F.col(f"middle_{g}"), x).otherwise(F.lit(0.0)) for u, x in zip(left, null)]
-            every = [t + x for t, x in zip(every, null)]
-        right = [t - u for t, u in zip(every, left)]
-        n_left, n_right = _add(left), _add(right)
-        purity = F.try_divide(_add([x * x for x in left]), n_left) + F.try_divide(_add([x * x for x in right]), n_right)
-        candidates.append(
-            F.struct(
-                F.lit(g).alias("fold"), F.round(purity, SCORE_DIGITS).alias("purity"),
-                majority(left).alias("left"), majority(right).alias("right"),
-            ))
-    scored = full.select("feature", "value", F.inline(F.array(*candidates))).where(F.col("purity").isNotNull())
-    cut = scored.groupBy("fold").agg(
-        F.min_by(
-            F.struct("feature", "value", "left", "right"), F.struct(-F.col("purity"), F.col("feature"), F.col("value"))
-        ).alias("b")
-    ).select("fold", F.col("b.feature").alias("feature"), F.col("b.value").alias("cut"), "b.left", "b.right")
-    # Held-out predictions also come from the collapsed counts; ``cut`` has one row per fold.
-    held = steps.select(
-        "feature", "value",
-        F.inline(F.array(*[
-            F.struct(F.lit(g).alias("fold"), F.lit(i).alias("y"), F.col(names[g, c]).alias("n"))
-            for g in range(k) for i, c in enumerate(classes)])),
-    ).where(F.col("n") > 0)
-    if gaps:
-        held = held.unionByName(lost.select("feature", F.inline(F.array(*[
-            F.struct(F.col(f"middle_{g}").alias("value"), F.lit(g).alias("fold"), F.lit(i).alias("y"), F.col(f"n{names[g, c][1:]}").alias("n"))
-            for g in range(k) for i, c in enumerate(classes)]))).where(F.col("n") > 0))
-    cells_out = held.join(F.broadcast(cut), ["fold", "feature"]).select(
-        "fold", "y", F.when(F.col("value") <= F.col("cut"), F.col("left")).otherwise(F.col("right")).alias("y_hat"), "n")
-    return _fold_scores_from_cells(cells_out)
-
-
-def _gaps(df, features, target, k, counted):
-    """Of features with nulls: their counts by name in ``counted``, and the medians of the training folds (0 without any value)."""
+    ordered = sorted(features)
     rows = df.where(F.col(target).isNotNull()).select(
-        "fold", F.col(target).alias("y"), *[clean(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
-    items = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"x{i}").alias("value")) for i, f in enumerate(features)])
-    found = rows.select("fold", "y", F.inline(items)).where(F.col("value").isNull()).groupBy("feature").agg(*counted).collect()
-    gaps = {r["feature"]: r.asDict() for r in found}
-    names = {f: f"x{i}" for i, f in enumerate(features) if f in gaps}
-    middle = {f: [] for f in gaps}
-    if gaps:
-        rows = materialise(rows, "gaps")
-    for g in range(k if gaps else 0):
-        known = column_quantiles(rows.where(F.col("fold") != g), list(names.values()), [0.5])
-        for f, n in names.items():
-            value = known[n][0] if n in known else None
-            middle[f].append(float(value) if value is not None else 0.0)
-    return gaps, middle
-
-
-def _fold_scores_from_cells(cells: DataFrame) -> DataFrame:
-    """Weighted F1 per fold from counted (fold, y, y_hat, n) rows."""
-    match = F.when(F.col("y") == F.col("y_hat"), F.col("n")).otherwise(F.lit(0).cast("long"))
-    zero = F.lit(0).cast("long")
-    sides = F.array(
-        F.struct(F.col("y").alias("c"), F.col("n").alias("support"), match.alias("tp"), zero.alias("predicted")),
-        F.struct(F.col("y_hat").alias("c"), zero.alias("support"), zero.alias("tp"), F.col("n").alias("predicted")))
-    per = cells.select("fold", F.inline(sides)).groupBy("fold", "c").agg(
-        F.sum("support").alias("support"), F.sum("tp").alias("tp"), F.sum("predicted").alias("predicted"))
-    f1 = F.try_divide(F.lit(2.0) * F.col("tp"), F.col("support") + F.col("predicted"))
-    return per.groupBy("fold").agg((F.sum(f1 * F.col("support")) / F.sum("support")).alias("f1"))
+        F.lit("").alias("set"), "fold", F.col(target).cast("string").alias("y"), *[clean(f).cast("double").alias(f"x{j}") for j, f in enumerate(ordered)])
+    x = F.array(*[F.col(f"x{j}") for j in range(len(ordered))])
+    cells = materialise(rows.select("set", "fold", "y", F.posexplode(x).alias("j", "value")).groupBy("set", "fold", "y", "j", "value").agg(
+        F.count(F.lit(1)).alias("n")), "stump")
+    known, lost = cells.where("value is not null"), cells.where("value is null")
+    middle = _medians(rows, [f"x{r[0]}" for r in lost.select("j").distinct().collect()], k)
+    others = F.explode(F.filter(F.array(*[F.lit(g) for g in range(k)]), lambda g: g != F.col("fold"))).alias("g")
+    train, held = known.select("set", "j", "value", "y", "n", others), known
+    if middle:
+        # One row per fold and column with gaps.
+        places = F.broadcast(df.sparkSession.createDataFrame(middle, "g int, j int, value double"))
+        lost = lost.drop("value")
+        train = train.unionByName(lost.select("set", "j", "y", "n", others).join(places, ["g", "j"]))
+        held = held.unionByName(lost.join(places.withColumnRenamed("g", "fold"), ["fold", "j"]))
+    train = train.groupBy("g", "set", "j", "value", "y").agg(F.sum("n").alias("n"))
+    held = held.groupBy("set", "fold", "j", "value", "y").agg(F.sum("n").alias("n"))
+    return fold_f1(stump_cells(materialise(train, "stump-train"), held, relative=False)).select("fold", "f1")
+
+
+def _medians(rows: DataFrame, names: Sequence[str], k: int) -> list[tuple[int, int, float]]:
+    """``(g, j, median)`` of the columns over the rows outside fold g; 0 without any value."""
+    out = []
+    for g in range(k if names else 0):
+        known = column_quantiles(rows.where(F.col("fold") != g), list(names), [0.5])
+        out += [(g, int(n[1:]), float(known[n][0]) if n in known and known[n][0] is not None else 0.0) for n in names]
+    return out
 
 
 # -- Gaussian naive Bayes --------------------------------------------------------------------

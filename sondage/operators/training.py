@@ -43,7 +43,7 @@ from sondage.operators import landmarks, metrics, prepare
 from sondage.operators.profile import union_all
 from sondage.plans.durable import materialise
 from sondage.plans.neighbours import nearest
-from sondage.plans.ordering import hash_ranks
+from sondage.plans.ordering import dictionary, hash_ranks
 
 POOL = 4
 SEED = 42
@@ -138,9 +138,12 @@ def _predictions(scored: DataFrame, n_classes: int | None, keep: Sequence[str])
 def labelled(df: DataFrame, target: str) -> tuple[DataFrame, list]:
     """Rows with a target, ``label`` its class number; also the classes in order."""
     rows = df.where(F.col(target).isNotNull())
-    classes = landmarks.class_list(rows, target)
-    names = F.array(*[F.lit(c) for c in classes])
-    return rows.withColumn("label", (F.array_position(names, F.col(target)) - 1).cast("double")), classes
+    numbers = materialise(dictionary(rows, target, "label"), "classes")
+    classes = landmarks.class_list(numbers, target)
+    # The number of classes goes with the column: without it learners refuse more than a hundred.
+    label = F.col("label").cast("double").alias("label", metadata={"ml_attr": {"type": "nominal", "num_vals": len(classes)}})
+    coded = rows.drop("label").join(numbers.select(F.col(target), label), target)
+    return coded.select(*[c for c in rows.columns if c != "label"], "label"), classes
 
 
 def prepared(train: DataFrame, features: Sequence[str]) -> tuple[PipelineModel, Callable[[DataFrame], DataFrame]]:

@@ -10,7 +10,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from sondage.operators import landmarks, recommend, seeding, training
+from sondage.operators import landmarks, metrics, recommend, seeding, training
 from sondage.sources.knowledge import KnowledgeBase
 
 FEATURES = ["strong", "weak", "noise", "colour"]
@@ -174,3 +174,18 @@ def test_stump_scores_rows_without_a_value_as_at_the_median(spark):
         hat, true = np.where(filled[~train] <= best[1], best[2][0], best[2][1]), y[~train]
         f1 = sum(2 * ((hat == c) & (true == c)).sum() / max(((hat == c).sum() + (true == c).sum()), 1) * (true == c).sum() for c in (0, 1))
         assert got[g] == pytest.approx(f1 / len(true))
+
+
+def test_three_hundred_classes_train(spark):
+    """More classes than any limit used to allow, in the landmarks and in training."""
+    rows = spark.range(1800).select(
+        F.col("id"), F.floor(F.col("id") / 6).cast("double").alias("x"), F.format_string("c%03d", F.floor(F.col("id") / 6)).alias("y"))
+    folded, k = landmarks.with_folds(rows, "id", "y", 3)
+    assert k == 3
+    stump = landmarks.summarise(landmarks.stump(folded, ["x"], "y", k)).first()
+    assert stump["folds"] == 3 and 0 < stump["f1"] < 0.02
+    assert landmarks.summarise(landmarks.gaussian_nb(folded, ["x"], "y", k)).first()["f1"] > 0.99
+    board = training.train_models(rows, "id", ["x"], "y", algorithms=["DecisionTree"]).board.first()
+    assert board["status"] == "ok"
+    full = metrics.confusion_matrix(rows.select("y", F.col("y").alias("y_hat")))
+    assert full.count() == 300 * 300

@@ -94,3 +94,35 @@ def test_history(spark):
     assert tuple(oplog.history_track(runs).first()) == (3, 0.7, "C")
     rows = {(r["dataset"], r["time"]): r["score_change"] for r in oplog.history_delta(runs.drop("model"), ["score"], ["dataset"]).collect()}
     assert rows["d", "2024-01-01"] is None and rows["d", "2024-01-02"] == pytest.approx(0.2) and rows["e", "2024-01-03"] is None
+
+
+def test_late_rows_of_more_batches_than_spark_remembers(spark, tmp_path):
+    """Fifteen batches while only three progress reports are kept; two of the batches hold late rows."""
+    before = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
+    try:
+        for batch in range(15):
+            early = batch in (4, 9)
+            rows = [(batch * 10 + i, f"2024-01-{1 if early else 2 + batch:02} 00:00:0{i}") for i in range(6)]
+            df = spark.createDataFrame(rows, "id long, at string").select("id", F.to_timestamp("at").alias("ts"))
+            # Two files a batch.
+            df.repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = streams.event_time(streams.file_stream(spark, str(tmp_path / "in"), df.schema, per_batch=2), "ts", "1 hour")
+        assert tuple(streams.late_rows(stream, ["id"], "late-test").first()) == (78, 12)
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", before)
+
+
+def test_p95_of_a_large_window_is_exact(spark, tmp_path):
+    """More than ten thousand different values in one window."""
+    n = 30_001
+    df = spark.range(n).select(
+        F.to_timestamp(F.lit("2024-01-01 10:00:00")).alias("ts"), F.lit("k").alias("key"), F.lit(True).alias("success"),
+        ((F.col("id") * 7919) % n).cast("double").alias("elapsed"))
+    end = df.limit(1).withColumn("ts", F.to_timestamp(F.lit("2024-02-01 00:00:00")))
+    df.write.mode("append").parquet(str(tmp_path / "in"))
+    end.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.event_time(streams.file_stream(spark, str(tmp_path / "in"), df.schema, per_batch=64), "ts", "1 hour")
+    out, _ = streams.drain(streams.tumbling_stats(stream, "key", "1 day"), "p95-test")
+    row = out.orderBy("start").first()
+    assert (row["calls"], row["p95_ms"]) == (n, float(-(-n * 95 // 100) - 1))
