@@ -129,7 +129,7 @@ def _(t):
     model, cast = training.prepared(rows, FEATURES)
     vectors = model.transform(cast(rows)).select("label", "features")
     names = training.vector_names(model, ["n_chars"], ["lang", "source"])
-    places = training.recursive_elimination(vectors, len(names))
+    places = training.recursive_elimination(vectors, len(names), training.kept_places(len(FEATURES)))
     return t.spark.createDataFrame([(i + 1, names[p]) for i, p in enumerate(places)], "place int, feature string")
 
 

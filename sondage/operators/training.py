@@ -23,7 +23,6 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
@@ -33,7 +32,6 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -343,20 +341,12 @@ def learning_curve(
         (g, train, test), share = job
         ranked = hash_ranks(train, key, SEED)
         part = ranked.where(F.col("rn") <= F.ceil(F.col("group_size") * F.lit(float(share)))).select(*train.columns)
-        model = estimator.copy().fit(part)
-        scored = [
-            _predictions(model.transform(rows), len(classes), []).select("y", "y_hat").withColumn("side", F.lit(side))
-            for rows, side in ((part, "train"), (test, "validation"))
-        ]
-        f1 = metrics.summary(union_all(scored), ["side"]).select("side", F.col("f1_weighted").alias("f1"))
+        f1 = _both_scores(estimator.copy().fit(part), part, test, len(classes))
         return materialise(f1.withColumn("fold", F.lit(g)).withColumn("share", F.lit(float(share))), "curve")
 
     with ThreadPool(POOL) as pool:
         parts = pool.map(run, [(t, s) for s in sizes for t in tables], chunksize=1)
-    on_train, on_test = F.col("side") == "train", F.col("side") == "validation"
-    return union_all(parts).groupBy("share").agg(
-        F.avg(F.when(on_train, F.col("f1"))).alias("train_score"), F.stddev_pop(F.when(on_train, F.col("f1"))).alias("train_std"),
-        F.avg(F.when(on_test, F.col("f1"))).alias("validation_score"), F.stddev_pop(F.when(on_test, F.col("f1"))).alias("validation_std"))
+    return _curve(union_all(parts), "share")
 
 
 # Depths of the validation curve, None meaning as deep as Spark allows.
@@ -367,24 +357,35 @@ def validation_curve(
     df: DataFrame, key: str, features: Sequence[str], target: str, depths: Sequence[int | None] = CURVE_DEPTHS,
     folds: int = 5, trees: int = 80,
 ) -> DataFrame:
-    """(max_depth, validation_score, validation_std) of a forest over given folds."""
-    rows, _ = labelled(df, target)
-    assigned, k = landmarks.with_folds(rows.select(key, "label", *features), key, "label", folds)
-    model, cast = prepared(assigned, features)
-    vectors = materialise(model.transform(cast(assigned)).select("fold", "label", "features"), "vectors")
-    forest = RandomForestClassifier(numTrees=trees, seed=SEED)
-    real = [d if d is not None else UNBOUNDED_DEPTH for d in depths]
-    validator = CrossValidator(
-        estimator=forest, estimatorParamMaps=ParamGridBuilder().addGrid(forest.maxDepth, real).build(),
-        evaluator=MulticlassClassificationEvaluator(metricName="f1"), numFolds=max(k, 2), parallelism=POOL, foldCol="fold")
-    fitted = validator.fit(vectors)
-    rows_out = [
-        ("unbounded" if d is None else str(d), float(m), float(s))
-        for d, m, s in zip(depths, fitted.avgMetrics, fitted.stdMetrics)]
-    return df.sparkSession.createDataFrame(rows_out, "max_depth string, validation_score double, validation_std double")
+    """(max_depth, train and validation score, each mean and deviation) of a forest; preprocessing is fitted inside each fold."""
+    tables, classes = fold_tables(df, key, features, target, folds)
+
+    def run(job):
+        (g, train, test), depth = job
+        forest = RandomForestClassifier(numTrees=trees, seed=SEED, maxDepth=UNBOUNDED_DEPTH if depth is None else depth)
+        f1 = _both_scores(forest.fit(train), train, test, len(classes))
+        name = F.lit("unbounded" if depth is None else str(depth)).alias("max_depth")
+        return materialise(f1.select("side", "f1", F.lit(g).alias("fold"), name), "curve")
+
+    with ThreadPool(POOL) as pool:
+        parts = pool.map(run, [(t, d) for d in depths for t in tables], chunksize=1)
+    return _curve(union_all(parts), "max_depth").orderBy(F.col("max_depth") == "unbounded", F.col("max_depth").try_cast("int"))
 
 
-# -- explanation -----------------------------------------------------------------------------
+def _both_scores(model, train: DataFrame, test: DataFrame, n_classes: int) -> DataFrame:
+    """(side, f1): weighted F1 on the rows a model was fitted on and on those held out."""
+    scored = [
+        _predictions(model.transform(rows), n_classes, []).select("y", "y_hat").withColumn("side", F.lit(side))
+        for rows, side in ((train, "train"), (test, "validation"))]
+    return metrics.summary(union_all(scored), ["side"]).select("side", F.col("f1_weighted").alias("f1"))
+
+
+def _curve(scores: DataFrame, by: str) -> DataFrame:
+    """Mean and deviation over the folds of (side, f1, by)."""
+    on_train, on_test = F.col("side") == "train", F.col("side") == "validation"
+    return scores.groupBy(by).agg(
+        F.avg(F.when(on_train, F.col("f1"))).alias("train_score"), F.stddev_pop(F.when(on_train, F.col("f1"))).alias("train_std"),
+        F.avg(F.when(on_test, F.col("f1"))).alias("validation_score"), F.stddev_pop(F.when(on_test, F.col("f1"))).alias("validation_std"))
 
 
 def feature_importance(model, names: Sequence[str], spark, top: int | None = 20) -> DataFrame:
@@ -467,9 +468,17 @@ def local_attribution(
 # -- selection and variants ------------------------------------------------------------------
 
 
+def kept_places(columns: int) -> int:
+    """How many places elimination leaves of a table of so many columns: half of them, two at least and ten at most."""
+    return min(10, max(2, columns // 2))
+
+
 def recursive_elimination(train: DataFrame, width: int, keep: int | None = None, step: int = 1) -> list[int]:
-    """Vector places left after dropping the weakest coefficient until ``keep`` remain."""
-    keep = keep or min(10, max(2, width // 2))
+    """Vector places left after dropping the weakest coefficient until ``keep`` remain.
+
+    ``width`` is that of the vector; ``keep`` follows from it unless given, as :func:`kept_places` of the raw columns.
+    """
+    keep = keep or kept_places(width)
     places = list(range(width))
     while len(places) > keep:
         sliced = VectorSlicer(inputCol="features", outputCol="part", indices=places).transform(train)
@@ -500,7 +509,7 @@ def notebook_variants(df: DataFrame, key: str, features: Sequence[str], target:
     extra = prepare.smote(arrays, key, "v", "label").select(
         F.col("label").cast("double").alias("label"), array_to_vector("v").alias("features"))
     grown = materialise(train.select("label", "features").unionByName(extra), "oversampled")
-    places = recursive_elimination(train, width)
+    places = recursive_elimination(train, width, kept_places(len(features)))
     slicer = VectorSlicer(inputCol="features", outputCol="part", indices=places)
     compact = LogisticRegression(maxIter=ELIMINATION_ITERATIONS, weightCol="weight", featuresCol="part")
     forest = RandomForestClassifier(numTrees=120, maxDepth=UNBOUNDED_DEPTH, seed=SEED, weightCol="weight")

@@ -97,6 +97,7 @@ def test_curves(df):
     assert sorted(r["share"] for r in curve) == [0.3, 1.0] and all(0.8 < r["validation_score"] <= 1 for r in curve)
     depth = training.validation_curve(df, "id", ["strong", "noise"], "y", [2, None], folds=2, trees=3).collect()
     assert [r["max_depth"] for r in depth] == ["2", "unbounded"]
+    assert all(0 <= r["validation_score"] <= 1 for r in depth) and min(r["train_score"] for r in depth) > 0.9
 
 
 def test_regression_path(df):
@@ -189,3 +190,20 @@ def test_three_hundred_classes_train(spark):
     assert board["status"] == "ok"
     full = metrics.confusion_matrix(rows.select("y", F.col("y").alias("y_hat")))
     assert full.count() == 300 * 300
+
+
+def test_validation_curve_prepares_inside_the_folds(df, monkeypatch):
+    """Preprocessing is fitted once per fold, on the rows of the other folds alone."""
+    seen, fit = [], training.prepared
+
+    def spy(train, features):
+        seen.append((train.count(), train.where("fold = 0").count(), train.where("fold = 1").count()))
+        return fit(train, features)
+
+    monkeypatch.setattr(training, "prepared", spy)
+    training.validation_curve(df, "id", ["strong", "noise"], "y", [2], folds=2, trees=2)
+    assert len(seen) == 2 and all(n == max(a, b) and min(a, b) == 0 for n, a, b in seen)
+
+
+def test_elimination_keeps_half_of_the_raw_columns():
+    assert [training.kept_places(n) for n in (1, 3, 8, 50)] == [2, 2, 4, 10]
