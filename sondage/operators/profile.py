@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from sondage.functions.scalars import adjusted_kurtosis, adjusted_skewness, equal_width_bin, ratio
 from sondage.functions.schema import categorical_columns, numeric_columns
 from sondage.plans.comoments import comoments
+from sondage.plans.durable import materialise
 from sondage.plans.ordering import dictionary, hash_order
 from sondage.plans.quantiles import as_double as clean
 from sondage.plans.quantiles import column_quantiles, exact_quantiles
@@ -122,22 +123,37 @@ def role_counts(df: DataFrame) -> DataFrame:
     return rows.groupBy("role", "dtype").agg(F.count(F.lit(1)).alias("columns"), F.sum("n_rows").alias("cells"))
 
 
+def row_hash(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a row; equal rows have equal ones."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return [F.xxhash64(F.lit(seed), *columns) for seed in (1, 2)]
+
+
+def repeated_rows(df: DataFrame) -> DataFrame:
+    """The distinct rows that occur more than once, with ``_n``, their number.
+
+    Hashes are counted first, so that what is shuffled for a row does not depend on its width.
+    Rows with a hash of their own are settled by that; the others are compared whole, and copies collapse before that shuffle.
+    """
+    h1, h2 = row_hash(df)
+    counted = df.select(h1.alias("_h1"), h2.alias("_h2")).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_rows"))
+    shared = materialise(counted.where("_rows > 1").select("_h1", "_h2"), "repeated")
+    some = df.select("*", h1.alias("_h1"), h2.alias("_h2")).join(shared, ["_h1", "_h2"], "left_semi").drop("_h1", "_h2")
+    return some.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows minus distinct rows; copies collapse before the shuffle."""
-    groups = df.groupBy(*df.columns).agg((F.count(F.lit(1)) - 1).alias("extra"))
-    return groups.agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("duplicate_rows"))
+    """Rows minus distinct rows."""
+    return repeated_rows(df).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
     gaps = reduce(lambda a, b: a + b, [a.cast("long") for a in absent(df).values()])
-    return rows.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
-        F.coalesce(F.sum(gaps * F.col("_n")), F.lit(0)).alias("missing_total"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"),
+    return df.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(gaps), F.lit(0)).alias("missing_total"),
     ).select(
         "n_rows", F.lit(len(df.columns)).alias("n_columns"), "missing_total",
-        F.lit(len(numeric_columns(df))).alias("numeric_columns"), "duplicate_rows",
+        F.lit(len(numeric_columns(df))).alias("numeric_columns"), duplicate_rows(df).scalar().alias("duplicate_rows"),
     )
 
 

@@ -11,6 +11,7 @@ import sys
 import threading
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -60,12 +61,33 @@ def folder_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+#: Sessions that overlap are merged in the tasks that read them, before the shuffle, so a hot key does not go raw to one task.
+MERGE_EARLY = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the queries started inside; a query keeps those it was started with."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def drain(stream: DataFrame, label: str, mode: str = "append") -> tuple[DataFrame, StreamingQuery]:
     """Run over everything available, then stop.  Returns the written table and the query."""
     spark = stream.sparkSession
     path = scratch_path(spark, label)
-    query = start(stream, folder_sink(path), scratch_path(spark, f"{label}-state"), mode)
-    query.awaitTermination()
+    with settings(spark, MERGE_EARLY):
+        query = start(stream, folder_sink(path), scratch_path(spark, f"{label}-state"), mode)
+        query.awaitTermination()
     return spark.read.schema(stream.schema).option("basePath", path).parquet(f"{path}/batch=*").drop("batch"), query
 
 

@@ -196,3 +196,26 @@ def test_all_pairs_of_many_columns_take_one_scan(spark):
     text = pairs._jdf.queryExecution().executedPlan().toString()
     assert text.count("MapInArrow") == 2 and "Join" not in text and text.count("Range") == 2
     assert pairs.count() == 780
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_repeated_rows_by_hash_and_then_whole(spark, monkeypatch, collide):
+    """With ``collide``, many different rows share both hashes."""
+    if collide:
+        monkeypatch.setattr(profile, "row_hash", lambda df: [F.pmod(F.xxhash64(*df.columns), F.lit(3)), F.lit(1)])
+    rows = [(i % 50, None if i % 3 else f"t{i % 20}", float(i % 4) if i % 5 else float("nan")) for i in range(400)] + [(1000 + i, "u", 0.0) for i in range(9)]
+    rows += [(2000, "z", 0.0), (2000, "z", -0.0)]
+    df = spark.createDataFrame(rows, "a int, `b c` string, d double")
+    assert profile.duplicate_rows(df).first()[0] == df.count() - df.distinct().count()
+    got = profile.fingerprint(df).first()
+    assert (got["n_rows"], got["duplicate_rows"]) == (df.count(), df.count() - df.distinct().count())
+    assert profile.duplicate_rows(df.limit(0)).first()[0] == 0
+
+
+def test_duplicates_shuffle_hashes_not_rows(spark, tmp_path):
+    """Rows of a thousand characters, none repeated: the shuffle holds some bytes a row."""
+    df = spark.range(20000).select("id", F.repeat(F.col("id").cast("string"), 200).alias("wide"))
+    df.write.parquet(str(tmp_path / "wide"))
+    plan = profile.repeated_rows(spark.read.parquet(str(tmp_path / "wide")))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and plan.count() == 0

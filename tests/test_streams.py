@@ -126,3 +126,20 @@ def test_p95_of_a_large_window_is_exact(spark, tmp_path):
     out, _ = streams.drain(streams.tumbling_stats(stream, "key", "1 day"), "p95-test")
     row = out.orderBy("start").first()
     assert (row["calls"], row["p95_ms"]) == (n, float(-(-n * 95 // 100) - 1))
+
+
+def test_sessions_merge_before_the_shuffle(spark, tmp_path):
+    """One user with most of the rows: what is shuffled are sessions, not rows."""
+    df = spark.range(4000).select(
+        F.timestamp_seconds(F.lit(1704100000) + F.col("id")).alias("ts"), F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(1).alias("user"),
+        F.lit(1.0).alias("elapsed"))
+    end = df.limit(1).withColumn("ts", F.timestamp_seconds(F.lit(1705100000)))
+    for part in (df, end):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.event_time(streams.file_stream(spark, str(tmp_path / "in"), df.schema, per_batch=1), "ts", "1 hour")
+    out, query = streams.drain(streams.sessions(stream, "user", "30 minutes"), "merge-test")
+    assert {r["user"]: r["n"] for r in out.collect()} == {r["user"]: r["n"] for r in df.groupBy("user").agg(F.count("*").alias("n")).collect()}
+    plan = query._jsq.explainInternal(False)
+    first = plan.rindex("Exchange")
+    assert "MergingSessions" in plan[first:] or "UpdatingSessions" in plan[first:], plan
+    assert spark.conf.get("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition") == "false"
