@@ -42,10 +42,10 @@ from sondage.llm.batches import small_batches
 from sondage.plans.durable import materialise
 
 #: Pieces a worker remembers per generation, and pairs of tokens whose neighbourhood it knows.
-MAX_PIECES = 300_000
-MAX_PAIRS = 400_000
+MAX_PIECES = 150_000
+MAX_PAIRS = 200_000
 #: Characters of text that are encoded together.
-GROUP = 2_000_000
+GROUP = 1_000_000
 _INF = float("inf")
 _END = "</w>"
 #: Characters whose normal form, case and class no version of Unicode changes between the libraries.
@@ -242,6 +242,10 @@ class Encoder:
         for piece, found in words.items():
             self.ids[piece] = ids_of[found[0]] if len(found) == 1 else b"".join([ids_of[w] for w in found])
 
+    def rest(self) -> None:
+        """Between tasks only the newer generation stays."""
+        self.older = {}
+
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         """The ids of each text."""
         cut = []
@@ -331,6 +335,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFra
             # Results go back group by group: only their total must match the input.
             for group in _groups(column):
                 yield encoder.encode(group)
+        encoder.rest()
 
     return df.withColumn("ids", run(F.col(text)))
 
@@ -370,6 +375,7 @@ def encoded(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFr
                     [*[c.slice(at, len(group)) for c in batch.columns[:-1]], pc.list_value_length(ids).cast(pa.int64()), ids,
                      pa.array(hashes, pa.string())], [*batch.schema.names[:-1], *new])
                 at += len(group)
+        encoder.rest()
 
     with small_batches(df.sparkSession):
         found = materialise(rest.mapInArrow(run, f"{head}n_tokens long, ids array<int>, decoded_sha256 string"), "encoded")
@@ -394,6 +400,7 @@ def digests(df: DataFrame, vocabulary: Vocabulary, text: str = "text", key: str
                      pa.array(hashes[0], pa.string()), pa.array(hashes[1], pa.string())],
                     ["k", "n_tokens", "ids_sha256", "decoded_sha256"])
                 at += len(group)
+        encoder.rest()
 
     kind = df.schema[key].dataType.simpleString()
     got = df.select(F.col(key).alias("k"), F.col(text).alias("body")).mapInArrow(
