@@ -24,11 +24,14 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from sondage.functions.scalars import ratio
 from sondage.plans.durable import scratch_path
 from sondage.sources.knowledge import KnowledgeBase
+from sondage.sources.store import KnowledgeStore
 from sondage.streaming.oplog import LATENCIES_KEPT
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SALTS = 8
+#: Versions of a knowledge base that a stream leaves.
+KEPT = 10
 
 
 def file_stream(spark: SparkSession, folder: str, schema, pattern: str | None = None, per_batch: int | None = None) -> DataFrame:
@@ -162,25 +165,25 @@ def feedback_into(
 ) -> KnowledgeBase:
     """Stream feedback events into the base, each event once.
 
-    Repeats within the watermark are dropped.  Batch n reads the version batch
-    n - 1 wrote below ``root`` and publishes its own, so a batch that is run
-    again after a failure starts from the same version and overwrites its result.
+    Repeats within the watermark are dropped.  Batch n changes version n of the store below ``root`` into
+    version n + 1, writing only the buckets its datasets fall into, so a batch that is run
+    again after a failure starts from the same version and replaces its result.  The newest ``KEPT`` versions stay.
     Calling again with the same ``root`` goes on where the last call stopped.
     """
     spark = feedback.sparkSession
     root = root or scratch_path(spark, "kb-stream")
-    kb.save(f"{root}/v-1", mode="ignore")
+    store = KnowledgeStore(spark, f"{root}/store")
+    if not store.versions():
+        store.save(kb)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        updated, rejected = KnowledgeBase.load(spark, f"{root}/v{batch_id - 1}").feedback(batch)
-        updated.save(f"{root}/v{batch_id}", mode="overwrite")
+        rejected = store.feedback(batch, batch_id, batch_id + 1)
         rejected.write.mode("overwrite").parquet(f"{root}/rejects/batch={batch_id}")
+        store.vacuum(KEPT)
 
     query = start(feedback.dropDuplicatesWithinWatermark(keys), upsert, f"{root}/state")
     query.awaitTermination()
-    version = F.regexp_extract("_metadata.file_path", r"/v(-?[0-9]+)/experiments/", 1).cast("int")
-    last = spark.read.parquet(f"{root}/v*/experiments").select(version.alias("v")).agg(F.max("v")).first()[0]
-    return KnowledgeBase.load(spark, f"{root}/v{last}")
+    return store.load()
 
 
 class LateRows(StreamingQueryListener):
