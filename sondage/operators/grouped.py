@@ -31,7 +31,7 @@ from sondage.functions.schema import numeric_columns
 from sondage.operators.profile import clean, union_all
 from sondage.plans.durable import materialise
 from sondage.plans.neighbours import nearest
-from sondage.plans.ordering import hash_ranks, number_rows, running
+from sondage.plans.ordering import cumulative, hash_ranks, number_rows
 from sondage.plans.quantiles import exact_quantiles
 
 FOLDS = 3
@@ -155,12 +155,12 @@ def stump_cells(train: DataFrame, held: DataFrame, relative: bool = True) -> Dat
     them per row.
     """
     totals = train.where("j = 0").groupBy("set", "g", "y").agg(F.sum("n").alias("every"))
-    sides = running(train, ["value"], ["set", "j", "g", "y"], {"upto": "n"})
+    sides = cumulative(train, ["value"], ["set", "j", "g", "y"], {"upto": "n"})
     # From L to L + n rows of a class on the left: its square grows by 2 L n + n^2, that of the right changes likewise.
     n, before = F.col("n").cast("double"), (F.col("upto") - F.col("n")).cast("double")
     changes = sides.join(totals, ["set", "g", "y"]).groupBy("set", "j", "g", "value").agg(
         F.sum("n").alias("n"), F.sum(2 * before * n + n * n).alias("left"), F.sum(n * n - 2 * (F.col("every") - before) * n).alias("right"))
-    priced = running(changes, ["value"], ["set", "j", "g"], {"n_left": "n", "on_left": "left", "off_right": "right"})
+    priced = cumulative(changes, ["value"], ["set", "j", "g"], {"n_left": "n", "on_left": "left", "off_right": "right"})
     whole = totals.groupBy("set", "g").agg(F.sum("every").alias("total"), F.sum(F.col("every").cast("double") * F.col("every")).alias("squares"))
     n_left = F.col("n_left").cast("double")
     purity = F.col("on_left") / n_left + (F.col("squares") + F.col("off_right")) / (F.col("total") - n_left)
