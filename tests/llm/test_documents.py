@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sondage.llm import bpe, jaccard, linededup, mixing, pii, shards, tokencount, toxicity
+from sondage.llm import bpe, jaccard, linededup, mixing, pii, queries, shards, tokencount, toxicity
 from sondage.plans.durable import scratch_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -274,6 +274,19 @@ def test_base_spans_are_those_of_the_patterns(table):
         assert set(got[i]["base"]) <= set(got[i]["all"])
 
 
+def test_pii_query_counts_each_kind(spark, table, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("0123456789 -+().@a") for _ in range(rng.randint(1, 200)))) for i in range(200)]
+    rows += [(300, "a@b.c or x@y.z, 1.2.3.4, 4111 1111 1111 1111, +1 (202) 555-0143"), (301, None), (302, ""), (303, "256.1.1.1"), (None, "a@b.c")]
+    table(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r[0]: tuple(r)[1:6] for r in queries.op8_pii(spark, str(tmp_path)).collect()}
+    assert got[300][:4] == (2, 1, 1, 1)
+    for i, text in rows:
+        base = brute_spans(text)
+        counts = [sum(x.startswith(f"{kind}:") for x in base) for kind in pii.KINDS]
+        assert got[i] == (*counts, hashlib.sha256(",".join(base).encode()).hexdigest())
+
+
 def test_similar_tokens_get_the_label(table):
     rows = [(i, f"call +1 (2{i % 10}3) 555-7{i:03d} now") for i in range(100)]
     rows += [(200, "call +1 (213) 555-7209 or again 555-7209 please"), (201, "number 555-7209 alone"), (202, "clean words only")]
