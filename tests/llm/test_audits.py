@@ -4,6 +4,7 @@ import hashlib
 import heapq
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import permutations
@@ -101,6 +102,25 @@ def test_repair_equals_brute_force(spark, monkeypatch, chunk, fan, longest):
     assert got == brute_audit(rows)
 
 
+def test_repair_of_turns_that_lie_far_apart(spark):
+    rows = [(1, 2**63 - 1, "user", "a."), (1, 0, "assistant", "b."), (2, -(2**62), "user", "a."), (2, 2**62, "assistant", "b."),
+            (3, -(2**63), "user", "a."), (3, -1, "assistant", "b."), (3, None, "user", "c."), (4, 1, "user", "a."), (4, 4, "assistant", "b.")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r[0]: tuple(r[1:]) for r in repair.audit(df.select("conv_id"), df).collect()}
+    assert got == brute_audit(rows)
+
+
+def test_repair_of_long_runs_of_spaces(spark):
+    """A run inside a text is passed once, not once from each of its places."""
+    run = " \n" * 250000
+    rows = [(1, 0, "user", f"a{run}b."), (1, 1, "assistant", f"a.{run}"), (1, 2, "user", f"a.{run}b"), (1, 3, "user", run)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    start = time.monotonic()
+    got = {r[0]: tuple(r[1:]) for r in repair.audit(df.select("conv_id"), df).collect()}
+    assert got == brute_audit(rows)
+    assert time.monotonic() - start < 60
+
+
 def test_repair_of_nothing(spark):
     df = spark.createDataFrame([(7, 1, "user", "a."), (None, 1, "user", "a.")], "conv_id long, turn long, role string, text string")
     got = repair.audit(df, df.where("false")).collect()
