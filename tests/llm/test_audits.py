@@ -11,10 +11,12 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from sondage.llm import filteraudit, quality, repair, words
+from sondage.llm.queries import op11_conversation_repair
 from sondage.llm.words import Hasher
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -129,6 +131,27 @@ def test_repair_of_nothing(spark):
     assert repair.audit(df.where("false"), df.where("false")).count() == 0
 
 
+def test_rows_of_one_turn_keep_the_order_of_the_table(spark, tmp_path):
+    """Turns that several rows share, null ones too: the query takes such rows as they stand in the files, copies beside their row."""
+    rng = random.Random(3)
+    rows = [(c, rng.choice([0, 0, 1, None]), rng.choice(["user", "assistant", "system", "tool"]), rng.choice(["z. ", "Why?", "open", f"Own {i}."]))
+            for c in [*range(30), None] for i in range(6)]
+    rng.shuffle(rows)
+    columns = zip(("conv_id", "turn", "role", "text"), zip(*rows))
+    pq.write_table(pa.table({n: pa.array(v, pa.string() if n in ("role", "text") else pa.int64()) for n, v in columns}), tmp_path / "conversations.parquet")
+    damaged = []
+    for c, t, role, text in rows:
+        hit = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        damaged += [(c, t, "user" if hit == 4 else role, "" if hit == 1 else re.sub("[.!?]", "", text) if hit == 2 else text)] * {0: 0, 3: 2}.get(hit, 1)
+    ordered = sorted(damaged, key=lambda r: (r[1] is not None, r[1] or 0))
+    expected, gaps = brute_audit([(c, i, role, text) for i, (c, _, role, text) in enumerate(ordered)]), brute_audit(damaged)
+    empty = (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+    got = {r[0]: tuple(r[1:]) for r in op11_conversation_repair(spark, str(tmp_path)).collect()}
+    assert got == {c: (gaps[c][0], *expected[c][1:]) if c in expected else empty for c in {r[0] for r in rows}}
+    # The order by role and text would be another one.
+    assert any(gaps[c][1:] != expected[c][1:] for c in expected)
+
+
 def test_damage_is_by_crc(spark):
     rows = [(c, t, "assistant", "One. Two?") for c in (None, *range(30)) for t in (None, 1, 2)]
     got = Counter(map(tuple, repair.damage(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()))
