@@ -38,7 +38,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondage.llm.batches import small_batches
+from sondage.llm.batches import give_back, small_batches, tidy
 from sondage.plans.durable import materialise
 
 #: Pieces a worker remembers per generation, and pairs of tokens whose neighbourhood it knows.
@@ -245,6 +245,7 @@ class Encoder:
     def rest(self) -> None:
         """Between tasks only the newer generation stays."""
         self.older = {}
+        give_back()
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         """The ids of each text."""
@@ -366,7 +367,7 @@ def encoded(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFr
 
     def run(batches):
         encoder, decoder = _here(shared.value, Encoder), _here(shared.value, Decoder)
-        for batch in batches:
+        for batch in tidy(batches):
             at = 0
             for group in _groups(batch.column(batch.num_columns - 1)):
                 ids = encoder.encode(group)
@@ -389,7 +390,7 @@ def digests(df: DataFrame, vocabulary: Vocabulary, text: str = "text", key: str
 
     def run(batches):
         encoder, decoder = _here(shared.value, Encoder), _here(shared.value, Decoder)
-        for batch in batches:
+        for batch in tidy(batches):
             at = 0
             for group in _groups(batch.column(1)):
                 ids = encoder.encode(group)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondage.llm.batches import small_batches
+from sondage.llm.batches import small_batches, tidy
 from sondage.llm.components import components
 from sondage.llm.sieve import sieve
 from sondage.llm.words import Hasher, mix, pieces, word_hashes
@@ -193,7 +193,7 @@ def sets(df: DataFrame, text: str, key: str, width: int) -> DataFrame:
 
     def run(batches):
         hasher = Hasher(3)
-        for batch in batches:
+        for batch in tidy(batches):
             found = [(len(s), set_hash(s)) for s in shingle_sets(batch.column(2), width, hasher)]
             sizes, hashes = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays(
@@ -209,7 +209,7 @@ def _shared(df: DataFrame, text: str, width: int, percent: int) -> DataFrame:
 
     def make(batches):
         hasher, signatures, met = Hasher(3), Signatures(percent), set()
-        for batch in batches:
+        for batch in tidy(batches):
             held, owners, lengths, waiting = [], [], [], 0
 
             def ready():
@@ -274,7 +274,7 @@ def _shingles(df: DataFrame, wanted: DataFrame, text: str, key: str, width: int)
 
     def run(batches):
         hasher = Hasher(3)
-        for batch in batches:
+        for batch in tidy(batches):
             found = list(shingle_sets(batch.column(1), width, hasher))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(list(map(len, found)), pa.int32()),

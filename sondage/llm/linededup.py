@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType
 
-from sondage.llm.batches import small_batches
+from sondage.llm.batches import small_batches, tidy
 from sondage.llm.words import Hasher, line_keys
 from sondage.plans.durable import materialise
 
@@ -46,7 +46,7 @@ def lines(df: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int
 
     def keys(batches):
         hashers = [Hasher(11), Hasher(12)]
-        for batch in batches:
+        for batch in tidy(batches):
             found = line_keys(batch.column(2), hashers)
             take = np.flatnonzero(found["chars"] >= min_chars)
             owner = found["text"][take]

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sondage.llm.batches import small_batches
+from sondage.llm.batches import small_batches, tidy
 from sondage.llm.sieve import sieve, sieve_flag
 from sondage.llm.words import text_bytes
 from sondage.plans.durable import materialise
@@ -100,7 +100,7 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     """``(gram, c0, c1, f0, f1)`` of a table ``(text, toxic, fit)``: counts per class, over all rows and over those with ``fit``."""
 
     def run(batches):
-        for batch in batches:
+        for batch in tidy(batches):
             toxic, fit = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
             cell = toxic.astype(np.int64) * 2 + fit.astype(np.int64)
             for _, owner, key, _ in grams(batch.column(0)):
@@ -331,7 +331,7 @@ def features(df: DataFrame, tables: Tables) -> DataFrame:
         return pa.array(list(found), pa.list_(pa.float64()))
 
     def at_once(batches):
-        for batch in batches:
+        for batch in tidy(batches):
             found = _features(states(batch.column(len(names)), shared.value)[0])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], listed(found)], [*names, "found"])
 
@@ -339,7 +339,7 @@ def features(df: DataFrame, tables: Tables) -> DataFrame:
         return df.mapInArrow(at_once, f"{head}, found array<double>")
 
     def first(batches):
-        for batch in batches:
+        for batch in tidy(batches):
             n = batch.num_rows
             state, (text, value, length), (word, gram) = states(batch.column(len(names)), shared.value)
             begin = np.searchsorted(text, np.arange(n))
@@ -374,7 +374,7 @@ def features(df: DataFrame, tables: Tables) -> DataFrame:
         told = held.join(pairs.groupBy("row_number").agg(F.collect_list(F.struct("gram", "value")).alias("told")), "row_number", "left")
 
     def finish(batches):
-        for batch in batches:
+        for batch in tidy(batches):
             every = common_here.value
             columns = {c: batch.column(c) for c in (*_WAITING, "told")}
             state = np.array(columns["state"].to_pylist(), dtype=np.float64).reshape(batch.num_rows, _STATE)
