@@ -143,3 +143,12 @@ def test_sessions_merge_before_the_shuffle(spark, tmp_path):
     first = plan.rindex("Exchange")
     assert "MergingSessions" in plan[first:] or "UpdatingSessions" in plan[first:], plan
     assert spark.conf.get("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition") == "false"
+
+
+def test_a_table_is_streamed_from_one_file_or_from_part_files(spark, tmp_path):
+    df = spark.range(20)
+    df.repartition(3).write.parquet(str(tmp_path / "parts.parquet"))
+    df.toPandas().to_parquet(tmp_path / "single.parquet")
+    for name in ("parts.parquet", "single.parquet"):
+        out, _ = streams.drain(streams.file_stream(spark, str(tmp_path), df.schema, name), "named")
+        assert sorted(r.id for r in out.collect()) == list(range(20)), name
