@@ -121,6 +121,34 @@ def test_nearest_equals_brute_force(spark, mode):
     assert len(got) == 4 * n
 
 
+def test_nearest_writes_in_proportion_to_its_input(spark, tmp_path, monkeypatch):
+    """Wide vectors that hardly cluster meet in every pair of blocks, but no vector is written per pair."""
+    rng = np.random.default_rng(4)
+    n, width = 2000, 24
+    points = rng.normal(size=(n, width))
+    df = spark.createDataFrame([(f"k{i:04}", points[i].tolist()) for i in range(n)], "id string, vec array<double>").repartition(4)
+    monkeypatch.setattr(durable, "scratch_dir", lambda session: str(tmp_path))
+    got = neighbours.nearest(df, df, 3, "id", "vec", exclude_self=True, block_rows=100).toPandas()
+    d = np.round(np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1)), neighbours.TIE_DIGITS)
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1, kind="stable")[:, :3]
+    for q, part in got.sort_values("rank").groupby("query"):
+        assert part["neighbour"].tolist() == [f"k{i:04}" for i in want[int(q[1:])]]
+    assert len(got) == 3 * n
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 6 * points.nbytes
+
+
+def test_nearest_keeps_a_key_with_fields(spark):
+    base = spark.createDataFrame([(i, [float(i)]) for i in range(6)], "n long, vec array<double>")
+    base = base.select(F.struct("n", (F.col("n") * 10).alias("label")).alias("id"), "vec")
+    asked = spark.range(300).select(F.struct("id").alias("id"), F.array((F.col("id") % 6).cast("double") + 0.5).alias("vec"))
+    got = neighbours.nearest(asked, base, 2, "id", "vec", block_rows=50)
+    found = {(r["query"]["id"], r["rank"]): r["neighbour"]["label"] for r in got.collect()}
+    assert len(found) == 600
+    for i in range(300):
+        assert [found[i, 1], found[i, 2]] == ([50, 40] if i % 6 == 5 else [i % 6 * 10, i % 6 * 10 + 10])
+
+
 def test_nearest_with_few_or_no_base_rows(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "id long, vec array<double>")
     assert neighbours.nearest(df, df, 5, "id", "vec", exclude_self=True).count() == 2
