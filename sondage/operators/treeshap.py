@@ -5,8 +5,11 @@ followed where the feature is known and split by the training rows' shares where
 one leaf this is a product over the features on its path, each either "the row goes this way"
 (1 or 0) or the share of the training rows that do.  The Shapley sum of a product is the integral of a
 polynomial between 0 and 1, which Gauss-Legendre quadrature with half as many nodes as
-features gives exactly.  So the work per leaf is a few matrix operations over the rows of a
-batch, with no recursion over rows.
+features gives exactly.  So the work per leaf is a few matrix operations, with no recursion over rows.
+
+Rows between the same cuts in every feature have the same values.  A fitted model has few cuts per feature, so
+each row is first given its cell, the values are worked out once per distinct cell, and rows fetch them by a
+join.  Inside a leaf, cells that meet the same conditions of its path share the quadrature.
 
 The node table comes from the saved form of the fitted model.  It is no larger than the model itself,
 which scoring sends to the tasks just so.  The values of a row sum to its prediction less the
@@ -26,11 +29,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondage.plans.durable import scratch_path
+from sondage.plans.durable import materialise, scratch_path
 
 # Functions travel to the executors by value: the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Conditions of leaves whose rows are kept in memory, and cells that one task works on at a time.
+REMEMBERED, CELLS = 2048, 1024
 
 class Leaves:
     """All leaves of an ensemble: value, and by feature on the path what a row must satisfy and the share of rows that go on."""
@@ -52,8 +57,15 @@ class Leaves:
         # Forests average their trees; boosted trees add up.
         total = 1.0 if kind.startswith("GBT") else sum(weights)
         self.leaves = []
+        self.cuts: dict[int, np.ndarray] = {}
         for t in sorted(by_tree):
             self._walk(by_tree[t], 0, {}, weights[t] / total)
+        for _, path in self.leaves:
+            for f, (low, high, allowed, _) in path.items():
+                seen = self.cuts.setdefault(f, set() if allowed is None else None)
+                if allowed is None:
+                    seen |= {low, high}
+        self.cuts = {f: None if v is None else np.array(sorted(v - {-np.inf, np.inf})) for f, v in self.cuts.items()}
         self.base = sum(v * np.prod([share for *_, share in path.values()]) for v, path in self.leaves)
 
     def _walk(self, nodes, at, path, weight) -> None:
@@ -74,26 +86,59 @@ class Leaves:
                     cut = split["leftCategoriesOrThreshold"][0]
                     low, high = (low, min(high, cut)) if left else (max(low, cut), high)
                 else:
-                    side = set(map(int, split["leftCategoriesOrThreshold"]))
-                    side = side if left else set(range(categories)) - side
+                    side = frozenset(map(int, split["leftCategoriesOrThreshold"]))
+                    side = side if left else frozenset(range(categories)) - side
                     allowed = side if allowed is None else allowed & side
                 share *= nodes[child]["rawCount"] / node["rawCount"]
                 stack.append((child, {**path, feature: (low, high, allowed, share)}))
 
-    def values(self, x: np.ndarray) -> np.ndarray:
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """Per row a vector between the same cuts, the same for all rows of a cell; unused features are 0."""
+        out = np.zeros(x.shape)
+        for f, cuts in self.cuts.items():
+            if cuts is None:
+                out[:, f] = x[:, f]
+            else:
+                top = np.append(cuts, np.inf)
+                out[:, f] = np.where(np.isnan(x[:, f]), np.nan, top[np.searchsorted(cuts, x[:, f])])
+        return out + 0.0
+
+    def values(self, x: np.ndarray, outputs=slice(None)) -> np.ndarray:
         """``(rows, features, outputs)`` of Shapley values."""
-        out = np.zeros((*x.shape, len(self.leaves[0][0])))
+        out = np.zeros((*x.shape, len(self.leaves[0][0][outputs])))
+        known: dict[tuple, np.ndarray] = {}
+        rules: dict[int, tuple] = {}
+
+        def met(f, low, high, allowed):
+            """Which rows satisfy the condition; leaves share most conditions."""
+            found = known.get((f, low, high, allowed))
+            if found is None:
+                column = x[:, f]
+                found = ((column > low) & (column <= high)) if allowed is None else np.isin(column, list(allowed))
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                known[f, low, high, allowed] = found
+            return found
+
         for value, path in self.leaves:
             if not path:
                 continue
             features = list(path)
             share = np.array([path[f][3] for f in features])
-            inside = np.empty((len(x), len(features)))
-            for k, f in enumerate(features):
-                low, high, allowed, _ = path[f]
-                column = x[:, f]
-                inside[:, k] = ((column > low) & (column <= high)) if allowed is None else np.isin(column, list(allowed))
-            nodes, weights = _quadrature(len(features))
+            conditions = [met(f, *path[f][:3]) for f in features]
+            pattern = np.zeros(len(x), dtype=np.int64)
+            for k, condition in enumerate(conditions):
+                # Numbered anew before they fill the integer.
+                if k and k % 30 == 0:
+                    pattern = np.unique(pattern, return_inverse=True)[1].ravel()
+                pattern = pattern * 2 + condition
+            _, first, group = np.unique(pattern, return_index=True, return_inverse=True)
+            group = group.ravel()
+            inside = np.stack([condition[first] for condition in conditions], axis=1).astype(float)
+            m = len(features)
+            if m not in rules:
+                rules[m] = _quadrature(m)
+            nodes, weights = rules[m]
             # factor: (rows, features, nodes); a share of zero has no training rows and no weight.
             factor = inside[:, :, None] * nodes + share[:, None] * (1 - nodes)
             whole = factor.prod(axis=1)
@@ -105,7 +150,7 @@ class Leaves:
                     if lost[:, k].any():
                         rest[:, k] = np.delete(factor, k, axis=1).prod(axis=1)
             part = (inside - share) * (rest @ weights)
-            out[:, features] += part[:, :, None] * value
+            out[:, features] += part[group][:, :, None] * value[outputs]
         return out
 
 
@@ -126,17 +171,29 @@ def tree_attribution(model, rows: DataFrame, key: str, names: Sequence[str], out
     base, labels = float(leaves.base[place]), list(names)
     kind = rows.schema[key].dataType.simpleString()
 
+    def placed(batches):
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            cells = shared.value.cells(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in cells], pa.binary())], ["key", "cell"])
+
     def run(batches):
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-            found = shared.value.values(x)[:, :, place]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(np.repeat(np.arange(len(x)), x.shape[1]))), pa.array(labels * len(x)), pa.array(found.ravel())],
-                ["key", "feature", "value"])
+            for at in range(0, batch.num_rows, CELLS):
+                cells = batch.column(0).slice(at, CELLS)
+                x = np.stack([np.frombuffer(c.as_py()) for c in cells])
+                found = shared.value.values(x, slice(place, place + 1))[:, :, 0]
+                offsets = pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([cells, pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], ["cell", "values"])
 
     vectors = rows.select(F.col(key).alias("key"), vector_to_array("features").alias("x"))
-    found = vectors.mapInArrow(run, f"key {kind}, feature string, value double")
-    return found.select(F.col("key").alias(key), "feature", "value", F.lit(base).alias("base"))
+    known = materialise(vectors.mapInArrow(placed, f"key {kind}, cell binary"), "cells")
+    distinct = known.select("cell").distinct()
+    # Few cells are much work, as a task goes through all leaves: one task for each core, more for many cells.
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, distinct.count() // (8 * CELLS))
+    found = materialise(distinct.repartition(parts, "cell").mapInArrow(run, "cell binary, values array<double>"), "cell-values")
+    each = F.inline(F.arrays_zip(F.array(*[F.lit(n) for n in labels]).alias("feature"), F.col("values").alias("value")))
+    return known.join(found, "cell").select(F.col("key").alias(key), each).withColumn("base", F.lit(base))
 
 
 def attribution_global(model, rows: DataFrame, key: str, names: Sequence[str], output: int | None = None) -> DataFrame:

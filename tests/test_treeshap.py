@@ -79,3 +79,17 @@ def test_global_attribution_finds_what_matters(table):
     model = RandomForestClassifier(numTrees=10, maxDepth=5, seed=1).fit(table)
     found = {r["feature"]: r["mean_abs"] for r in treeshap.attribution_global(model, table, "id", list("abcde")).collect()}
     assert len(found) == WIDTH and max(found, key=found.get) == "a" and min(found, key=found.get) == "d"
+
+
+def test_rows_between_the_same_cuts_are_worked_out_once(spark, table, monkeypatch):
+    model = DecisionTreeClassifier(maxDepth=3, seed=1).fit(table)
+    leaves = treeshap.Leaves(model)
+    rows = np.array([r[0] for r in table.select(vector_to_array("features")).collect()])
+    cells = leaves.cells(rows)
+    assert len(np.unique(cells, axis=0)) < len(rows) / 2
+    assert np.allclose(leaves.values(cells), leaves.values(rows), atol=1e-12)
+    asked = []
+    whole = treeshap.materialise
+    monkeypatch.setattr(treeshap, "materialise", lambda df, label: asked.append((label, whole(df, label))) or asked[-1][1])
+    assert treeshap.tree_attribution(model, table, "id", list("abcde")).count() == 300 * WIDTH
+    assert dict(asked)["cell-values"].count() == len(np.unique(cells, axis=0))
