@@ -43,8 +43,8 @@ NARROW = 8
 #: Further apart than most groups that must not meet.
 APART = 1e7
 TIE_DIGITS = 9
-#: Of a block's number those for its part of a leaf, and of a query's those for its place in the block.
-PART_BITS, ROW_BITS = 12, 26
+#: Bits of a block's number for its part of a leaf.
+PART_BITS = 12
 _TIE = 2e-9
 
 
@@ -57,14 +57,14 @@ def _codes(column: pa.Array, missing: int) -> np.ndarray:
     return pc.fill_null(pc.cast(column, pa.int64()), missing).to_numpy(zero_copy_only=False)
 
 
-def _order(ids: pa.Array) -> np.ndarray:
+def _order(ids: pa.Array, missing: str = "at_start") -> np.ndarray:
     """The places of the ids in their order, as Spark sorts them."""
     ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
     if pa.types.is_struct(ids.type):
         names = [f"f{i}" for i in range(ids.type.num_fields)]
         table = pa.table(ids.flatten(), names=names)
-        return pc.sort_indices(table, sort_keys=[(n, "ascending") for n in names], null_placement="at_start").to_numpy()
-    return pc.sort_indices(ids, null_placement="at_start").to_numpy()
+        return pc.sort_indices(table, sort_keys=[(n, "ascending") for n in names], null_placement=missing).to_numpy()
+    return pc.sort_indices(ids, null_placement=missing).to_numpy()
 
 
 # -- trees of cuts ---------------------------------------------------------------------------
@@ -278,16 +278,6 @@ def _distinct(x: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, which.ravel()
 
 
-def _members(at: np.ndarray, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For candidates of distinct queries: the rows that ask, and the candidate of each."""
-    order = np.argsort(which, kind="stable")
-    first, size = np.searchsorted(which[order], np.arange(n)), np.bincount(which, minlength=n)
-    times = size[at]
-    pick = np.repeat(np.arange(len(at)), times)
-    inside = np.arange(len(pick)) - np.repeat(np.cumsum(times) - times, times)
-    return order[first[at[pick]] + inside], pick
-
-
 # -- the join --------------------------------------------------------------------------------
 
 
@@ -378,10 +368,15 @@ def nearest(
         search = _Search(rows, need, group is not None, same_group)
         search.compare(own, block, rank[kept])
         at, to, d, _ = search.result()
-        asks, pick = _members(at, which, len(first))
-        answers = [q.column("id").combine_chunks().take(pa.array(asks)), pa.array((block << ROW_BITS) + asks),
-                   b.column("id").combine_chunks().take(pa.array(kept[to[pick]])), pa.array(d[pick])]
-        answers = pa.StructArray.from_arrays([pa.array(a) if not isinstance(a, pa.Array) else a for a in answers], ["query", "row", "neighbour", "distance"])
+        # Equal queries ask as the one with the smallest id.
+        asks = np.empty(len(qx), dtype="int64")
+        asks[_order(q.column("id"), "at_end")] = np.arange(len(qx))
+        order = np.lexsort((asks, which))
+        ids = q.column("id").combine_chunks()
+        names = ids.take(pa.array(order[np.searchsorted(which[order], np.arange(len(first)))]))
+        answers = pa.StructArray.from_arrays(
+            [names.take(pa.array(at)), b.column("id").combine_chunks().take(pa.array(kept[to])), pa.array(d)], ["query", "neighbour", "distance"])
+        members = pa.StructArray.from_arrays([ids, names.take(pa.array(which))], ["member", "query"])
 
         def listed(values, n):
             return pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), values)
@@ -390,8 +385,8 @@ def nearest(
             return pa.array([getattr(x, side)(axis=0).tolist() if len(x) else None], pa.list_(pa.float64()))
 
         packed = {
-            "block": pa.array([block]), "answers": listed(answers, len(answers)),
-            "q_ids": listed(q.column("id").combine_chunks(), len(q)), "q_which": pa.array([which.astype("int64").tobytes()]), "q_x": pa.array([rows.x.tobytes()]),
+            "block": pa.array([block]), "answers": listed(answers, len(answers)), "members": listed(members, len(members)),
+            "q_ids": listed(names, len(names)), "q_x": pa.array([rows.x.tobytes()]),
             "q_fold": pa.array([rows.fold.tobytes()]), "q_bound": pa.array([search.bound.tobytes()]), "q_reach": pa.array([float(search.bound.max(initial=-1.0))]),
             "q_low": box(rows.x, "min"), "q_high": box(rows.x, "max"),
             "b_ids": listed(b.column("id").combine_chunks().take(pa.array(kept)), len(kept)), "b_x": pa.array([own.x.tobytes()]), "b_fold": pa.array([own.fold.tobytes()]),
@@ -406,10 +401,10 @@ def nearest(
             table, x = table.filter(pa.array(good)), x[good]
         return table, x, _codes(table.column("fold").combine_chunks(), missing)
 
-    answer = f"query {kinds[0]}, `row` bigint, neighbour {kinds[1]}, distance double"
-    pairs = f"query: {kinds[0]}, `row`: bigint, neighbour: {kinds[1]}, distance: double"
+    answer = f"query {kinds[0]}, neighbour {kinds[1]}, distance double"
+    pairs = f"query: {kinds[0]}, neighbour: {kinds[1]}, distance: double"
     met = materialise(dealt(asked).cogroup(dealt(points)).applyInArrow(
-        meet, f"block long, answers array<struct<{pairs}>>, q_ids array<{kinds[0]}>, q_which binary, q_x binary, q_fold binary, q_bound binary, q_reach double, "
+        meet, f"block long, answers array<struct<{pairs}>>, members array<struct<member: {kinds[0]}, query: {kinds[0]}>>, q_ids array<{kinds[0]}>, q_x binary, q_fold binary, q_bound binary, q_reach double, "
         f"q_low array<double>, q_high array<double>, b_ids array<{kinds[1]}>, b_x binary, b_fold binary, b_low array<double>, b_high array<double>"), "knn-blocks")
     answers = met.select(F.inline("answers"))
     if not single:
@@ -425,37 +420,37 @@ def nearest(
                         yield from flushed(state)
                         state = (block, _Search(unpack(batch.column("q_x")[i].as_py(), batch.column("q_fold")[i].as_py()), need, group is not None, same_group,
                                                 np.frombuffer(batch.column("q_bound")[i].as_py())),
-                                 batch.column("q_ids")[i].values, np.frombuffer(batch.column("q_which")[i].as_py(), dtype="int64"), {})
+                                 batch.column("q_ids")[i].values, {})
                     ids = batch.column("b_ids")[i].values
                     rank = np.empty(len(ids), dtype="int64")
                     rank[_order(ids)] = np.arange(len(ids))
                     other = batch.column("b_block")[i].as_py()
-                    state[4][other] = ids
+                    state[3][other] = ids
                     state[1].compare(unpack(batch.column("b_x")[i].as_py(), batch.column("b_fold")[i].as_py()), other, rank)
             yield from flushed(state)
 
         def flushed(state):
             if state is None:
                 return
-            block, search, ids, which, known = state
+            _, search, ids, known = state
             at, to, d, of = search.result()
             for other in np.unique(of):
                 here = of == other
-                asks, pick = _members(at[here], which, len(search.q.x))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(asks)), pa.array((block << ROW_BITS) + asks), known[other].take(pa.array(to[here][pick])), pa.array(d[here][pick])],
-                    ["query", "row", "neighbour", "distance"])
+                    [ids.take(pa.array(at[here])), known[other].take(pa.array(to[here])), pa.array(d[here])], ["query", "neighbour", "distance"])
 
         # Few rows, each a block; the base is read again for every part of the queries.
-        left = met.where("q_low IS NOT NULL").select("block", "q_ids", "q_which", "q_x", "q_fold", "q_bound", "q_reach", "q_low", "q_high")
+        left = met.where("q_low IS NOT NULL").select("block", "q_ids", "q_x", "q_fold", "q_bound", "q_reach", "q_low", "q_high")
         right = met.where("b_low IS NOT NULL").select(F.col("block").alias("b_block"), "b_ids", "b_x", "b_fold", "b_low", "b_high").coalesce(
             max(1, math.ceil(total * (8 * width + 24) / SLICE_BYTES)))
         within = (F.col("block") != F.col("b_block")) & _within()
-        others = left.join(right, within).select("block", "q_ids", "q_which", "q_x", "q_fold", "q_bound", "b_block", "b_ids", "b_x", "b_fold").mapInArrow(
+        others = left.join(right, within).select("block", "q_ids", "q_x", "q_fold", "q_bound", "b_block", "b_ids", "b_x", "b_fold").mapInArrow(
             search_others, answer)
         answers = answers.unionAll(materialise(others, "knn-others"))
-    order = W.partitionBy("row").orderBy(F.round("distance", TIE_DIGITS), "neighbour")
-    out = answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= need).drop("row")
+    order = W.partitionBy("query").orderBy(F.round("distance", TIE_DIGITS), "neighbour")
+    answers = answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= need)
+    # Hand the answer of each distinct query to all its copies.
+    out = met.select(F.inline("members")).join(answers, "query").select(F.col("member").alias("query"), "neighbour", "distance", "rank")
     if not exclude_self:
         return out
     again = F.row_number().over(W.partitionBy("query").orderBy("rank"))

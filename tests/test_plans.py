@@ -139,6 +139,15 @@ def test_nearest_writes_in_proportion_to_its_input(spark, tmp_path, monkeypatch)
     assert sum(parquet.read_metadata(f).num_rows for f in tmp_path.rglob("*.parquet")) < 6 * n
 
 
+def test_rows_that_come_twice_ask_together(spark):
+    """Copies with one key in two folds have one list of answers, which each copy gets."""
+    rows = [(i, [float(i)], f) for i in range(40) for f in ((i % 3, i % 3) if i % 2 else (0, 1))]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, fold long")
+    got = neighbours.nearest(df, df, 2, "id", "vec", group="fold", block_rows=16).toPandas()
+    assert len(got) == 2 * len(rows)
+    assert got[got["query"] == 0].sort_values("rank")["neighbour"].tolist() == [0, 0, 0, 0]
+
+
 def test_nearest_keeps_a_key_with_fields(spark):
     base = spark.createDataFrame([(i, [float(i)]) for i in range(6)], "n long, vec array<double>")
     base = base.select(F.struct("n", (F.col("n") * 10).alias("label")).alias("id"), "vec")
